@@ -1,0 +1,16 @@
+"""Joins against lookup tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def lookup(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` hinted for broadcast when it has at most ``limit`` rows, else unchanged (a shuffled join).
+
+    The count stops at ``limit`` + 1 rows.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
