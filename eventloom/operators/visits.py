@@ -6,7 +6,7 @@ stitched into stays). Blocks are rows ``(subject_id, visit_id, …)``; events ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -561,8 +561,3 @@ def flatten_visits(patients: DataFrame) -> DataFrame:
         F.col("v.visit_start").alias("visit_start"),
         F.explode("v.events").alias("e"),
     ).select("subject_id", "visit_id", "visit_type", "visit_start", "e.*")
-
-
-def rule_table(rules: Mapping[str, VisitRules] = RULE_SETS) -> list[str]:
-    """Names of the known rule sets."""
-    return sorted(rules)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sequences, token_queries, visit_queries
+from . import cohort_queries, model_queries, sequences, source_queries, token_queries, visit_queries
 
-MODULES = [sequences, visit_queries, token_queries]
+MODULES = [sequences, visit_queries, token_queries, cohort_queries, model_queries, source_queries]
 
 
 def registered():

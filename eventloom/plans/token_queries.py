@@ -26,7 +26,7 @@ def item_tokens(spark, d):
     """One token per order line: a wide vocabulary with ties."""
     return A.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("person_id"),
-        (F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("pos"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("pos"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("token"),
     )
 

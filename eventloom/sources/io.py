@@ -52,7 +52,11 @@ def read_table(spark: SparkSession, path: str, streaming: bool = False, schema=N
         return reader.parquet(path)
     if schema is None:
         schema = spark.read.parquet(path).schema  # footer only
-    return spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if path.endswith(".parquet"):  # a stream watches a folder; one file is picked out of it by name
+        folder, name = path.rsplit("/", 1)
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def table_path(spark: SparkSession, root: str, table: str) -> str | None:
