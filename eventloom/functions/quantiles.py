@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .scan import double_levels, ordered_scan
 
 
@@ -22,7 +23,7 @@ def exact_quantiles(
         return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, weight).drop("__all")
     by = list(by)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.groupBy(*by, F.col(value).alias("__x")).agg(size.alias("__c"))
+    counts = stage(df.groupBy(*by, F.col(value).alias("__x")).agg(size.alias("__c")), "value-counts")
     ranked = ordered_scan(counts, by, double_levels(F.col("__x")), [F.col("__x")], sums={"__upto": F.col("__c")})
     totals = counts.groupBy(*by).agg(F.sum("__c").alias("n"))
     ranked = ranked.join(totals, by)

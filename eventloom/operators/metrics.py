@@ -20,12 +20,13 @@ LOGIT_MARGIN = 1e-7
 
 
 def score_table(predictions: DataFrame) -> DataFrame:
-    """``p, pos, neg, n`` per distinct score from rows ``p, y``."""
-    return predictions.groupBy("p").agg(
+    """``p, pos, neg, n`` per distinct score from rows ``p, y``, written once: every metric reads it."""
+    counts = predictions.groupBy("p").agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"),
         F.count(F.lit(1)).alias("n"),
     )
+    return stage(counts, "scores")
 
 
 def cumulated(scores: DataFrame) -> DataFrame:
@@ -327,8 +328,8 @@ def evaluate(test: DataFrame, val: DataFrame | None = None, n_resamples: int = 2
     ``thresholds_from_test`` = 1.
     """
     spark = test.sparkSession
-    scores = stage(score_table(test), "scores")
-    chosen_on = scores if val is None else stage(score_table(val), "validation-scores")
+    scores = score_table(test)
+    chosen_on = scores if val is None else score_table(val)
     rows: list[tuple[str, str, float | None, float | None, float | None]] = []
 
     def add(section, metric, value, lo=None, hi=None):

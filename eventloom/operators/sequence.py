@@ -6,13 +6,15 @@ arithmetic from per-visit token counts and in-visit ranks, so no person's tokens
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import int_levels, largest_group, ordered_scan, time_levels
+from ..functions.scan import SPLIT_ABOVE, int_levels, largest_group, ordered_scan, time_levels
 from ..functions.text import clean_code, fold_answer
 from ..functions.timing import (
     DAY_US,
@@ -127,7 +129,7 @@ def stay_moves(times: DataFrame, largest: int | None = None) -> DataFrame:
 
     ``times`` has ``person_id, visit_id, visit_start, time``. The chain is greedy, so it is followed in order, but it
     restarts at any event a day or more after the event before it. Runs of closer events are independent of
-    each other and are folded separately, over distinct times only.
+    each other and are folded separately, over distinct times only (in a stream where a visit is very large).
     Returns ``person_id, visit_id, time, move_days``.
     """
     starts = times.select(*VISIT_KEY, F.col("visit_start").alias("time"))
@@ -138,15 +140,12 @@ def stay_moves(times: DataFrame, largest: int | None = None) -> DataFrame:
     restart = F.col("__prev").isNull() | (F.col("t") - F.col("__prev") >= DAY_US)
     started = F.when(restart, 1).otherwise(0).cast("long")
     runs = ordered_scan(linked, VISIT_KEY, levels, order, sums={"__run": started}, largest=largest)
-    lists = runs.groupBy(*VISIT_KEY, "__run").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-
-    def step(found: Column, t: Column) -> Column:
-        moved = (F.size(found) == 0) | (t - F.element_at(found, -1) >= DAY_US)
-        return F.when(moved, F.concat(found, F.array(t))).otherwise(found)
-
-    moves = lists.select(
-        *VISIT_KEY, F.explode(F.aggregate("ts", F.array().cast("array<bigint>"), step)).alias("t")
-    )
+    if (largest_group(points, VISIT_KEY) if largest is None else largest) <= SPLIT_ABOVE:
+        moves = _fold_in_arrays(runs)
+    else:
+        ordered = runs.select(*VISIT_KEY, "__run", "t").repartition(*VISIT_KEY, "__run")
+        ordered = ordered.sortWithinPartitions(*VISIT_KEY, "__run", "t")
+        moves = ordered.mapInPandas(_fold_in_stream, "person_id long, visit_id long, t long")
     # at most one move per day of a stay
     w = Window.partitionBy(*VISIT_KEY).orderBy("t")
     moves = moves.withColumn("__before", F.lag("t").over(w)).filter(F.col("__before").isNotNull())
@@ -157,6 +156,42 @@ def stay_moves(times: DataFrame, largest: int | None = None) -> DataFrame:
     )
 
 
+def _fold_in_arrays(runs: DataFrame) -> DataFrame:
+    """Greedy moves of each run, for runs known to be short."""
+    lists = runs.groupBy(*VISIT_KEY, "__run").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+
+    def step(found: Column, t: Column) -> Column:
+        moved = (F.size(found) == 0) | (t - F.element_at(found, -1) >= DAY_US)
+        return F.when(moved, F.concat(found, F.array(t))).otherwise(found)
+
+    return lists.select(*VISIT_KEY, F.explode(F.aggregate("ts", F.array().cast("array<bigint>"), step)).alias("t"))
+
+
+def _fold_in_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greedy moves over sorted batches; the only state is the run in progress and its cursor.
+
+    Inside a batch the next move is found by binary search, so a long run costs its moves and not its rows.
+    """
+    current, cursor = None, 0
+    for pdf in batches:
+        keys = pdf[[*VISIT_KEY, "__run"]].to_numpy()
+        ts = pdf["t"].to_numpy()
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(ts)]
+        out = []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo == hi:
+                continue
+            at = lo
+            if current is not None and current == tuple(keys[lo]):
+                at = lo + int(np.searchsorted(ts[lo:hi], cursor + DAY_US))
+            current = tuple(keys[lo])
+            while at < hi:
+                out.append(at)
+                cursor = int(ts[at])
+                at = lo + int(np.searchsorted(ts[lo:hi], cursor + DAY_US))
+        yield pdf.iloc[out][[*VISIT_KEY, "t"]]
+
+
 def stay_gaps_by_day(times: DataFrame) -> DataFrame:
     """Calendar-day variant: a move at the first event of each later day, measured from the previous event day."""
     days = (

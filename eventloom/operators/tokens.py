@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import unit_draw
 from ..functions.joins import lookup
 from ..functions.quantiles import exact_quantiles
+from ..session import stage
 from .sequence import NO_UNIT
 
 # The special tokens and their ids.
@@ -78,7 +79,7 @@ def lab_stats(values: DataFrame, k: float = 3.0, exact: bool = True) -> DataFram
         bounds = usable.groupBy(*STATS_KEY).agg(q.alias("q")).select(
             *STATS_KEY, F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1")
         )
-    kept = usable.join(lookup(bounds), STATS_KEY).filter(F.col("value").between(F.col("q0"), F.col("q1")))
+    kept = usable.join(lookup(stage(bounds, "value-bounds")), STATS_KEY).filter(F.col("value").between(F.col("q0"), F.col("q1")))
     out = kept.groupBy(*STATS_KEY).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("count")
     )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scan import int_levels, ordered_scan, time_levels
 from ..functions.text import starts_with_any
 from ..functions.timing import floor_days
+from ..session import stage
 
 # Names of visit types, source tables and demographic code prefixes.
 UNKNOWN = "Unknown"
@@ -234,13 +235,13 @@ def assign_events(events: DataFrame, visits: DataFrame) -> DataFrame:
     Adds ``visit_id`` (final) and ``how``: linked, attached or orphan.
     """
     linked = events.filter(F.col("visit_id").isNotNull())
-    marked = detach_out_of_range(linked, visits)
+    marked = stage(detach_out_of_range(linked, visits), "marked-events")
     stays = marked.filter(~F.col("detached")).drop("detached").withColumn("how", F.lit("linked"))
     loose = marked.filter("detached").drop("detached", "visit_id")
     loose = loose.unionByName(events.filter(F.col("visit_id").isNull()).drop("visit_id"))
     loose = loose.withColumn("day", F.to_date("time"))
     days = loose.select("subject_id", "day").distinct()
-    attached = attach_days(days, visits)
+    attached = stage(attach_days(days, visits), "attached-days")
     orphans = orphan_visits(days.join(attached, ["subject_id", "day"], "left_anti"), visits)
     where = attached.withColumn("how", F.lit("attached")).unionByName(orphans.withColumn("how", F.lit("orphan")))
     return stays.unionByName(loose.join(where, ["subject_id", "day"]).drop("day"))

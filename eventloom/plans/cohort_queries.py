@@ -148,6 +148,15 @@ def finetune_columns(spark, d):
     return C.finetune_columns(c.withColumn("age", age))
 
 
+@add(
+    "p9_nullable_index_date",
+    f"""WITH c AS ({_INDEX}) SELECT person_id, label, coalesce(CASE WHEN person_id % 4 <> 0 THEN epoch_us(index_date) / 1e6 END, -1) AS index_epoch FROM c""",
+)
+def nullable_index_date(spark, d):
+    c = log_index_dates(spark, d).withColumn("index_date", F.when(F.col("person_id") % 4 != 0, F.col("index_date")))
+    return c.select("person_id", "label", F.coalesce(C.to_epoch(F.col("index_date")), F.lit(-1.0)).alias("index_epoch"))
+
+
 @add("c8_random_split")
 def random_split(spark, d):
     parts = C.random_split(A.people(spark, d).select("person_id"), [0.8, 0.2], 42)

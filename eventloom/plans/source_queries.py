@@ -109,17 +109,19 @@ def stream_value_statistics(spark, d):
     return X.merge_salted(latest).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@add("x3_stream_sessions")
+_SESSIONS = """WITH s AS (SELECT user_id AS subject_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 12 HOUR, TRUE)::INT AS opens FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(opens) OVER (PARTITION BY subject_id ORDER BY ts) AS s FROM s),
+z AS (SELECT subject_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n_events FROM n GROUP BY subject_id, s)
+SELECT * FROM z"""
+
+
+# append output holds what the watermark (one hour behind the newest event) has closed
+@add("x3_stream_sessions", f'{_SESSIONS} WHERE "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)')
 def stream_sessions(spark, d):
     return X.run_append(X.sessions_stream(event_stream(spark, d)), "sessions")
 
 
-@add(
-    "x3_sessions_batch",
-    """WITH s AS (SELECT user_id AS subject_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 12 HOUR, TRUE)::INT AS opens FROM events
-  WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(opens) OVER (PARTITION BY subject_id ORDER BY ts) AS s FROM s)
-SELECT subject_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n_events FROM n GROUP BY subject_id, s""",
-)
+@add("x3_sessions_batch", _SESSIONS)
 def sessions_batch(spark, d):
     return X.sessions_stream(A.log_events(spark, d))
 
