@@ -230,20 +230,21 @@ def fold_text(events: DataFrame) -> DataFrame:
 
 
 def dedup_outpatient(events: DataFrame) -> DataFrame:
-    """Keep the first of equal (token, value) in each outpatient visit; stays keep everything.
+    """Keep the first of equal (token, value) in each outpatient visit; stays and untimed events keep everything.
 
     Copies are folded by an aggregation, so they meet in the map side and not in one window.
     """
     keys = [*VISIT_KEY, "token", "value"]
     rest = [c for c in events.columns if c not in keys]
     first = F.struct("time", "code", "event_id", *[c for c in rest if c not in ("time", "code", "event_id")])
+    single = F.col("is_stay") | F.col("time").isNull()
     kept = (
-        events.filter(~F.col("is_stay"))
+        events.filter(~single)
         .groupBy(*keys)
         .agg(F.min(first).alias("first"))
         .select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest])
     )
-    return events.filter("is_stay").select(*keys, *rest).unionByName(kept)
+    return events.filter(single).select(*keys, *rest).unionByName(kept)
 
 
 # ---- the whole sequence ----------------------------------------------------------------------------------------
@@ -253,15 +254,16 @@ def build_sequence(
     visits: DataFrame, events: DataFrame, people: DataFrame, options: SequenceOptions = SequenceOptions()
 ) -> DataFrame:
     """Long token sequence of every person, in the columns ``SEQUENCE_COLUMNS``."""
-    visits = visits.join(people, "person_id").withColumn("is_stay", is_stay(F.col("visit_type")))
     per_person = largest_group(visits, ["person_id"])
+    visits = visits.join(people, "person_id").withColumn("is_stay", is_stay(F.col("visit_type")))
     visits = stage(order_visits(visits, per_person), "ordered-visits")
     tokens = stage(_visit_events(visits, events), "visit-events")
     per_visit = largest_group(tokens, VISIT_KEY) + 1  # and the start of the visit
-    kept = stage(_rank_events(tokens, per_visit), "event-tokens")
-    headed = stage(_visit_layout(visits, events, kept, options, per_person), "visit-layout")
+    kept = stage(_rank_events(tokens.filter(F.col("time").isNotNull()), per_visit), "event-tokens")
+    untimed = tokens.filter(F.col("time").isNull()).select(*VISIT_KEY)
+    headed = stage(_visit_layout(visits, kept, untimed, options, per_person), "visit-layout")
 
-    parts = [_event_rows(headed, kept, options, per_visit), _visit_rows(headed, options)]
+    parts = [_event_rows(headed, kept, options), _visit_rows(headed, options)]
     if options.prompt:
         parts.append(prompt_tokens(visits))
     out = parts[0]
@@ -271,14 +273,14 @@ def build_sequence(
 
 
 def _visit_events(visits: DataFrame, events: DataFrame) -> DataFrame:
-    """Timed, cleaned and de-duplicated events of known visits."""
+    """Cleaned and de-duplicated events of known visits; untimed ones only show that a visit has events."""
     attrs = visits.select(*VISIT_KEY, "is_stay", "visit_start")
-    ev = fold_text(events.filter(F.col("time").isNotNull())).join(attrs, VISIT_KEY)
+    ev = fold_text(events).join(attrs, VISIT_KEY)
     return dedup_outpatient(value_columns(ev).drop("numeric_value", "text_value"))
 
 
 def _rank_events(ev: DataFrame, per_visit: int) -> DataFrame:
-    """Events with their rank in the visit and the cursor at that event."""
+    """Events with their rank in the visit, the cursor at that event, and the moves up to it."""
     moves = stay_moves(ev.filter("is_stay").select(*VISIT_KEY, "visit_start", "time"), per_visit)
     order = [F.col("time"), F.col("code"), F.col("event_id")]
     ev = ev.join(moves.withColumn("__at", F.col("time")), [*VISIT_KEY, "time"], "left")
@@ -294,25 +296,26 @@ def _rank_events(ev: DataFrame, per_visit: int) -> DataFrame:
     )
     first_at_time = F.col("__time_before").isNull() | (F.col("__time_before") < F.col("time"))
     ev = ev.withColumn("moved", F.col("move_days").isNotNull() & first_at_time)
+    moved = F.col("moved").cast("long")  # same groups and order as above: no further shuffle
+    ev = ordered_scan(ev, VISIT_KEY, time_levels(F.col("time")), order, sums={"shift": moved}, largest=per_visit)
     return ev.select(
         *VISIT_KEY, "time", "code", "event_id", "token", "value", "value_mask", "mlm_skip", "unit",
-        "rank", "cursor", "moved", "move_days",
+        "rank", "cursor", "moved", "move_days", "shift",
     )
 
 
 def _visit_layout(
-    visits: DataFrame, events: DataFrame, kept: DataFrame, options: SequenceOptions, per_person: int
+    visits: DataFrame, kept: DataFrame, untimed: DataFrame, options: SequenceOptions, per_person: int
 ) -> DataFrame:
     """Visits that have events, with token counts, the offset of their first token, segment and time gap."""
-    present = events.select(*VISIT_KEY).distinct()
-    summary = kept.groupBy(*VISIT_KEY).agg(
-        F.count(F.lit(1)).alias("n_events"),
+    rows = kept.select(*VISIT_KEY, "time", "cursor", "moved").unionByName(untimed, allowMissingColumns=True)
+    summary = rows.groupBy(*VISIT_KEY).agg(
+        F.count("time").alias("n_events"),
         F.sum(F.col("moved").cast("long")).alias("n_moves"),
         F.max("time").alias("last_time"),
         F.max("cursor").alias("last_cursor"),
     )
-    v = visits.join(present, VISIT_KEY, "left_semi").join(summary, VISIT_KEY, "left")
-    v = v.withColumns({"n_events": F.coalesce("n_events", F.lit(0)), "n_moves": F.coalesce("n_moves", F.lit(0))})
+    v = visits.join(summary, VISIT_KEY).withColumn("n_moves", F.coalesce("n_moves", F.lit(0)))
     stay_cursor = F.coalesce("visit_end", "last_cursor", "visit_start")
     v = v.withColumn("end_cursor", F.when(F.col("is_stay"), stay_cursor).otherwise(F.col("visit_start")))
 
@@ -342,29 +345,18 @@ def _visit_layout(
     )
 
 
-def _event_rows(headed: DataFrame, kept: DataFrame, options: SequenceOptions, per_visit: int) -> DataFrame:
+def _event_rows(headed: DataFrame, kept: DataFrame, options: SequenceOptions) -> DataFrame:
     with_stay = options.stay != "none"
     attrs = headed.select(
         *VISIT_KEY, "visit_type", "visit_order", "visit_start", "segment", "offset", "has_gap", "is_stay", "birth"
     )
-    if with_stay:  # a running count of moves gives the shift that the extra tokens cause
-        kept = ordered_scan(
-            kept,
-            VISIT_KEY,
-            time_levels(F.col("time")),
-            [F.col("time"), F.col("code"), F.col("event_id")],
-            sums={"shift": F.col("moved").cast("long")},
-            largest=per_visit,
-        )
-    else:
-        kept = kept.withColumn("shift", F.lit(0))
     ev = kept.join(attrs, VISIT_KEY)
     first = F.col("offset") + F.col("has_gap") + 1 + int(options.auxiliary)
     at = F.when(F.col("is_stay"), F.col("time")).otherwise(F.col("visit_start"))
     cursor = F.when(F.col("is_stay"), F.coalesce("cursor", "visit_start")).otherwise(F.col("visit_start"))
     ev = ev.withColumns(
         {
-            "pos": first + F.col("rank") + F.col("shift"),
+            "pos": first + F.col("rank") + (F.col("shift") if with_stay else 0),
             "kind": F.lit("event"),
             "week": week_index(at),
             "age": completed_years(F.col("birth"), at),

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .io import read_spread
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    return read_spread(spark, f"{root}/{name}.parquet")
 
 
 def log_events(spark: SparkSession, root: str) -> DataFrame:

@@ -29,6 +29,8 @@ STATS_SCHEMA = (
     "value_outlier_std double, lower_bound double, upper_bound double"
 )
 
+SPREAD_BYTES = 2_000_000
+
 # The primary key that partitions each relational table on import.
 TABLE_KEYS = {
     "person": "person_id",
@@ -59,16 +61,33 @@ def read_table(spark: SparkSession, path: str, streaming: bool = False, schema=N
     return reader.parquet(path)
 
 
+def _file_status(spark: SparkSession, pattern: str) -> list:
+    """Files and folders that match, by the file system Spark itself uses."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return list(found) if found is not None else []
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; one large file is dealt out to all cores.
+
+    A file is often a single row group, which only one task can read, and all work up to the next shuffle would stay in
+    that task. Tables of many files are already spread and are left alone.
+    """
+    df = read_table(spark, path)
+    files = _file_status(spark, path)
+    if len(files) == 1 and files[0].isFile() and files[0].getLen() >= SPREAD_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def table_path(spark: SparkSession, root: str, table: str) -> str | None:
     """``root/table/`` when that folder holds parquet, else ``root/table.parquet``, else None.
 
     Asks the file system Spark itself uses, so it works on any storage.
     """
-    jvm = spark.sparkContext._jvm
     for pattern, found in ((f"{root}/{table}/*.parquet", f"{root}/{table}"), (f"{root}/{table}.parquet",) * 2):
-        path = jvm.org.apache.hadoop.fs.Path(pattern)
-        hits = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        if hits is not None and len(hits) > 0:
+        if _file_status(spark, pattern):
             return found
     return None
 
