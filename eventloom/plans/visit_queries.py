@@ -242,7 +242,7 @@ def attach_days(spark, d):
     "e7_assign_events",
     f"""WITH v AS ({_visits_cte(_LONG_STAY)}), e AS ({_SHIPPED}),
 m AS (SELECT e.*, {_OUT} AS detached FROM e JOIN v USING (subject_id, visit_id)),
-loose AS (SELECT subject_id, event_id, CAST(time AS DATE) AS day, visit_id AS from_id FROM m WHERE detached),
+loose AS (SELECT subject_id, event_id, CAST(time AS DATE) AS day, code FROM m WHERE detached),
 days AS (SELECT DISTINCT subject_id, day FROM loose), att AS ({_ATTACH}),
 top AS (SELECT subject_id, max(visit_id) AS t FROM v GROUP BY 1),
 orp AS (SELECT subject_id, day, coalesce(t, 0) + row_number() OVER (PARTITION BY subject_id ORDER BY day) AS visit_id
@@ -250,8 +250,7 @@ orp AS (SELECT subject_id, day, coalesce(t, 0) + row_number() OVER (PARTITION BY
   LEFT JOIN top USING (subject_id)),
 x AS (SELECT *, 'attached' AS how FROM att UNION ALL SELECT *, 'orphan' FROM orp)
 SELECT subject_id, event_id, code, visit_id, 'linked' AS how FROM m WHERE NOT detached
-UNION ALL SELECT l.subject_id, l.event_id, e.code, x.visit_id, how FROM loose l JOIN x USING (subject_id, day)
-  JOIN e ON e.event_id = l.event_id AND e.visit_id = l.from_id""",
+UNION ALL SELECT l.subject_id, l.event_id, l.code, x.visit_id, how FROM loose l JOIN x USING (subject_id, day)""",
 )
 def assign_events(spark, d):
     out = V.assign_events(_shipped(spark, d), _visits(spark, d, _LONG_STAY))
