@@ -149,8 +149,9 @@ def _md5_draw(seed, key):
   / sum(count) OVER (PARTITION BY concept_id) AS upto FROM stats),
 z AS (SELECT l_orderkey * 100000 + l_partkey AS row_id, l_orderkey, l_suppkey, l_linenumber, 'Item_' || (l_partkey % 101) AS concept_id,
   l_discount * 10 AS normalized, {_md5_draw(42, 'l_orderkey * 100000 + l_partkey')} AS u FROM lineitem),
-p AS (SELECT z.*, s.unit, s.mean, s.std FROM z LEFT JOIN shares s ON z.concept_id = s.concept_id AND s.upto > z.u
-  QUALIFY row_number() OVER (PARTITION BY row_id, l_suppkey, l_linenumber ORDER BY s.upto) = 1)
+pick AS (SELECT k.concept_id, k.u, s.unit, s.mean, s.std FROM (SELECT DISTINCT concept_id, u FROM z) k JOIN shares s
+  ON k.concept_id = s.concept_id AND s.upto > k.u QUALIFY row_number() OVER (PARTITION BY k.concept_id, k.u ORDER BY s.upto) = 1),
+p AS (SELECT z.*, unit, mean, std FROM z LEFT JOIN pick ON z.concept_id = pick.concept_id AND z.u = pick.u)
 SELECT row_id, l_suppkey, l_linenumber, concept_id, coalesce(unit, 'N/A') AS unit,
   round(CASE WHEN unit IS NULL THEN normalized ELSE normalized * std + mean END, 6) AS value FROM p""",
 )
