@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import int_levels, ordered_scan, time_levels
+from ..functions.scan import int_levels, largest_group, ordered_scan, time_levels
 from ..functions.text import starts_with_any
 from ..functions.timing import floor_days
 from ..session import stage
@@ -518,38 +518,37 @@ def assemble_visits(blocks: DataFrame) -> DataFrame:
 def nest_patients(
     visits: DataFrame, events: DataFrame, event_columns: Sequence[str], part_size: int = 100_000
 ) -> DataFrame:
-    """``visits`` arrays with their ``events`` arrays, one row per subject and ``part_size`` events.
+    """``visits`` arrays with their ``events`` arrays, one row per subject and about ``part_size`` events.
 
-    A subject beyond ``part_size`` events continues on further rows; a visit that crosses a border appears on both
-    with its share of the events. Visits without events have an empty array.
+    A subject beyond ``part_size`` events continues on further rows. A visit goes to one row as a whole, unless it alone
+    has more than ``part_size`` events: then it appears on several, each time with its share of the events, so a row
+    holds less than twice ``part_size``. Visits without events have an empty array.
     """
-    per_visit = events.groupBy(*BLOCK_KEY).agg(F.count(F.lit(1)).alias("n"))
-    visits = visits.join(per_visit, BLOCK_KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    start_order = [F.col("visit_start"), F.col("visit_id")]
-    visits = ordered_scan(
-        visits, ["subject_id"], time_levels(F.col("visit_start")), start_order, sums={"upto": F.col("n") + 1}
-    )
-    ranked = ordered_scan(
-        events,
-        BLOCK_KEY,
-        time_levels(F.col("time")),
-        [F.col("time"), F.col("event_id")],
-        count="__rank",
-    )
-    first = visits.select(*BLOCK_KEY, (F.col("upto") - F.col("n") - 1).alias("__first"))
-    ranked = ranked.join(first, BLOCK_KEY).withColumn("part", F.floor((F.col("__first") + F.col("__rank")) / part_size))
-    pieces = ranked.groupBy(*BLOCK_KEY, "part").agg(
-        F.array_sort(F.collect_list(F.struct("time", "event_id", *event_columns))).alias("events")
-    )
-    empty = visits.select(*BLOCK_KEY, F.floor((F.col("upto") - F.col("n") - 1) / part_size).alias("part"), "n")
-    pieces = pieces.unionByName(empty.filter("n = 0").drop("n"), allowMissingColumns=True)
-    heads = [c for c in visits.columns if c not in ("subject_id", "n", "upto")]
-    full = pieces.join(visits.drop("n", "upto"), BLOCK_KEY)
-    ordered = F.array_sort(
-        F.collect_list(F.struct("visit_start", "visit_id", *[h for h in heads if h not in ("visit_start", "visit_id")],
-                                F.coalesce("events", F.expr("array()")).alias("events")))
+    per_visit = stage(events.groupBy(*BLOCK_KEY).agg(F.count(F.lit(1)).alias("n")), "visit-sizes")
+    placed = visits.join(per_visit, BLOCK_KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    placed = ordered_scan(
+        placed,
+        ["subject_id"],
+        time_levels(F.col("visit_start")),
+        [F.col("visit_start"), F.col("visit_id")],
+        sums={"__upto": F.col("n") + 1},
+        largest=largest_group(visits, ["subject_id"]),
     )
-    return full.groupBy("subject_id", "part").agg(ordered.alias("visits"))
+    placed = placed.withColumn("part", F.floor((F.col("__upto") - F.col("n") - 1) / part_size)).drop("__upto")
+
+    entries = F.array_sort(F.collect_list(F.struct("time", "event_id", *event_columns))).alias("events")
+    largest = per_visit.agg(F.max("n")).first()[0] or 0
+    if largest <= part_size:
+        pieces = events.groupBy(*BLOCK_KEY).agg(entries).withColumn("piece", F.lit(0).cast("long"))
+    else:
+        by_time = [F.col("time"), F.col("event_id")]
+        ranked = ordered_scan(events, BLOCK_KEY, time_levels(F.col("time")), by_time, count="__rank", largest=largest)
+        pieces = ranked.groupBy(*BLOCK_KEY, F.floor((F.col("__rank") - 1) / part_size).alias("piece")).agg(entries)
+    full = placed.join(pieces, BLOCK_KEY, "left").withColumn("part", F.col("part") + F.coalesce("piece", F.lit(0)))
+    heads = [c for c in visits.columns if c not in ("subject_id", "visit_start", "visit_id")]
+    of_visit = F.coalesce("events", F.expr("array()")).alias("events")
+    rows = F.array_sort(F.collect_list(F.struct("visit_start", "visit_id", *heads, of_visit)))
+    return full.groupBy("subject_id", "part").agg(rows.alias("visits"))
 
 
 def flatten_visits(patients: DataFrame) -> DataFrame:

@@ -356,13 +356,15 @@ def test_rule_prefixes_are_literal(spark):
     assert [r[0] for r in df.select(starts_with_any(F.col("code"), ("a.b",))).collect()] == [True, False, False]
 
 
-def test_nested_patients_round_trip(spark):
+@pytest.mark.parametrize("part_size", [7, 3])
+def test_nested_patients_round_trip(spark, part_size):
     events = spark.createDataFrame([(1, v, 10 * v + i, at("2024-01-01") + dt.timedelta(days=v, hours=i), f"c{i}") for v in range(1, 4) for i in range(5)],
                                    "subject_id long, visit_id long, event_id long, time timestamp, code string")
     visits = spark.createDataFrame([(1, v, "OP", at("2024-01-01") + dt.timedelta(days=v)) for v in range(1, 5)],
                                    "subject_id long, visit_id long, visit_type string, visit_start timestamp")
-    nested = V.nest_patients(visits, events, ["code"], part_size=7)
+    nested = V.nest_patients(visits, events, ["code"], part_size=part_size)
     assert nested.count() > 1
+    assert max(sum(len(v["events"]) for v in r["visits"]) for r in nested.collect()) < 2 * part_size
     assert sum(len(v["events"]) for r in nested.collect() for v in r["visits"]) == 15
     assert {v["visit_id"] for r in nested.collect() for v in r["visits"]} == {1, 2, 3, 4}
     flat = V.flatten_visits(nested).select("event_id").collect()
