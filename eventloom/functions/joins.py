@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 BROADCAST_ROWS = 200_000
 
 
 def lookup(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` hinted for broadcast when it has at most ``limit`` rows, else unchanged (a shuffled join).
+    """``df`` hinted for broadcast when it has at most ``limit`` rows, else left to a shuffled join.
 
-    The count stops at ``limit`` + 1 rows.
+    The table is written once, counted from its files, and joined from them: its lineage runs a single time.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    table = stage(df, "lookup")
+    return F.broadcast(table) if table.count() <= limit else table

@@ -30,7 +30,7 @@ def build_vocab(seq: DataFrame, size: int = 50_000, min_freq: int = 0) -> DataFr
         .filter(F.col("n") >= min_freq)
     )
     order = [F.desc("n"), F.asc("token")]
-    top = counts.orderBy(*order).limit(size - len(SPECIAL_TOKENS))
+    top = stage(counts.orderBy(*order).limit(size - len(SPECIAL_TOKENS)), "vocabulary")  # one pass over the tokens
     rank = F.row_number().over(Window.orderBy(*order))  # over at most ``size`` rows
     words = top.select("token", (rank + len(SPECIAL_TOKENS) - 1).cast("int").alias("id"), "n")
     specials = seq.sparkSession.createDataFrame(
@@ -79,7 +79,7 @@ def lab_stats(values: DataFrame, k: float = 3.0, exact: bool = True) -> DataFram
         bounds = usable.groupBy(*STATS_KEY).agg(q.alias("q")).select(
             *STATS_KEY, F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1")
         )
-    kept = usable.join(lookup(stage(bounds, "value-bounds")), STATS_KEY).filter(F.col("value").between(F.col("q0"), F.col("q1")))
+    kept = usable.join(lookup(bounds), STATS_KEY).filter(F.col("value").between(F.col("q0"), F.col("q1")))
     out = kept.groupBy(*STATS_KEY).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("count")
     )

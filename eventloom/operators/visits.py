@@ -178,7 +178,7 @@ def detach_out_of_range(events: DataFrame, visits: DataFrame, days: int = 1) ->
     return out.withColumn("detached", early | late).drop("visit_start", "visit_end")
 
 
-def _record_ends(visits: DataFrame, end: Column) -> DataFrame:
+def _record_ends(visits: DataFrame, end: Column, largest: int | None = None) -> DataFrame:
     """Visits that end later than every visit before them in (start, id) order.
 
     Whatever ``x`` is, the first visit in order with ``end >= x`` is one of these, and their ends increase, so
@@ -190,6 +190,7 @@ def _record_ends(visits: DataFrame, end: Column) -> DataFrame:
         time_levels(F.col("visit_start")),
         [F.col("visit_start"), F.col("visit_id")],
         before_max={"__end_before": F.col("__end")},
+        largest=largest,
     )
     return out.withColumn("is_record", F.col("__end_before").isNull() | (F.col("__end_before") < F.col("__end")))
 
@@ -206,6 +207,7 @@ def attach_days(days: DataFrame, visits: DataFrame) -> DataFrame:
     ).unionByName(
         days.select("subject_id", "day", F.lit(1).alias("asks")).distinct(), allowMissingColumns=True
     )
+    points = stage(points, "covering-visits")
     back = -F.unix_date("day")  # scan from the last day to the first, records before questions
     found = ordered_scan(
         points, ["subject_id"], int_levels(back, (9,)), [back, F.col("asks")], fill={"hit": F.col("visit")}
@@ -267,12 +269,14 @@ def merge_contained(blocks: DataFrame) -> DataFrame:
     ``merged_type`` is the survivor's type, or the ED-to-inpatient type where an admission contains an ED visit.
     Needs ``subject_id, visit_id, visit_type, visit_start, visit_end, has_ed, has_admission``.
     """
-    marked = _record_ends(blocks, F.col("visit_end"))
+    largest = largest_group(blocks, ["subject_id"])
+    marked = _record_ends(blocks, F.col("visit_end"), largest)
     own = F.when(F.col("is_record"), F.struct("visit_id", "visit_type", "has_admission"))
     back = -F.unix_micros("visit_end")
     order = [back, (~F.col("is_record")).cast("int"), F.col("visit_id")]
     # -2^42 and -2^31 microseconds: about 51 days and 36 minutes
-    found = ordered_scan(marked, ["subject_id"], int_levels(back, (42, 31)), order, fill={"__into": own})
+    levels = int_levels(back, (42, 31))
+    found = ordered_scan(marked, ["subject_id"], levels, order, fill={"__into": own}, largest=largest)
     found = found.select(
         *BLOCK_KEY,
         F.col("__into.visit_id").alias("container_id"),
@@ -280,6 +284,7 @@ def merge_contained(blocks: DataFrame) -> DataFrame:
         F.col("__into.has_admission").alias("__adm"),
         (F.col("has_ed") & ~F.col("is_record")).alias("__brings_ed"),
     )
+    found = stage(found, "containers")
     any_ed = (
         found.filter("__brings_ed").select("subject_id", "container_id").distinct().withColumn("__ed", F.lit(True))
     )
@@ -303,11 +308,14 @@ def merge_contained_swapping(blocks: DataFrame) -> DataFrame:
     """
     order = [F.col("visit_start"), F.col("visit_id")]
     levels = time_levels(F.col("visit_start"))
-    seen = ordered_scan(blocks, ["subject_id"], levels, order, before_max={"__reach": F.col("visit_end")})
+    largest = largest_group(blocks, ["subject_id"])
+    reach = {"__reach": F.col("visit_end")}
+    seen = ordered_scan(blocks, ["subject_id"], levels, order, before_max=reach, largest=largest)
     apart = F.col("__reach").isNull() | (F.col("__reach") < F.col("visit_start"))
-    runs = ordered_scan(seen, ["subject_id"], levels, order, sums={"run": F.when(apart, 1).otherwise(0).cast("long")})
+    started = {"run": F.when(apart, 1).otherwise(0).cast("long")}
+    runs = ordered_scan(seen, ["subject_id"], levels, order, sums=started, largest=largest)
     cols = [*BLOCK_KEY, "run", "visit_type", "visit_start", "visit_end", "has_ed", "has_admission"]
-    runs = runs.select(*cols)
+    runs = stage(runs.select(*cols), "block-runs")
     sizes = runs.groupBy("subject_id", "run").agg(F.count(F.lit(1)).alias("__n"))
     runs = runs.join(sizes, ["subject_id", "run"])
     alone = runs.filter("__n = 1").select(
