@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import fingerprints, mixing, secrets
 
-MODULES = [secrets]
+MODULES = [secrets, mixing, fingerprints]
 
 
 def registered():
