@@ -136,3 +136,40 @@ def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         h = h + points[k : k + m] * _ODD[k]
     return mix32(h + np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF))
+
+
+def pieces(text: str, size: int = 1 << 20, overlap: int = 0) -> Iterator[str]:
+    """The text in pieces of about ``size`` code points, cut before a blank where there is one.
+
+    Each piece is followed by the next ``overlap`` code points, so that runs across a cut are seen once.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = max(text.rfind(" ", at + size // 2, at + size), text.rfind("\n", at + size // 2, at + size))
+        cut = cut if cut > at else at + size
+        yield text[at : cut + overlap]
+        at = cut
+    yield text[at:]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """Texts and labels of up to ``per_class`` labelled training documents of each class, and the number there are of each.
+
+    Rows of fold 0, rows without a 0/1 label and ids with contradicting labels are left out. Which rows are taken depends on ids and
+    ``seed`` only.
+    """
+    known = labels.filter((fold(F.col("doc_id")) != 0) & F.col(label).isin(0, 1)).groupBy("doc_id")
+    known = known.agg(F.min(label).alias("low"), F.max(label).alias("label")).filter("low = label").drop("low")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    taken = [known.filter(F.col("label") == c).orderBy(draw, "doc_id").limit(per_class) for c in (0, 1)]
+    chosen = F.broadcast(taken[0].union(taken[1]))  # 2 * per_class ids
+    return docs.select("doc_id", "text").join(chosen, "doc_id"), sizes
+
+
+def pack(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).tobytes()
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))

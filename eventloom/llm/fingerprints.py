@@ -107,22 +107,17 @@ def with_next(docs: DataFrame, values: list[str], doc_id: str = "doc_id", order:
     docs = docs.drop("next").withColumn("__run", F.coalesce(F.shiftright(doc_id, bits), no_id))
     keys = [F.col(doc_id).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in order]]
     w = Window.partitionBy("__run").orderBy(*keys)
-    inside = docs.withColumn("__next", F.lead(F.struct(*values)).over(w))
+    docs = docs.withColumns({"__next": F.lead(F.struct(*values)).over(w), "__place": F.row_number().over(w)})
 
-    # one row for each run: its first id, and the run whose first row follows it
-    runs = docs.groupBy("__run").agg(F.max(doc_id).alias("__first"))
+    # one row for each run: the run whose first row follows it; the first rows come from the scan above, whose shuffle is reused
+    runs = docs.groupBy("__run").agg(F.count(F.lit(1)).alias("__n"))
     chain = Window.orderBy(F.col("__run").desc())
     runs = runs.withColumns({"__after": F.lead("__run").over(chain), "__top": F.first("__run").over(chain)})
     after = runs.select("__run", F.coalesce("__after", "__top").alias("__after"))
-    heads = docs.join(
-        runs.select(F.col("__run").alias("__of"), "__first"),
-        (F.col("__run") == F.col("__of")) & F.col(doc_id).eqNullSafe(F.col("__first")),
-        "left_semi",
-    )
-    heads = heads.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1")
-    heads = heads.select(F.col("__run").alias("__after"), F.struct(*values).alias("__head"))
+    heads = docs.filter("__place = 1").select(F.col("__run").alias("__after"), F.struct(*values).alias("__head"))
     heads = after.join(heads, "__after").select("__run", "__head")
-    return inside.join(heads, "__run").withColumn("next", F.coalesce("__next", "__head")).drop("__run", "__next", "__head")
+    joined = docs.join(heads, "__run").withColumn("next", F.coalesce("__next", "__head"))
+    return joined.drop("__run", "__next", "__place", "__head")
 
 
 def op10_fingerprints(spark, sf_dir):

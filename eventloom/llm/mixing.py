@@ -102,8 +102,8 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     repeats: int = 3,
     block: int = 32,
-    shard_words: int = 4_000_000,
-    shard_rows: int = 50_000,
+    shard_words: int = 2_500_000,
+    shard_rows: int = 5_000,
     seed: int = 17,
 ) -> DataFrame:
     """Every row of ``docs`` with ``size``, ``source_size``, ``target`` (its source's) and ``taken``, all in words.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, secrets
+from . import decontaminate, fingerprints, mixing, near_join, quality, secrets, substrings, toxicity, warc
 
-MODULES = [secrets, mixing, fingerprints]
+MODULES = [quality, secrets, toxicity, near_join, mixing, decontaminate, warc, substrings, fingerprints]
 
 
 def registered():
