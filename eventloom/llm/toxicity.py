@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from .common import code_points, fold, labelled_sample, map_columns, pack, pieces, read, sigmoid, word_hashes
 
 BITS = 22
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7)
+TIMES = (1, 2, 4)
 KINDS = 1 + len(PREFIXES)
 PARTS = 3
 
@@ -50,7 +51,7 @@ def term(word: str) -> int:
 
 
 def features(text: str | None) -> list[np.ndarray]:
-    """Hashed terms of a whole text by kind, repeats included: words, then beginnings of 4, 5 and 6 letters of longer words."""
+    """Hashed terms of a whole text by kind, repeats included: words, then beginnings of ``PREFIXES`` letters of longer words."""
     found = [[] for _ in range(KINDS)]
     for piece in pieces((text or "").lower()):
         points = code_points(piece)
@@ -62,6 +63,13 @@ def features(text: str | None) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros(0, np.int32) for f in found]
 
 
+def occurrences(terms: np.ndarray) -> np.ndarray:
+    """One feature for each number of ``TIMES`` that a term occurs at least; for once it is the term itself."""
+    found, n = np.unique(terms, return_counts=True)
+    levels = [((found[n >= t].astype(np.int64) * (2 * t - 1) + (t - 1) * 0x2545F4) % (1 << BITS)).astype(np.int32) for t in TIMES]
+    return np.unique(np.concatenate(levels))
+
+
 _insults = np.array(sorted(term(w) for w in INSULTS), np.int32)
 _address = np.array(sorted(term(w) for w in ADDRESS), np.int32)
 
@@ -77,21 +85,31 @@ def fixed_votes(words: np.ndarray) -> list[bool]:
 FIXED = 3
 
 
-def induce(sets: list[np.ndarray], toxic: np.ndarray, least: int = 3, odds: float = 3.0) -> np.ndarray:
-    """Terms in at least ``least`` toxic documents and ``odds`` times as often (in logs to base 2) in toxic as in clean ones."""
-    bad = [s for s, t in zip(sets, toxic) if t]
-    good = [s for s, t in zip(sets, toxic) if not t]
-    if not bad:
-        return np.zeros(0, np.int32)
-    terms, n = np.unique(np.concatenate(bad), return_counts=True)
-    terms, n = terms[n >= least], n[n >= least]
-    clean = np.zeros(len(terms))
-    if good and len(terms):
-        other, m = np.unique(np.concatenate(good), return_counts=True)
-        at = np.minimum(np.searchsorted(other, terms), max(len(other) - 1, 0))
-        clean = np.where(other[at] == terms, m[at], 0) if len(other) else clean
-    lift = np.log2((n + 0.5) / (len(bad) + 1)) - np.log2((clean + 0.5) / (len(good) + 1))
-    return terms[lift >= odds]
+def surprise(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
+    """Bits of evidence (a log-likelihood ratio) that terms in ``bad`` toxic and ``good`` clean documents favour toxic ones.
+
+    ``share`` is the share of toxic documents; terms that are rather clean have none.
+    """
+    p = bad / np.maximum(bad + good, 1e-9)
+    ratio = lambda n, x, q: n * np.log2(np.maximum(x, 1e-12) / q)
+    return np.where(p > share, ratio(bad, p, share) + ratio(good, 1 - p, 1 - share), 0.0)
+
+
+def counts(sets: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """Documents that hold each term, weighted."""
+    out = np.zeros(1 << BITS)
+    for s, w in zip(sets, weight):
+        out[s] += w
+    return out
+
+
+def induce(sets: list[np.ndarray], toxic: np.ndarray, margin: float = 4.0, odds: float = 8.0) -> np.ndarray:
+    """Terms ``odds`` times as frequent in toxic as in clean documents, with more evidence than chance gives so many terms."""
+    bad, good = counts(sets, toxic * 1.0), counts(sets, 1.0 - toxic)
+    n, m = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
+    bits = surprise(bad, good, n / (n + m))
+    often = (bad + 0.5) / (n + 1) >= odds * (good + 0.5) / (m + 1)
+    return np.flatnonzero(often & (bits >= np.log2(max(np.count_nonzero(bad), 1)) + margin)).astype(np.int32)
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray:
@@ -119,12 +137,19 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray
 
 
 def train_linear(
-    sets: list[np.ndarray], target: np.ndarray, *, epochs: int = 15, rate: float = 0.15, sparse: float = 2e-4, seed: int = 3
+    sets: list[np.ndarray], target: np.ndarray, *, epochs: int = 40, rate: float = 0.1, sparse: float = 1e-3, least: float = 10.0, seed: int = 3
 ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Terms, weights and bias of a logistic model of which terms a document holds; small weights are driven to zero."""
-    terms, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int32), np.zeros(0, int))
-    terms = terms[n >= 3]
-    rows = [np.searchsorted(terms, s[np.isin(s, terms)]) for s in sets]
+    """Terms, weights and bias of a logistic model of which terms a document holds.
+
+    Terms with at least ``least`` bits of evidence for either side take part; small weights are driven to zero.
+    """
+    target = np.asarray(target)
+    bad, good, share = counts(sets, target), counts(sets, 1 - target), float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if len(target) else 0.5
+    bits = np.maximum(surprise(bad, good, share), surprise(good, bad, 1 - share))
+    terms = np.flatnonzero(bits >= least).astype(np.int32)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    rows = [r[r >= 0] for r in (place[s] for s in sets)]
     weight, bias, rng = np.zeros(len(terms)), 0.0, np.random.default_rng(seed)
     for epoch in range(epochs):
         pace = rate / (1 + epoch / 3)
@@ -132,7 +157,7 @@ def train_linear(
             wrong = sigmoid(weight[rows[i]].sum() + bias) - target[i]
             bias -= 0.1 * pace * wrong
             moved = weight[rows[i]] - pace * wrong
-            weight[rows[i]] = np.sign(moved) * np.maximum(np.abs(moved) - pace * sparse * 20, 0)
+            weight[rows[i]] = np.sign(moved) * np.maximum(np.abs(moved) - pace * sparse, 0)
     kept = np.abs(weight) > 0.02
     return terms[kept], weight[kept], bias
 
@@ -143,12 +168,18 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        self._table = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_table": None}  # the sparse form travels
+
     def score(self, text: str | None) -> float:
-        mine = np.unique(np.concatenate(features(text)))
-        if not len(self.terms):
-            return float(sigmoid(self.bias))
-        at = np.minimum(np.searchsorted(self.terms, mine), len(self.terms) - 1)
-        return float(sigmoid(self.bias + self.weights[at[self.terms[at] == mine]].sum()))
+        if self._table is None:
+            self._table = np.zeros(1 << BITS, np.float32)
+            self._table[self.terms] = self.weights
+        held = np.unique(np.concatenate([occurrences(k) for k in features(text)]))
+        return float(sigmoid(self.bias + float(self._table[held].sum())))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 2500, seed: int = 9) -> Model:
@@ -162,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     def terms_of(rows):
         kinds = [features(t) for t in rows["text"]]
         return {
-            "sets": [[pack(np.unique(k)) for k in ks] for ks in kinds],
+            "sets": [[pack(occurrences(k)) for k in ks] for ks in kinds],
             "fixed": [fixed_votes(ks[0]) for ks in kinds],
         }
 
@@ -180,9 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     for p in range(PARTS):
         mine = np.flatnonzero(part == p)
         for k in range(KINDS):
-            lexicon = induce([sets[i][k] for i in mine], y[mine])
+            held = np.zeros(1 << BITS, bool)
+            held[induce([sets[i][k] for i in mine], y[mine])] = True
             for i in np.flatnonzero(part != p):
-                votes[i, FIXED + p * KINDS + k] = np.isin(sets[i][k], lexicon).any()
+                votes[i, FIXED + p * KINDS + k] = held[sets[i][k]].any()
     posterior = label_model(votes, float(y.mean()))
     terms, weights, bias = train_linear([np.unique(np.concatenate(s)) for s in sets], posterior)
     prior = np.log(sizes[1] / sizes[0]) - np.log(y.mean() / (1 - y.mean()))
