@@ -39,6 +39,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BLANKS), lambda w: w != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where it is used inside a function of array elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")).cast("long")
 

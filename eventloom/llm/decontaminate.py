@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, words_of
+from .common import let, read, words_of
 
 SHINGLE = 5
 #: Sketch rows up to this number (16 bytes each) are broadcast; above it the join shuffles.
@@ -29,15 +29,22 @@ MISS = 1e-5
 
 def shingles(words: Column, n: int = SHINGLE) -> Column:
     """Distinct runs of ``n`` words; a shorter text is one shingle of all its words, an empty one has none."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        all_runs = F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) > 0, F.array_distinct(all_runs)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)
 
 
 def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
     """Hashes of the runs of ``n`` words, repeats included; equal for equal shingles."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
-    return F.when(F.size(words) > 0, hashes).otherwise(F.array().cast("array<long>"))
+    def hashes(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+        all_runs = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) > 0, all_runs).otherwise(F.array().cast("array<long>"))
+
+    return let(words, hashes)
 
 
 def sketch_size(threshold: float, miss: float = MISS) -> int:
