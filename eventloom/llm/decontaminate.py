@@ -135,10 +135,10 @@ WITH words AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
 ), split AS (
   SELECT side, id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM words
 ), shingle AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(greatest(len(w) - 4, 1)), i -> list_aggregate(w[i + 1 : i + 5], 'string_agg', ' '))) AS s
+  SELECT DISTINCT side, id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s
   FROM split WHERE len(w) > 0
 ), sized AS (
   SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingle WHERE side = 'b'
