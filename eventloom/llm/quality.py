@@ -116,15 +116,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class
     return Model(table.astype(np.float32), float(bias[1] - bias[0] + prior))
 
 
-def score_quality(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` in place of any columns of these names.
+def score_quality(
+    docs: DataFrame, model: Model, *, threshold: float = 0.3, score: str = "score", predicted: str = "predicted"
+) -> DataFrame:
+    """``docs`` with columns ``score`` (0 to 1) and ``predicted`` in place of any of these names.
 
     Each row is scored on its whole text alone; null and empty texts get the score of the bias.
     """
-    kept = docs.drop("score", "predicted")
-    schema = T.StructType([*kept.schema, T.StructField("score", T.DoubleType())])
-    scored = map_columns(kept, lambda rows: {"score": [model.score(t) for t in rows["text"]]}, schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kept = docs.drop(score, predicted)
+    schema = T.StructType([*kept.schema, T.StructField(score, T.DoubleType())])
+    scored = map_columns(kept, lambda rows: {score: [model.score(t) for t in rows["text"]]}, schema)
+    return scored.withColumn(predicted, (F.col(score) >= threshold).cast("int"))
 
 
 def op1_quality(spark, sf_dir):

@@ -13,7 +13,7 @@ import hashlib
 import zlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from ..session import new_folder, stage
 from .common import map_columns, read
 
 FAN_BITS = 4
+GROUPS = 256
 ID_BITS = 9
 DATE = "2024-01-01T00:00:00Z"
 
@@ -48,8 +49,6 @@ def lay_out(pages: DataFrame, *, id_bits: int = ID_BITS, rows: int = 4096) -> Da
     An archive holds a run of 2^id_bits ids; a run of more than ``rows`` rows (repeated or null ids) is dealt by content to several.
     Within an archive records are ordered by id, url and text; equal rows are records of their own.
     """
-    from pyspark.sql import Window
-
     run = F.coalesce(F.shiftright("page_id", id_bits), F.lit(-1))
     records = pages.select("page_id", "url", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), run.alias("run"))
     big = records.groupBy("run").agg((F.floor(F.count(F.lit(1)) / rows) + 1).alias("parts"))
@@ -141,30 +140,31 @@ def hash_ranges(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
 
 
 def build_tree(leaves: DataFrame, fan_bits: int = FAN_BITS) -> list[DataFrame]:
-    """Levels from the leaves to the root: node (array of keys), start, stop, hash.
+    """Levels from the leaves to the root: archive, node, start, stop, hash; in the two top levels without archive and range.
 
-    A node's key at level k of an archive is (archive, slot >> k·bits). Above the archives, nodes are joined by the bits of a hash
-    of the archive's name, so no level depends on how many archives there are. Each node hashes its children's hashes in order.
+    A node of an archive is (archive, slot >> k·bits) at level k, up to the archive's root. Above, archives are gathered in groups by
+    a hash of their names, and the groups under one root. Each node hashes its children's hashes in order.
     """
-    depth = -(-(leaves.agg(F.max("slot")).first()[0] or 0).bit_length() // fan_bits) or 1
+    depth = max(1, -(-int(leaves.agg(F.max("slot")).first()[0] or 0).bit_length() // fan_bits))
     levels = [leaves.select("archive", F.col("slot").cast("long").alias("node"), "start", "stop", "hash")]
-    for _ in range(depth):
-        levels.append(_join_nodes(levels[-1], ["archive"], F.shiftright("node", fan_bits)))
-    roots = levels[-1].withColumn("node", F.pmod(F.xxhash64("archive"), F.lit(1 << 3 * fan_bits)))
-    above, key = [], F.col("node")
-    for k in range(4):
-        source = roots if k == 0 else above[-1]
-        hashes = F.array_sort(F.collect_list(F.struct("archive", "hash") if k == 0 else F.struct("node", "hash")))
-        parent = key if k == 0 else F.shiftright("node", fan_bits)
-        above.append(source.groupBy(parent.alias("node")).agg(F.sha2(F.array_join(hashes["hash"], "").cast("binary"), 256).alias("hash")))
-    return levels + above
-
-
-def _join_nodes(level: DataFrame, by: list[str], parent: Column) -> DataFrame:
-    children = F.array_sort(F.collect_list(F.struct("node", "hash")))["hash"]
-    return level.groupBy(*by, parent.alias("node")).agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sha2(F.array_join(children, "").cast("binary"), 256).alias("hash")
-    )
+    for k in range(depth):
+        children = F.array_sort(F.collect_list(F.struct("node", "hash")))["hash"]
+        level = levels[-1].groupBy("archive", F.shiftright("node", fan_bits).alias("node")).agg(
+            F.min("start").alias("start"), F.max("stop").alias("stop"), _hash_of(children).alias("hash")
+        )
+        levels.append(stage(level, "warc-nodes") if k in (0, depth - 1) else level)
+    roots = F.array_sort(F.collect_list(F.struct("archive", "hash")))["hash"]
+    groups = levels[-1].groupBy(_group().alias("node")).agg(_hash_of(roots).alias("hash"))
+    root = groups.groupBy(F.lit(0).cast("long").alias("node")).agg(_hash_of(F.array_sort(F.collect_list(F.struct("node", "hash")))["hash"]).alias("hash"))
+    return [*levels, groups, root]
+
+
+def _group() -> Column:
+    return F.pmod(F.xxhash64("archive"), F.lit(GROUPS))
+
+
+def _hash_of(children: Column) -> Column:
+    return F.sha2(F.array_join(children, "").cast("binary"), 256)
 
 
 def audit(one: list[DataFrame], other: list[DataFrame], fan_bits: int = FAN_BITS) -> DataFrame:
@@ -173,35 +173,27 @@ def audit(one: list[DataFrame], other: list[DataFrame], fan_bits: int = FAN_BITS
     Children are compared only below differing nodes; equal roots end the search with no rows.
     """
     top = len(one) - 1
-    lower = top - 3  # the first level keyed by groups of archives
-    different = _differing(one[top], other[top], ["node"])
-    for k in range(top - 1, lower - 1, -1):
-        below = _below(one[k], different, F.shiftright("node", fan_bits)), _below(other[k], different, F.shiftright("node", fan_bits))
-        different = _differing(*below, ["node"])
-    group = F.pmod(F.xxhash64("archive"), F.lit(1 << 3 * fan_bits))
-    a, b = (t[lower - 1].join(different.select(F.col("node").alias("__up")), group == F.col("__up"), "left_semi") for t in (one, other))
-    different = _differing(a, b, ["archive", "node"])
-    for k in range(lower - 2, -1, -1):
+    root = _differing(one[top], other[top], ["node"])
+    below_root = one[top - 1].join(root.select(F.col("node").alias("__up")), F.lit(0) == F.col("__up"), "left_semi")
+    groups = _differing(below_root, other[top - 1], ["node"])
+    heads = one[top - 2].join(groups.select(F.col("node").alias("__up")), _group() == F.col("__up"), "left_semi")
+    different = _differing(heads, other[top - 2], ["archive", "node"])
+    for k in range(top - 3, -1, -1):
         up = different.select(F.col("archive").alias("__a"), F.col("node").alias("__up"))
         on = (F.col("archive") == F.col("__a")) & (F.shiftright("node", fan_bits) == F.col("__up"))
-        different = _differing(one[k].join(up, on, "left_semi"), other[k].join(up, on, "left_semi"), ["archive", "node"])
+        different = _differing(one[k].join(up, on, "left_semi"), other[k], ["archive", "node"])
     return different.select("archive", F.col("node").cast("int").alias("slot"), "start", "stop")
 
 
-def _below(level: DataFrame, different: DataFrame, parent: Column) -> DataFrame:
-    return level.join(different.select(F.col("node").alias("__up")), parent == F.col("__up"), "left_semi")
-
-
 def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes of ``a`` whose hash in ``b`` is another one, or that ``b`` lacks."""
     other = b.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("hash").alias("__hash"))
     on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"__{k}") for k in keys])
-    return a.join(other, on).filter("hash <> __hash").drop("__hash", *[f"__{k}" for k in keys])
+    return a.join(other, on, "left").filter(~F.col("hash").eqNullSafe(F.col("__hash"))).drop("__hash", *[f"__{k}" for k in keys])
 
 
 def damaged(records: DataFrame) -> DataFrame:
     """A replica with faults that follow from the rows: changed bytes in one record of 50, lost tails in one archive of 8."""
-    from pyspark.sql import Window
-
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("long")
     lost = F.conv(F.substring(F.md5(F.col("archive").cast("binary")), 1, 6), 16, 10).cast("long") % 8 == 0
     last = F.max("slot").over(Window.partitionBy("archive"))
