@@ -143,18 +143,18 @@ def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
     return mix32(h + np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF))
 
 
-def pieces(text: str, size: int = 1 << 20, overlap: int = 0) -> Iterator[str]:
-    """The text in pieces of about ``size`` code points, cut before a blank where there is one.
+def pieces(text: str, size: int = 1 << 20, overlap: int = 0) -> Iterator[tuple[str, int]]:
+    """The text in pieces of about ``size`` code points, cut before a blank where there is one, and the length of each.
 
-    Each piece is followed by the next ``overlap`` code points, so that runs across a cut are seen once.
+    A piece is followed by the next ``overlap`` code points, for runs across the cut.
     """
     at = 0
     while len(text) - at > size:
         cut = max(text.rfind(" ", at + size // 2, at + size), text.rfind("\n", at + size // 2, at + size))
         cut = cut if cut > at else at + size
-        yield text[at : cut + overlap]
+        yield text[at : cut + overlap], cut - at
         at = cut
-    yield text[at:]
+    yield text[at:], len(text) - at
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:

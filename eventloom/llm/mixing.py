@@ -41,7 +41,7 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     for _ in range(200):
         middle = (low + high) / 2
         low, high = (middle, high) if given(middle).sum() > seats else (low, middle)
-    out = given(high)
+    out = given(high * (1 + 1e-9))  # ties are left to the queue
     queue = [(-votes[i] / (2 * out[i] + 1), i) for i in np.flatnonzero((out < most) & (votes > 0))]
     heapq.heapify(queue)
     for _ in range(seats - int(out.sum())):

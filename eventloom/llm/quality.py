@@ -37,12 +37,12 @@ GRAMS = (3, 4)
 def buckets(text: str | None) -> list[np.ndarray]:
     """Buckets of the words and character n-grams of a whole text, repeats included; case and marks count."""
     out = []
-    for piece in pieces(text or "", overlap=max(GRAMS) - 1):
+    for piece, own in pieces(text or "", overlap=max(GRAMS) - 1):
         points = code_points(piece)
-        starts, ends = word_bounds(points)
+        starts, ends = word_bounds(points[:own])
         out.append((word_hashes(points, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
         points = np.where(blanks(points), np.uint32(32), points)
-        out += [(gram_hashes(points, n) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32) for n in GRAMS]
+        out += [(gram_hashes(points[: own + n - 1], n) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32) for n in GRAMS]
     return out
 
 

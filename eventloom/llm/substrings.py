@@ -90,6 +90,8 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
     def fold(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         anchor, segment, doc, low, high, at = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((low, doc, segment, anchor))
+        twin = np.concatenate(([False], np.all([x[order][1:] == x[order][:-1] for x in (anchor, segment, doc, low)], axis=0)))
+        order = order[~twin]  # a repeated row is the same document
         a, s = anchor[order], segment[order]
         whole = np.concatenate(([False], (a[1:] == a[:-1]) & (s[1:] == s[:-1])))
         # a repeat needs no partner any more: it is dealt by its place, away from its anchor
@@ -128,7 +130,7 @@ def _meet(segments: DataFrame) -> DataFrame:
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "segment", "whole", "doc_id", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shared, pending = None, False, None  # anchor and segment at hand, whether rows are out, a row that waits
+        last, shared, pending = None, False, None  # the row before, whether its anchor's rows are out, a row that waits
         names = [f.name for f in NEEDS]
         for batch in batches:
             c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
@@ -139,7 +141,11 @@ def _meet(segments: DataFrame) -> DataFrame:
                 a, s = c["anchor"][mine], c["segment"][mine]
                 same_anchor = np.concatenate(([last is not None and a[0] == last[0]], a[1:] == a[:-1]))
                 same = same_anchor & np.concatenate(([last is not None and s[0] == last[1]], s[1:] == s[:-1]))
-                out.append((mine[same], True, None))
+                place = [rows[n][mine] for n in ("doc_id", "low")]
+                twin = same & np.all(
+                    [np.concatenate(([last is not None and x[0] == y], x[1:] == x[:-1])) for x, y in zip(place, last[2:] if last else (0, 0))], axis=0
+                )
+                out.append((mine[same & ~twin], True, None))
                 first = mine[~same]
                 group = np.cumsum(~same_anchor)[~same]  # 0: the anchor carried over
                 if len(first):
@@ -153,7 +159,7 @@ def _meet(segments: DataFrame) -> DataFrame:
                         shared = bool(several[group[-1]])
                         pending = None if shared else {n: rows[n][first[-1]] for n in rows} | {"whole": False}
                     # a last anchor that is alone here may meet another in the next batch; others alone are done with
-                last = (a[-1], s[-1])
+                last = (a[-1], s[-1], place[0][-1], place[1][-1])
             for at, kind, _ in out:
                 if len(at):
                     arrays = [np.full(len(at), kind) if n == "whole" else rows[n][at] for n in names]
@@ -273,6 +279,8 @@ def _index_parts(parts: DataFrame, length: int) -> DataFrame:
     def index(table: pa.Table) -> pa.Table:
         doc, low = table.column("doc_id").to_numpy(), table.column("low").to_numpy()
         order = np.lexsort((low, doc))
+        twin = np.concatenate(([False], (doc[order][1:] == doc[order][:-1]) & (low[order][1:] == low[order][:-1])))
+        order = order[~twin]
         texts = table.column("bytes")
         again = repeated_windows([texts[int(i)].as_py() for i in order], length)
         out = []

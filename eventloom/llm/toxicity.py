@@ -53,7 +53,7 @@ def term(word: str) -> int:
 def features(text: str | None) -> list[np.ndarray]:
     """Hashed terms of a whole text by kind, repeats included: words, then beginnings of ``PREFIXES`` letters of longer words."""
     found = [[] for _ in range(KINDS)]
-    for piece in pieces((text or "").lower()):
+    for piece, _ in pieces((text or "").lower()):
         points = code_points(piece)
         starts, ends = _runs(points)
         found[0].append(_hash(points, starts, ends, 0))
