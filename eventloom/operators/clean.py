@@ -11,7 +11,7 @@ from ..functions.text import contains_any
 
 
 def keep_min_length(seq: DataFrame, n: int = 1) -> DataFrame:
-    """People (one row each, with ``num_of_concepts``) with at least ``n`` tokens."""
+    """Rows of the people with at least ``n`` tokens; ``num_of_concepts`` is the person's total, on each of their rows."""
     return seq.filter(F.col("num_of_concepts") >= n)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket, hash32
-from ..functions.joins import lookup
 from ..functions.scan import int_levels, ordered_scan
 from ..functions.timing import completed_years, to_epoch
 from .clean import match_concepts
@@ -30,7 +29,7 @@ def case_control(
     """
     matched = match_concepts(concepts, patterns).select(F.col("concept_id").alias("condition_concept_id"))
     first = (
-        conditions.join(lookup(matched), "condition_concept_id", "left_semi")
+        conditions.join(matched, "condition_concept_id", "left_semi")
         .groupBy("person_id")
         .agg(F.min("condition_start_date").alias("first_condition"))
     )
@@ -96,9 +95,8 @@ def cut_at_index(seq: DataFrame, cohort: DataFrame, window_days: int | None = No
     )
     cohort = cohort.join(ages, "person_id", "left").withColumn("age_at_index", F.coalesce("age_at_index", F.lit(-1)))
     inside = F.col("epoch") <= F.col("__until")
-    if window_days:
-        start = F.greatest(F.col("__until") - F.lit(window_days * 86400.0), F.lit(0.0))
-        inside &= F.col("epoch") >= start
+    if window_days is not None:
+        inside &= F.col("epoch") >= F.col("__until") - F.lit(window_days * 86400.0)
     return seq.join(cohort, "person_id").filter(inside).drop("__until")
 
 
@@ -146,20 +144,23 @@ def outcome_cohort(
     index_events: DataFrame,
     outcomes: DataFrame,
     people: DataFrame,
+    observed: DataFrame,
     obs_days: int,
     pred_start: int,
     pred_end: int,
     ages: tuple[int, int],
     dates: tuple[str, str],
 ) -> DataFrame:
-    """``person_id, index_date, age, label`` for every index event with enough observation before it.
+    """``person_id, index_date, age, label`` for every index event with ``obs_days`` of observation before it.
+
+    ``observed`` has ``person_id, observed_from``: the first visit, or the start of an observation period; the earliest counts.
 
     The label says whether an outcome falls ``pred_start`` to ``pred_end`` days after the index date (never on or before
     it). Events are scanned in time order: the first outcome at or after a date decides, so index events and
     outcomes are never paired with each other.
     """
     lo_date, hi_date = dates
-    first_seen = index_events.groupBy("person_id").agg(F.min("index_date").alias("__first"))
+    first_seen = observed.groupBy("person_id").agg(F.min("observed_from").alias("__first"))
     start = F.greatest(F.lit(pred_start), F.lit(1))
     asks = index_events.select("person_id", "index_date", F.date_add("index_date", start).alias("__from"))
     points = asks.select("person_id", "__from", "index_date", F.lit(1).alias("__ask")).unionByName(
@@ -196,27 +197,30 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.15, seed: int = 42) -> DataFrame:
-    """``split``: the first ``test`` share of each label in hash order."""
+    """``split``: the first ``test`` share of each label in hash order; rows without a label are a label of their own."""
     order = [hash32(seed, F.col(key)), F.col(key)]
-    ranked = ordered_scan(df, [label], int_levels(order[0], (22, 12)), order, count="__rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    by = ["__label", "__unlabelled"]  # a scan needs keys that are not null
+    df = df.withColumns({"__label": F.coalesce(F.col(label).cast("string"), F.lit("")), "__unlabelled": F.col(label).isNull()})
+    ranked = ordered_scan(df, by, int_levels(order[0], (22, 12)), order, count="__rank")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     cut = F.floor(F.col("__n") * test + F.lit(0.5))
-    out = ranked.join(lookup(sizes), label)
-    return out.withColumn("split", F.when(F.col("__rank") <= cut, "test").otherwise("train")).drop("__rank", "__n")
+    out = ranked.join(sizes, by)
+    return out.withColumn("split", F.when(F.col("__rank") <= cut, "test").otherwise("train")).drop("__rank", "__n", *by)
 
 
 def chronological_split(df: DataFrame, time: str, fractions: dict[str, float]) -> DataFrame:
     """``split`` by date: each split takes the share of rows with the earliest dates left; a date is never divided.
 
-    Rows are counted per date first, so the ordering runs over distinct dates only.
+    Rows are counted per date first, so the ordering runs over distinct dates only. Shares are of the rows that have a date;
+    the others have no place in time and get a null split.
     """
     day = F.to_date(time)
-    per_day = df.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    per_day = df.filter(day.isNotNull()).groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
     ranked = ordered_scan(
         per_day, [], int_levels(F.unix_date("__day"), (9,)), [F.col("__day")], sums={"__upto": F.col("__n")}
     )
-    total = df.count()
-    before = (F.col("__upto") - F.col("__n")) / F.lit(float(total))
+    total = per_day.agg(F.sum("__n")).first()[0] or 0
+    before = (F.col("__upto") - F.col("__n")) / F.lit(float(max(total, 1)))
     names = list(fractions)
     out, edge = None, 0.0
     for name in names[:-1]:
@@ -224,12 +228,12 @@ def chronological_split(df: DataFrame, time: str, fractions: dict[str, float]) -
         out = F.when(before < edge, F.lit(name)) if out is None else out.when(before < edge, F.lit(name))
     split = F.lit(names[-1]) if out is None else out.otherwise(F.lit(names[-1]))
     days = ranked.select("__day", split.alias("split"))
-    return df.withColumn("__day", day).join(lookup(days), "__day").drop("__day")
+    return df.withColumn("__day", day).join(days, "__day", "left").drop("__day")
 
 
 def named_split(df: DataFrame, test_ids: DataFrame, key: str = "person_id") -> DataFrame:
     """``split`` test for the listed keys, train for the others."""
-    marks = lookup(test_ids.select(key).distinct().withColumn("__t", F.lit(True)))
+    marks = test_ids.select(key).distinct().withColumn("__t", F.lit(True))
     return df.join(marks, key, "left").withColumn("split", F.when(F.col("__t"), "test").otherwise("train")).drop("__t")
 
 

@@ -12,7 +12,6 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import lookup
 
 
 def mean_pool(vectors: DataFrame, by: Sequence[str], vector: str = "vector") -> DataFrame:
@@ -104,10 +103,10 @@ def modes(df: DataFrame, column: str) -> DataFrame:
     """All most frequent values."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.max("n").alias("n"))
-    return counts.join(lookup(top), "n").select(column, "n")
+    return counts.join(top, "n").select(column, "n")
 
 
 def enrich(df: DataFrame, lookup_table: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left lookup of columns by keys; 0 where there is no match."""
-    out = df.join(lookup(lookup_table.select(*keys, *columns)), list(keys), "left")
+    out = df.join(lookup_table.select(*keys, *columns), list(keys), "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in columns})

@@ -75,25 +75,29 @@ def prevalence(scores: DataFrame) -> DataFrame:
 
 
 def roc_points(scores: DataFrame) -> DataFrame:
-    """``threshold, fpr, tpr`` at every distinct score."""
+    """``threshold, fpr, tpr`` at every distinct score, and the curve's start: nothing is positive at an infinite threshold."""
     n_pos, n_neg = _totals(scores)
-    return cumulated(scores).select(
+    points = cumulated(scores).select(
         F.col("p").alias("threshold"),
         F.try_divide(F.col("fp"), F.lit(n_neg)).alias("fpr"),
         F.try_divide(F.col("tp"), F.lit(n_pos)).alias("tpr"),
         "tp",
         "fp",
     )
+    start = [(float("inf"), 0.0, 0.0, 0, 0)]
+    return points.union(points.sparkSession.createDataFrame(start, "threshold double, fpr double, tpr double, tp long, fp long"))
 
 
 def pr_points(scores: DataFrame) -> DataFrame:
-    """``threshold, recall, precision`` at every distinct score."""
+    """``threshold, recall, precision`` at every distinct score, and the curve's end: recall 0 with precision 1 at no threshold."""
     n_pos, _ = _totals(scores)
-    return cumulated(scores).select(
+    points = cumulated(scores).select(
         F.col("p").alias("threshold"),
         F.try_divide(F.col("tp"), F.lit(n_pos)).alias("recall"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
     )
+    end = [(None, 0.0, 1.0)]
+    return points.union(points.sparkSession.createDataFrame(end, "threshold double, recall double, precision double"))
 
 
 # ---- thresholds ------------------------------------------------------------------------------------------------

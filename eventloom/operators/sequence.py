@@ -480,18 +480,18 @@ def to_arrays(seq: DataFrame, columns: Sequence[str], part_size: int = 8192, by:
     """Parallel arrays in position order, one row per ``part_size`` positions.
 
     A person within ``part_size`` tokens is one row (part 0); a longer one continues on further rows, so nothing
-    is cut off and no row or task grows with a person's history.
+    is cut off and no row or task grows with a person's history. ``num_of_concepts`` and ``n_parts`` are the person's on every row.
     """
     part = F.floor((F.col("pos") - 1) / part_size).cast("int")
     packed = (
         seq.groupBy(*by, part.alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("rows"))
     )
-    return packed.select(
-        *by,
-        "part",
-        *[F.transform("rows", field_of(c)).alias(c) for c in columns],
-        F.size("rows").alias("num_of_concepts"),
+    totals = seq.groupBy(*by).agg(
+        F.count(F.lit(1)).cast("int").alias("num_of_concepts"), (F.max(part) + 1).alias("n_parts")
+    )
+    return packed.join(totals, list(by)).select(
+        *by, "part", *[F.transform("rows", field_of(c)).alias(c) for c in columns], "num_of_concepts", "n_parts"
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_draw
-from ..functions.joins import lookup
 from ..functions.quantiles import exact_quantiles
 from ..session import stage
 from .sequence import NO_UNIT
@@ -41,17 +40,17 @@ def build_vocab(seq: DataFrame, size: int = 50_000, min_freq: int = 0) -> DataFr
 
 def encode(seq: DataFrame, vocab: DataFrame) -> DataFrame:
     """``token_id`` per token; unknown tokens get the out-of-vocabulary id."""
-    ids = lookup(vocab.select("token", F.col("id").alias("token_id")))
+    ids = vocab.select("token", F.col("id").alias("token_id"))
     out = seq.join(ids, "token", "left")
     return out.withColumn("token_id", F.coalesce("token_id", F.lit(OOV_ID)))
 
 
 def decode(ids: DataFrame, vocab: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``token`` per ``token_id`` and, given ``names (token, name)``, its name (the token itself where it has none)."""
-    words = lookup(vocab.select(F.col("id").alias("token_id"), "token"))
+    words = vocab.select(F.col("id").alias("token_id"), "token")
     out = ids.join(words, "token_id", "left").withColumn("token", F.coalesce("token", F.lit(OOV)))
     if names is not None:
-        out = out.join(lookup(names.select("token", "name")), "token", "left")
+        out = out.join(names.select("token", "name"), "token", "left")
         out = out.withColumn("name", F.coalesce("name", "token"))
     return out
 
@@ -66,11 +65,12 @@ def lab_stats(values: DataFrame, k: float = 3.0, exact: bool = True) -> DataFram
 
     ``values`` has ``concept_id, unit, value, value_mask``. Masked-out, zero and NaN values are left out; the rest are
     kept between the quantiles that ``k`` standard deviations of a normal distribution would mark, and described.
-    Defined as one exact two-pass computation, so the result does not depend on row order or batches.
+    Defined as one exact two-pass computation, so the result does not depend on row order or batches. Values without a unit
+    have the filler unit.
     ``exact=False`` takes the quantiles from a mergeable sketch in a single pass.
     """
     usable = values.filter((F.col("value_mask") == 1) & (F.col("value") != 0) & ~F.isnan("value"))
-    usable = usable.select(*STATS_KEY, "value")
+    usable = usable.select("concept_id", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit"), "value")
     lo, hi = normal_share(-k), normal_share(k)
     if exact:
         bounds = exact_quantiles(usable, STATS_KEY, "value", [lo, hi]).drop("n")
@@ -79,7 +79,7 @@ def lab_stats(values: DataFrame, k: float = 3.0, exact: bool = True) -> DataFram
         bounds = usable.groupBy(*STATS_KEY).agg(q.alias("q")).select(
             *STATS_KEY, F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1")
         )
-    kept = usable.join(lookup(bounds), STATS_KEY).filter(F.col("value").between(F.col("q0"), F.col("q1")))
+    kept = usable.join(bounds, STATS_KEY).filter(F.col("value").between(F.col("q0"), F.col("q1")))
     out = kept.groupBy(*STATS_KEY).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("count")
     )
@@ -96,12 +96,14 @@ def lab_stats(values: DataFrame, k: float = 3.0, exact: bool = True) -> DataFram
 
 def normalize(values: DataFrame, stats: DataFrame) -> DataFrame:
     """Adds ``normalized``: the clipped z-score where there is a value and known statistics, else the value."""
-    known = lookup(stats.select(*STATS_KEY, "mean", "std", "value_outlier_std"))
+    known = stats.select(*STATS_KEY, "mean", "std", "value_outlier_std")
     k = F.col("value_outlier_std")
     z = F.when(F.col("std") > 0, (F.col("value") - F.col("mean")) / F.col("std")).otherwise(F.lit(0.0))
     clipped = F.greatest(-k, F.least(k, z))
     use = (F.col("value_mask") == 1) & F.col("mean").isNotNull()
-    out = values.join(known, STATS_KEY, "left")
+    known = known.withColumnsRenamed({"concept_id": "__concept", "unit": "__unit"})
+    same = (F.col("concept_id") == F.col("__concept")) & (F.coalesce("unit", F.lit(NO_UNIT)) == F.col("__unit"))
+    out = values.join(known, same, "left").drop("__concept", "__unit")
     return out.withColumn("normalized", F.when(use, clipped).otherwise(F.col("value"))).drop(
         "mean", "std", "value_outlier_std"
     )
@@ -127,7 +129,7 @@ def denormalize(values: DataFrame, stats: DataFrame, key: str, seed: int = 42) -
     shares = ends.groupBy("concept_id").agg(
         F.array_sort(F.collect_list(F.struct("upto", "unit", "mean", "std"))).alias("units")
     )
-    out = values.join(lookup(shares), "concept_id", "left").withColumn("__u", unit_draw(seed, F.col(key)))
+    out = values.join(shares, "concept_id", "left").withColumn("__u", unit_draw(seed, F.col(key)))
     pick = F.get(F.filter("units", lambda e: e["upto"] > F.col("__u")), F.lit(0))
     pick = F.coalesce(pick, F.element_at("units", -1))
     out = out.withColumn("__pick", pick)

@@ -129,7 +129,7 @@ def observation_window(events: DataFrame, cohort: DataFrame, days: int | None =
     """Events at or before ``prediction_time`` and within ``days`` before it; demographics are always kept."""
     out = events.join(cohort, "subject_id")
     inside = F.col("time") <= F.col("prediction_time")
-    if days:
+    if days is not None:
         inside &= F.col("time") >= F.col("prediction_time") - F.make_dt_interval(F.lit(days))
     return out.filter(inside | _is_demographic(F.col("code")))
 
@@ -169,13 +169,16 @@ def end_or_day_end(start: Column, end: Column) -> Column:
 
 
 def detach_out_of_range(events: DataFrame, visits: DataFrame, days: int = 1) -> DataFrame:
-    """Adds ``detached``: the event lies more than ``days`` whole days outside its visit."""
+    """Adds ``detached``: the event lies more than ``days`` whole days outside its visit.
+
+    An event without a time, or whose visit is not among ``visits``, is not detached.
+    """
     bounds = visits.select(*BLOCK_KEY, "visit_start", "visit_end")
-    out = events.join(bounds, BLOCK_KEY)
+    out = events.join(bounds, BLOCK_KEY, "left")
     end = end_or_day_end(F.col("visit_start"), F.col("visit_end"))
     early = floor_days(F.col("visit_start"), F.col("time")) > days
     late = floor_days(F.col("time"), end) > days
-    return out.withColumn("detached", early | late).drop("visit_start", "visit_end")
+    return out.withColumn("detached", F.coalesce(early | late, F.lit(False))).drop("visit_start", "visit_end")
 
 
 def _record_ends(visits: DataFrame, end: Column, largest: int | None = None) -> DataFrame:
@@ -234,8 +237,11 @@ def assign_events(events: DataFrame, visits: DataFrame) -> DataFrame:
     """The linked profile end to end: every event gets the visit it ends up in.
 
     Out-of-range events are detached, unlinked days go to a covering visit, the rest become visits of their own.
-    Adds ``visit_id`` (final) and ``how``: linked, attached or orphan.
+    Adds ``visit_id`` (final) and ``how``: linked, attached, orphan or untimed. No event is lost: a visit id that ``visits`` does
+    not list is a visit nevertheless, and an event without a time keeps the id it has, or none.
     """
+    untimed = events.filter(F.col("time").isNull()).withColumn("how", F.lit("untimed"))
+    events = events.filter(F.col("time").isNotNull())
     linked = events.filter(F.col("visit_id").isNotNull())
     marked = stage(detach_out_of_range(linked, visits), "marked-events")
     stays = marked.filter(~F.col("detached")).drop("detached").withColumn("how", F.lit("linked"))
@@ -244,9 +250,10 @@ def assign_events(events: DataFrame, visits: DataFrame) -> DataFrame:
     loose = loose.withColumn("day", F.to_date("time"))
     days = loose.select("subject_id", "day").distinct()
     attached = stage(attach_days(days, visits), "attached-days")
-    orphans = orphan_visits(days.join(attached, ["subject_id", "day"], "left_anti"), visits)
+    taken = visits.select(*BLOCK_KEY).union(linked.select(*BLOCK_KEY))
+    orphans = orphan_visits(days.join(attached, ["subject_id", "day"], "left_anti"), taken)
     where = attached.withColumn("how", F.lit("attached")).unionByName(orphans.withColumn("how", F.lit("orphan")))
-    return stays.unionByName(loose.join(where, ["subject_id", "day"]).drop("day"))
+    return stays.unionByName(loose.join(where, ["subject_id", "day"]).drop("day")).unionByName(untimed)
 
 
 def order_blocks(blocks: DataFrame) -> DataFrame:
@@ -296,15 +303,18 @@ def merge_contained(blocks: DataFrame) -> DataFrame:
     )
 
 
-_MERGED = "subject_id long, visit_id long, container_id long, merged_type string, dropped_type string"
+_PASSED = (
+    "subject_id long, visit_id long, opened_by long, dropped_type string, container_id long, merged_type string"
+)
 
 
 def merge_contained_swapping(blocks: DataFrame) -> DataFrame:
     """As :func:`merge_contained`, but an ED or admission block inside a block that is neither becomes the survivor.
 
-    A swap changes the bounds for the comparisons that follow, so blocks are folded in order. Only blocks whose
-    times overlap can meet: the fold runs per run of overlapping blocks, not per subject. ``dropped_type`` is
-    the type code to drop from an absorbed block's events.
+    One pass in (start, id) order per run of overlapping blocks. Kept are the survivors that a later block can still fall
+    into, so the state is the depth of the overlap, not the run: absorbed blocks leave at once under the id of the block that
+    opened their place, and who holds the place in the end is said when it closes. ``dropped_type`` is the type code to drop
+    from an absorbed block's events.
     """
     order = [F.col("visit_start"), F.col("visit_id")]
     levels = time_levels(F.col("visit_start"))
@@ -315,69 +325,61 @@ def merge_contained_swapping(blocks: DataFrame) -> DataFrame:
     started = {"run": F.when(apart, 1).otherwise(0).cast("long")}
     runs = ordered_scan(seen, ["subject_id"], levels, order, sums=started, largest=largest)
     cols = [*BLOCK_KEY, "run", "visit_type", "visit_start", "visit_end", "has_ed", "has_admission"]
-    runs = stage(runs.select(*cols), "block-runs")
-    sizes = runs.groupBy("subject_id", "run").agg(F.count(F.lit(1)).alias("__n"))
-    runs = runs.join(sizes, ["subject_id", "run"])
-    alone = runs.filter("__n = 1").select(
-        *BLOCK_KEY,
-        F.col("visit_id").alias("container_id"),
-        F.col("visit_type").alias("merged_type"),
-        F.lit(None).cast("string").alias("dropped_type"),
-    )
-    together = runs.filter("__n > 1").drop("__n").repartition("subject_id", "run")
-    together = together.sortWithinPartitions("subject_id", "run", "visit_start", "visit_id")
-    return alone.unionByName(together.mapInPandas(_fold_runs, _MERGED))
+    runs = runs.select(*cols).repartition("subject_id", "run")
+    runs = runs.sortWithinPartitions("subject_id", "run", "visit_start", "visit_id")
+    passed = stage(runs.mapInPandas(_pass_blocks, _PASSED), "passed-blocks")
+    places = passed.filter("visit_id IS NULL").select("subject_id", "opened_by", "container_id", "merged_type")
+    members = passed.filter("visit_id IS NOT NULL").select(*BLOCK_KEY, "opened_by", "dropped_type")
+    return members.join(places, ["subject_id", "opened_by"]).select(*BLOCK_KEY, "container_id", "merged_type", "dropped_type")
+
+
+class _Place:
+    """A survivor that later blocks can still fall into, under the id of the block that opened it."""
 
+    __slots__ = ("opened_by", "holder", "kind")
+
+    def __init__(self, block):
+        self.opened_by, self.holder, self.kind = block.visit_id, block, block.visit_type
+
+    def admit(self, block):
+        """Take in a contained block; returns the one that is absorbed, the newcomer or the holder it replaces, and its type."""
+        urgent = lambda b: b.has_ed or b.has_admission
+        lost, lost_kind = block, block.visit_type
+        if urgent(block) and not urgent(self.holder):
+            lost, lost_kind = self.holder, self.kind
+            self.holder, self.kind = block, block.visit_type
+        if self.holder.has_admission and lost.has_ed:
+            self.kind = ED_TO_INPATIENT_TYPE
+        return lost, lost_kind
+
+
+def _pass_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Member rows (with ``visit_id``) and, as places close, rows that say who holds them."""
+    subject, open_places = None, []
+
+    def closing(places: list[_Place]) -> list[tuple]:
+        held = [(subject, p.holder.visit_id, p.opened_by, None, None, None) for p in places]
+        return held + [(subject, None, p.opened_by, None, p.holder.visit_id, p.kind) for p in places]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["subject_id", "visit_id", "opened_by", "dropped_type", "container_id", "merged_type"])
+        return out.astype({"subject_id": "Int64", "visit_id": "Int64", "opened_by": "Int64", "container_id": "Int64"})
 
-def _fold_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold each run of a sorted partition; at most one unfinished run is held between batches."""
-    held: list[dict] = []
     for batch in batches:
         out: list[tuple] = []
-        for block in batch.to_dict("records"):
-            if held and (held[0]["subject_id"], held[0]["run"]) != (block["subject_id"], block["run"]):
-                out += fold_run(held)
-                held = []
-            held.append(block)
-        yield _merged_frame(out)
-    yield _merged_frame(fold_run(held))
-
-
-def _merged_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["subject_id", "visit_id", "container_id", "merged_type", "dropped_type"])
-
-
-def fold_run(blocks: list[dict]) -> list[tuple]:
-    """Merge one run of blocks, sorted by (start, id)."""
-    into: dict[int, int] = {}
-    dropped: dict[int, str] = {}
-    for i in range(len(blocks)):
-        if i in into:
-            continue
-        keep = i
-        for j in range(i + 1, len(blocks)):
-            a, b = blocks[keep], blocks[j]
-            if b["visit_start"] > a["visit_end"]:
-                break  # sorted by start: nothing later fits
-            if j in into or b["visit_end"] > a["visit_end"] or b["visit_start"] < a["visit_start"]:
+        for block in batch.itertuples(index=False):
+            over = [p for p in open_places if block.subject_id != subject or p.holder.visit_end < block.visit_start]
+            out += closing(over)
+            open_places = [p for p in open_places if p not in over]
+            subject = block.subject_id
+            place = next((p for p in open_places if block.visit_end <= p.holder.visit_end), None)
+            if place is None:
+                open_places.append(_Place(block))
                 continue
-            lose = j
-            if not (a["has_ed"] or a["has_admission"]) and (b["has_ed"] or b["has_admission"]):
-                keep, lose = j, keep
-            into[lose] = keep
-            into.setdefault(j, keep)  # the later one of a pair is spent, swapped or not
-            dropped[lose] = blocks[lose]["visit_type"]
-            if blocks[keep]["has_admission"] and blocks[lose]["has_ed"]:
-                blocks[keep]["visit_type"] = ED_TO_INPATIENT_TYPE
-    out = []
-    for i, b in enumerate(blocks):
-        top = i
-        while into.get(top, top) != top:
-            top = into[top]
-        out.append(
-            (b["subject_id"], b["visit_id"], blocks[top]["visit_id"], blocks[top]["visit_type"], dropped.get(i))
-        )
-    return out
+            lost, kind = place.admit(block)
+            out.append((subject, lost.visit_id, place.opened_by, kind, None, None))
+        yield frame(out)
+    yield frame(closing(open_places))
 
 
 # ---- block attributes ------------------------------------------------------------------------------------------

@@ -209,7 +209,7 @@ def skip_done(spark, d):
     "c13_outcome_cohort",
     f"""WITH i AS (SELECT person_id, CAST(visit_end AS DATE) AS index_date FROM ({A.visits_sql()}) WHERE visit_type = 'Visit/IP'),
 o AS (SELECT person_id, CAST(visit_start AS DATE) AS outcome_date FROM ({A.visits_sql()}) WHERE visit_type IN ('Visit/IP', 'Visit/ER')),
-f AS (SELECT person_id, min(index_date) AS first FROM i GROUP BY 1),
+f AS (SELECT person_id, min(CAST(visit_start AS DATE)) AS first FROM ({A.visits_sql()}) GROUP BY 1),
 x AS (SELECT i.person_id, i.index_date, date_sub('year', birth, CAST(i.index_date AS TIMESTAMP))::INT AS age,
   (EXISTS (SELECT 1 FROM o WHERE o.person_id = i.person_id AND date_diff('day', i.index_date, o.outcome_date) BETWEEN 1 AND 90))::INT AS label, first
   FROM i JOIN f USING (person_id) JOIN ({A.PEOPLE_SQL}) p USING (person_id))
@@ -220,12 +220,54 @@ def outcome_cohort(spark, d):
     v = A.visits(spark, d)
     index = v.filter("visit_type = 'Visit/IP'").select("person_id", F.to_date("visit_end").alias("index_date"))
     outcomes = v.filter("visit_type IN ('Visit/IP', 'Visit/ER')").select("person_id", F.to_date("visit_start").alias("outcome_date"))
+    observed = v.select("person_id", F.to_date("visit_start").alias("observed_from"))
     return C.outcome_cohort(
-        index, outcomes, A.people(spark, d), obs_days=360, pred_start=0, pred_end=90, ages=(18, 60),
+        index, outcomes, A.people(spark, d), observed, obs_days=360, pred_start=0, pred_end=90, ages=(18, 60),
         dates=("1996-01-01", "2001-01-01"),
     )
 
 
+_EARLY = 1_900_000_000  # seconds: moves the event log to before 1970
+
+
+@add(
+    "c5_cut_at_index_before_1970",
+    f"""WITH c AS ({_INDEX}) SELECT e.subject_id AS person_id, event_id AS pos, label
+FROM ({A.LOG_EVENTS_SQL}) e JOIN c ON e.subject_id = c.person_id WHERE time BETWEEN index_date - INTERVAL 15 DAY AND index_date""",
+)
+def cut_at_index_before_1970(spark, d):
+    seq = _log_tokens(spark, d).withColumn("epoch", F.col("epoch") - _EARLY)
+    index = log_index_dates(spark, d).withColumn("index_date", F.col("index_date") - F.make_dt_interval(secs=F.lit(_EARLY)))
+    return C.cut_at_index(seq, index, 15).select("person_id", "pos", "label")
+
+
+@add(
+    "c15_stratified_split_unlabelled",
+    f"""WITH {COHORT_CTE}, u AS (SELECT person_id, CASE WHEN person_id % 4 <> 0 THEN label END AS label FROM cohort),
+r AS (SELECT person_id, label, row_number() OVER (PARTITION BY label ORDER BY {hash_sql(42, 'person_id')}, person_id) AS i,
+  count(*) OVER (PARTITION BY label) AS n FROM u)
+SELECT person_id, coalesce(label, -1) AS label, CASE WHEN i <= floor(n * 0.15::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS split FROM r""",
+)
+def stratified_split_unlabelled(spark, d):
+    df = cohort(spark, d).withColumn("label", F.when(F.col("person_id") % 4 != 0, F.col("label")))
+    out = C.stratified_split(df, "label", "person_id")
+    return out.select("person_id", F.coalesce("label", F.lit(-1)).alias("label"), "split")
+
+
+@add(
+    "c16_chronological_split_undated",
+    """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders),
+d AS (SELECT day, count(*) AS n FROM o WHERE day IS NOT NULL GROUP BY 1),
+r AS (SELECT day, (sum(n) OVER (ORDER BY day) - n) / (SELECT sum(n) FROM d) AS before FROM d)
+SELECT o_orderkey, CASE WHEN o.day IS NULL THEN NULL WHEN before < 0.7 THEN 'train' WHEN before < 0.85::DOUBLE THEN 'validation' ELSE 'test' END AS split
+FROM o LEFT JOIN r ON o.day = r.day""",
+)
+def chronological_split_undated(spark, d):
+    t = F.when(F.col("o_orderkey") % 29 != 0, F.col("o_orderdate").cast("timestamp"))
+    o = A.table(spark, d, "orders").select("o_orderkey", t.alias("t"))
+    return C.chronological_split(o, "t", {"train": 0.7, "validation": 0.15, "test": 0.15}).select("o_orderkey", "split")
+
+
 @add("c14_subsample", f"SELECT o_orderkey FROM orders WHERE {hash_sql(42, 'o_orderkey')} % 1000000 < 50000")
 def subsample(spark, d):
     return C.subsample(A.table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.05)
@@ -335,14 +377,15 @@ def truncate_random_complete(spark, d):
     "b3_mask_tokens",
     f"""WITH {LOG_VOCAB_CTE}, m AS (SELECT subject_id AS person_id, pos, id AS token_id FROM logseq JOIN vocab USING (token)),
 h AS (SELECT *, {hash_sql('42:choose', 'person_id', 'pos')} % 1000000 / 1e6 AS c, {hash_sql('42:kind', 'person_id', 'pos')} % 1000000 / 1e6 AS k,
-  {hash_sql('42:word', 'person_id', 'pos')} % 40 AS w FROM m)
+  {hash_sql('42:word', 'person_id', 'pos')} % (SELECT max(id) + 1 FROM vocab) AS w FROM m)
 SELECT person_id, pos, (CASE WHEN c < 0.15 THEN CASE WHEN k < 0.8 THEN 1 WHEN k < 0.9 THEN w ELSE token_id END ELSE token_id END)::INT AS masked_id,
   (CASE WHEN c < 0.15 THEN token_id ELSE -100 END)::INT AS label_id FROM h""",
 )
 def mask_tokens(spark, d):
     seq = stage(_log_sequence(spark, d), "log-sequence")
-    ids = T.encode(seq, T.build_vocab(seq))
-    return B.mask_tokens(ids, vocab_size=40).select("person_id", "pos", "masked_id", "label_id")
+    vocab = stage(T.build_vocab(seq), "log-vocabulary")
+    size = vocab.agg(F.max("id") + 1).first()[0]
+    return B.mask_tokens(T.encode(seq, vocab), vocab_size=size).select("person_id", "pos", "masked_id", "label_id")
 
 
 def _side_columns(spark, d):

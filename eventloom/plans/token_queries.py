@@ -118,6 +118,22 @@ def value_statistics_log(spark, d):
     return _rounded(T.lab_stats(e, 3.0), ["mean", "std"]).select("concept_id", "unit", "mean", "std", "count")
 
 
+@add(
+    "t4_value_statistics_no_unit",
+    f"""WITH vals AS (SELECT code AS concept_id, CASE WHEN event_id % 3 <> 0 THEN unit ELSE 'N/A' END AS unit, numeric_value AS value FROM ({A.LOG_EVENTS_SQL})),
+q AS (SELECT concept_id, unit, quantile_cont(value, {T.normal_share(-3.0)!r}::DOUBLE) AS lo, quantile_cont(value, {T.normal_share(3.0)!r}::DOUBLE) AS hi
+  FROM vals WHERE value <> 0 GROUP BY 1, 2)
+SELECT concept_id, unit, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS count FROM vals
+JOIN q USING (concept_id, unit) WHERE value <> 0 AND value BETWEEN lo AND hi GROUP BY 1, 2""",
+)
+def value_statistics_no_unit(spark, d):
+    unit = F.when(F.col("event_id") % 3 != 0, F.col("unit"))
+    e = A.log_events(spark, d).select(
+        F.col("code").alias("concept_id"), unit.alias("unit"), F.col("numeric_value").alias("value"), F.lit(1).alias("value_mask")
+    )
+    return _rounded(T.lab_stats(e, 3.0), ["mean", "std"]).select("concept_id", "unit", "mean", "std", "count")
+
+
 @add("t4_value_statistics_sketch")
 def value_statistics_sketch(spark, d):
     return _rounded(T.lab_stats(lab_values(spark, d), K, exact=False), ["mean", "std", "lower_bound", "upper_bound"])

@@ -257,6 +257,36 @@ def assign_events(spark, d):
     return out.select("subject_id", "event_id", "code", "visit_id", "how")
 
 
+@add(
+    "e7_assign_every_event",
+    f"""WITH v AS (SELECT * FROM ({_visits_cte(_LONG_STAY)}) WHERE visit_id % 13 <> 0),
+e AS (SELECT subject_id, event_id, code, CASE WHEN event_id % 5 <> 0 THEN visit_id END AS visit_id, CASE WHEN event_id % 41 <> 0 THEN time END AS time
+  FROM ({_SHIPPED})),
+m AS (SELECT e.*, coalesce({_OUT}, FALSE) AS detached FROM e LEFT JOIN v USING (subject_id, visit_id) WHERE e.time IS NOT NULL),
+loose AS (SELECT subject_id, event_id, CAST(time AS DATE) AS day, code FROM m WHERE detached OR visit_id IS NULL),
+days AS (SELECT DISTINCT subject_id, day FROM loose), att AS ({_ATTACH}),
+top AS (SELECT subject_id, max(visit_id) AS t FROM (SELECT subject_id, visit_id FROM v UNION ALL
+  SELECT subject_id, visit_id FROM m WHERE visit_id IS NOT NULL) GROUP BY 1),
+orp AS (SELECT subject_id, day, coalesce(t, 0) + row_number() OVER (PARTITION BY subject_id ORDER BY day) AS visit_id
+  FROM (SELECT * FROM days d WHERE NOT EXISTS (SELECT 1 FROM att a WHERE a.subject_id = d.subject_id AND a.day = d.day))
+  LEFT JOIN top USING (subject_id)),
+x AS (SELECT *, 'attached' AS how FROM att UNION ALL SELECT *, 'orphan' FROM orp)
+SELECT subject_id, event_id, code, visit_id, 'linked' AS how FROM m WHERE NOT detached AND visit_id IS NOT NULL
+UNION ALL SELECT l.subject_id, l.event_id, l.code, x.visit_id, how FROM loose l JOIN x USING (subject_id, day)
+UNION ALL SELECT subject_id, event_id, code, coalesce(visit_id, -1), 'untimed' FROM e WHERE time IS NULL""",
+)
+def assign_every_event(spark, d):
+    """Events without a time, without a visit, and of visits that the visit table does not list."""
+    e = _shipped(spark, d).withColumns(
+        {
+            "visit_id": F.when(F.col("event_id") % 5 != 0, F.col("visit_id")),
+            "time": F.when(F.col("event_id") % 41 != 0, F.col("time")),
+        }
+    )
+    out = V.assign_events(e, _visits(spark, d, _LONG_STAY).filter("visit_id % 13 <> 0"))
+    return out.select("subject_id", "event_id", "code", F.coalesce("visit_id", F.lit(-1)).alias("visit_id"), "how")
+
+
 @add(
     "e7_orphan_visits",
     f"""WITH v AS ({_visits_cte()}), top AS (SELECT subject_id, max(visit_id) AS t FROM v WHERE visit_type = 'Visit/ER' GROUP BY 1)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.joins import lookup
 from ..functions.text import clean_code
 from ..operators.tokens import OOV_ID
 from ..session import new_folder
@@ -22,7 +21,7 @@ from ..session import new_folder
 
 def encode_stream(stream: DataFrame, vocab: DataFrame) -> DataFrame:
     """Clean codes, drop untimed events and look up ids in a static vocabulary; append output."""
-    ids = lookup(vocab.select("token", F.col("id").alias("token_id")))
+    ids = vocab.select("token", F.col("id").alias("token_id"))
     out = stream.filter(F.col("time").isNotNull()).withColumn("token", clean_code(F.col("code")))
     return out.join(ids, "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(OOV_ID)))
 
