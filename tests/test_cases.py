@@ -142,7 +142,9 @@ def test_sort_sequence(spark):
 def test_arrays_continue_on_further_rows(spark):
     df = spark.range(25).select(F.lit(1).alias("person_id"), (F.col("id") + 1).alias("pos"), F.col("id").cast("string").alias("token"))
     arrays = S.to_arrays(df, ["token"], 10)
-    assert sorted((r["part"], r["num_of_concepts"]) for r in arrays.collect()) == [(0, 10), (1, 10), (2, 5)]
+    got = sorted((r["part"], r["n_parts"], len(r["token"]), r["num_of_concepts"]) for r in arrays.collect())
+    assert got == [(0, 3, 10, 25), (1, 3, 10, 25), (2, 3, 5, 25)]
+    assert P.keep_min_length(arrays, 20).count() == 3  # the short last row belongs to a long history
     back = S.from_arrays(arrays, ["token"], 10).orderBy("pos").collect()
     assert [(r["pos"], r["token"]) for r in back] == [(i + 1, str(i)) for i in range(25)]
 
