@@ -32,15 +32,21 @@ from .common import (
 
 BUCKET_BITS = 18
 GRAMS = (3, 4)
+REPEAT = (1 << BUCKET_BITS) - 1  # the bucket of a word that repeats the word before it
 
 
 def buckets(text: str | None) -> list[np.ndarray]:
-    """Buckets of the words and character n-grams of a whole text, repeats included; case and marks count."""
+    """Buckets of the words and character n-grams of a whole text, each time they occur; case and marks count.
+
+    A word that repeats the one before it is in a bucket of its own besides.
+    """
     out = []
     for piece, own in pieces(text or "", overlap=max(GRAMS) - 1):
         points = code_points(piece)
         starts, ends = word_bounds(points[:own])
-        out.append((word_hashes(points, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+        words = word_hashes(points, starts, ends)
+        out.append((words >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+        out.append(np.full(int((words[1:] == words[:-1]).sum()), REPEAT, np.int32))
         points = np.where(blanks(points), np.uint32(32), points)
         out += [(gram_hashes(points[: own + n - 1], n) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32) for n in GRAMS]
     return out
@@ -61,7 +67,7 @@ class Model:
 
 
 def train(
-    documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim: int = 16, epochs: int = 12, rate: float = 0.4, seed: int = 1
+    documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dim: int = 16, epochs: int = 12, rate: float = 0.8, seed: int = 1
 ) -> tuple[np.ndarray, np.ndarray]:
     """The folded table and the two biases of the softmax from (buckets, counts) of each document."""
     rng = np.random.default_rng(seed)
