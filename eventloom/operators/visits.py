@@ -571,3 +571,31 @@ def flatten_visits(patients: DataFrame) -> DataFrame:
         F.col("v.visit_start").alias("visit_start"),
         F.explode("v.events").alias("e"),
     ).select("subject_id", "visit_id", "visit_type", "visit_start", "e.*")
+
+
+def linked_patients(
+    events: DataFrame,
+    rules: VisitRules,
+    event_columns: Sequence[str] = ("code", "numeric_value"),
+    part_size: int = 100_000,
+) -> DataFrame:
+    """The linked profile end to end: flat events to nested patients, as :func:`nest_patients` returns them.
+
+    Events of a visit id form a block; out-of-range ones are detached, loose days go to a covering visit or become visits of
+    their own; blocks are classified again with the events they have got; contained blocks are merged, their events
+    re-keyed to the survivor; events that only state a block's type or discharge go, those of absorbed blocks too.
+    Demographic events and events without a time take no part. Needs the columns of :func:`classify_blocks` and those of
+    ``event_columns``.
+    """
+    events = events.filter(~F.coalesce(_is_demographic(F.col("code")), F.lit(False)) & F.col("time").isNotNull())
+    events = text_to_numeric(events, rules.text) if rules.text else events
+    linked = classify_blocks(events.filter(F.col("visit_id").isNotNull()), rules)
+    placed = stage(assign_events(events, stage(linked, "linked-blocks")).drop("how"), "placed-events")
+    blocks = stage(classify_blocks(placed, rules), "placed-blocks")
+    merged = stage(merge_contained_swapping(blocks), "merged-blocks")
+    kept = strip_structural(placed, blocks).join(merged.select(*BLOCK_KEY, "container_id"), BLOCK_KEY)
+    kept = kept.drop("visit_id").withColumnRenamed("container_id", "visit_id")
+    survivors = blocks.drop("visit_type").join(merged.filter("visit_id = container_id"), BLOCK_KEY)
+    survivors = survivors.withColumnRenamed("merged_type", "visit_type").withColumn("block_id", F.col("visit_id"))
+    visits = stage(assemble_visits(survivors).drop("n_blocks"), "linked-visits")
+    return nest_patients(visits, stage(kept, "linked-events"), event_columns, part_size)

@@ -483,6 +483,35 @@ def _nested(spark, d):
     return V.nest_patients(_visits(spark, d), e, ["code", "numeric_value"], part_size=1000)
 
 
+@add(
+    "e18_nested_text",
+    f"""WITH e AS (SELECT person_id AS subject_id, visit_id, string_agg(code, ' ' ORDER BY time, event_id) AS codes FROM ({A.VISIT_EVENTS_SQL}) GROUP BY 1, 2)
+SELECT subject_id, string_agg(visit_id || ':' || visit_type || ':' || coalesce(codes, ''), '; ' ORDER BY visit_start, visit_id) AS visits
+FROM ({_visits_cte()}) v LEFT JOIN e USING (subject_id, visit_id) GROUP BY 1""",
+)
+def nested_text(spark, d):
+    e = A.visit_events(spark, d).withColumnRenamed("person_id", "subject_id")
+    rows = V.nest_patients(_visits(spark, d), e, ["code"], part_size=100_000)
+    text = F.transform(
+        "visits",
+        lambda v: F.concat(v["visit_id"].cast("string"), F.lit(":"), v["visit_type"], F.lit(":"), F.array_join(v["events"]["code"], " ")),
+    )
+    return rows.select("subject_id", F.array_join(text, "; ").alias("visits"))
+
+
+@add("e18_linked_patients")
+def linked_patients(spark, d):
+    """All shipped events, a quarter of them without a visit id, to nested patients."""
+    e = _shipped(spark, d).withColumns(
+        {
+            "visit_id": F.when(F.col("event_id") % 4 != 0, F.col("visit_id")),
+            "table": F.lit("measurement"),
+            "end": F.lit(None).cast("timestamp"),
+        }
+    )
+    return V.linked_patients(e, V.RULE_SETS["linked"], ["code"])
+
+
 @add("e18_nest_patients")
 def nest_patients(spark, d):
     return _nested(spark, d)

@@ -253,6 +253,33 @@ def test_flat_events_to_visits(spark):
     assert got == {1: {"VS/IP", "EVENT_2", "EVENT_3", "DISCHARGE"}, 3: {"EVENT_4"}, 2: {"VS/OP", "EVENT_5"}}
 
 
+def test_flat_events_to_patients(spark):
+    ev = flat_events(spark).withColumns({"table": F.lit("measurement"), "end": F.lit(None).cast("timestamp")})
+
+    def visits(rules):
+        (row,) = V.linked_patients(ev, rules, ["code"]).collect()
+        return [(v["visit_id"], v["visit_type"], [e["code"] for e in v["events"]]) for v in row["visits"]]
+
+    plain = V.VisitRules(visit=("NONE",))
+    assert [(i, len(e)) for i, _, e in visits(plain)] == [(1, 4), (3, 1), (2, 2)]
+    rules = V.VisitRules(visit=("VS/",), admission=("VS/IP",), discharge=("DISCHARGE",))
+    assert visits(rules)[0] == (1, "VS/IP", ["EVENT_2", "EVENT_3"]) and visits(rules)[2] == (2, "VS/OP", ["EVENT_5"])
+
+
+def test_absorbed_blocks_bring_their_events(spark):
+    """A contained block's events move to the survivor, without those that state its own type and discharge."""
+    rows = [
+        ("VS/OP", "2024-01-01", 1), ("a", "2024-01-09", 1), ("VS/IP", "2024-01-02", 2), ("b", "2024-01-03", 2), ("OUT", "2024-01-05", 2),
+        ("VS/ER", "2024-01-03", 3), ("c", "2024-01-03", 3), ("OUT", "2024-01-04", 3), ("VS/OP", "2024-02-01", 4),
+    ]
+    flat = spark.createDataFrame([(9, i, c, at(t), v) for i, (c, t, v) in enumerate(rows)], FLAT)
+    flat = flat.withColumns({"table": F.lit("measurement"), "end": F.lit(None).cast("timestamp")})
+    rules = V.VisitRules(visit=("VS/",), ed=("VS/ER",), admission=("VS/IP",), discharge=("OUT",))
+    (row,) = V.linked_patients(flat, rules, ["code"]).collect()
+    got = {v["visit_id"]: (v["visit_type"], v["discharge_facility"], [e["code"] for e in v["events"]]) for v in row["visits"]}
+    assert got == {2: (V.ED_TO_INPATIENT_TYPE, "OUT", ["b", "c", "a"]), 4: ("VS/OP", V.UNKNOWN, [])}
+
+
 @pytest.mark.parametrize("code, found", [("MEDS_BIRTH//MODIFIER", True), ("//MEDS_BIRTH//MODIFIER", False)])
 def test_birth_code_is_a_prefix(spark, code, found):
     assert (V.demographics(flat_events(spark, code)).first()["birth"] is not None) == found
