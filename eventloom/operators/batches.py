@@ -123,13 +123,17 @@ def pack(
     seed: int = 42,
     drop_last: bool = False,
     key: str = "person_id",
+    per_shard: int = 100_000,
+    replicas: int = 1,
 ) -> DataFrame:
     """``key, length, shard, pack, slot``: samples laid into packs of at most ``max_tokens`` by next-fit.
 
     Next-fit depends on order, so it is sequential within a shard. Samples are dealt to shards, and ordered there, by
-    a seeded hash of their key; the number of shards grows with the table, which keeps each one small.
+    a seeded hash of their key; the number of shards grows with the table, which keeps each one small. A replica reads every
+    ``replicas``-th shard; ``drop_last`` drops the last pack of each replica, however many shards there are.
     """
-    shards = shards or default_shards(lengths.count())
+    shards = shards or default_shards(lengths.count(), per_shard)
+    shards = -(-shards // replicas) * replicas
     h = hash32(seed, F.col(key))
     dealt = lengths.select(key, "length", h.alias("h"), (h % shards).cast("int").alias("shard"))
 
@@ -144,7 +148,7 @@ def pack(
             slots.append(slot)
             used, slot = used + int(need), slot + 1
         pdf["pack"], pdf["slot"] = packs, slots
-        if drop_last:
+        if drop_last and len(pdf) and pdf["shard"].iloc[0] >= shards - replicas:  # a replica's last shard
             pdf = pdf[pdf["pack"] < current]
         return pdf[[key, "length", "shard", "pack", "slot"]]
 

@@ -443,9 +443,11 @@ def _lengths(spark, d):
 
 
 _LENGTHS = "SELECT l_orderkey AS person_id, sum(l_quantity)::BIGINT AS length FROM lineitem GROUP BY 1"
-_PACK = dict(max_tokens=1024, max_pos=200, shards=64)
+_PACK = dict(max_tokens=1024, max_pos=200, per_shard=250)
+_SHARDS = "(SELECT greatest(1, ceil(count(*) / {}::DOUBLE))::BIGINT FROM len)"
 PACK_CTE = f"""len AS ({_LENGTHS}), dealt AS (SELECT *, {hash_sql(42, 'person_id')} AS h FROM len),
-ord AS (SELECT *, h % 64 AS shard, row_number() OVER (PARTITION BY h % 64 ORDER BY h, person_id) AS i, least(length, 200) + 2 AS need FROM dealt),
+ord AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, person_id) AS i, least(length, 200) + 2 AS need
+  FROM (SELECT *, h % {_SHARDS.format(250)} AS shard FROM dealt)),
 pk AS (SELECT person_id, length, shard, i, 0::BIGINT AS pack, 0 AS slot, need AS used FROM ord WHERE i = 1
   UNION ALL SELECT o.person_id, o.length, o.shard, o.i, p.pack + (p.used + o.need > 1024)::INT, CASE WHEN p.used + o.need > 1024 THEN 0 ELSE p.slot + 1 END,
     CASE WHEN p.used + o.need > 1024 THEN o.need ELSE p.used + o.need END FROM pk p JOIN ord o ON o.shard = p.shard AND o.i = p.i + 1)"""
@@ -468,14 +470,14 @@ def estimate_packs(spark, d):
 def _packed(spark, d):
     cut = stage(B.truncate(_side_columns(spark, d), 200, packing=True), "cut")
     lengths = cut.groupBy("person_id").agg(F.count(F.lit(1)).alias("length"))
-    return B.packed_rows(cut, B.pack(lengths, 512, 200, shards=4))
+    return B.packed_rows(cut, B.pack(lengths, 512, 200, per_shard=40))
 
 
 _PACKED = f"""{_SIDES}, lim AS (SELECT person_id, coalesce(min(pos) FILTER (token = '[VS]' AND pos > n - 200), any_value(n) - 200 + 1) AS f FROM side
   WHERE n > 200 GROUP BY 1),
 cut AS (SELECT side.* REPLACE (pos - coalesce(f - 1, 0) AS pos) FROM side LEFT JOIN lim USING (person_id) WHERE f IS NULL OR pos >= f),
 len AS (SELECT person_id, count(*) AS length FROM cut GROUP BY 1), dealt AS (SELECT *, {hash_sql(42, 'person_id')} AS h FROM len),
-ord AS (SELECT *, h % 4 AS shard, row_number() OVER (PARTITION BY h % 4 ORDER BY h, person_id) AS i, length + 2 AS need FROM dealt),
+ord AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, person_id) AS i, length + 2 AS need FROM (SELECT *, h % {_SHARDS.format(40)} AS shard FROM dealt)),
 pk AS (SELECT person_id, length, shard, i, 0::BIGINT AS pack, need AS used FROM ord WHERE i = 1
   UNION ALL SELECT o.person_id, o.length, o.shard, o.i, p.pack + (p.used + o.need > 512)::INT,
     CASE WHEN p.used + o.need > 512 THEN o.need ELSE p.used + o.need END FROM pk p JOIN ord o ON o.shard = p.shard AND o.i = p.i + 1),

@@ -53,7 +53,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = root or _local_roots.get(spark.sparkContext.applicationId)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
     _local_roots[spark.sparkContext.applicationId] = root

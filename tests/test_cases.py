@@ -523,7 +523,10 @@ def test_packing(spark):
     used = packs.groupBy("shard", "pack").agg(F.sum(F.least("length", F.lit(100)) + 2).alias("used"))
     assert packs.count() == 300 and used.agg(F.max("used")).first()[0] <= 256
     dropped = B.pack(lengths, max_tokens=256, max_pos=100, shards=3, drop_last=True)
-    assert 0 < 300 - dropped.count() < 60
+    lost = packs.join(dropped, "person_id", "left_anti").select("shard", "pack").distinct().collect()
+    assert [r["shard"] for r in lost] == [2]  # one pack of the one replica
+    two = B.pack(lengths, max_tokens=256, max_pos=100, shards=3, drop_last=True, replicas=2)
+    assert 0 < 300 - two.count() < 40 and {r["shard"] for r in two.select("shard").distinct().collect()} == {0, 1, 2, 3}
     assert B.default_shards(250_000) == 3
 
 
