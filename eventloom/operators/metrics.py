@@ -217,7 +217,7 @@ def calibration_fit(scores: DataFrame, iters: int = 50, tolerance: float = 1e-8)
 
 # ---- bootstrap -------------------------------------------------------------------------------------------------
 
-_AREA = "part long, wp array<double>, wn array<double>, area array<double>"
+_AREA = "part long, wp array<double>, wn array<double>, area array<double>, loss array<double>"
 _PRECISION = "part long, gain array<double>"
 _BLOCK = 4096
 
@@ -235,7 +235,7 @@ def _draw(pdf: pd.DataFrame, n: int, seed: int, part: int):
 
 
 def bootstrap_samples(scores: DataFrame, n: int = 2000, seed: int = 42, parts_per_octave: int = 64) -> DataFrame:
-    """``replicate, auroc, auprc`` for ``n`` resamples of the predictions.
+    """``replicate, auroc, auprc, brier`` for ``n`` resamples of the predictions.
 
     A resample gives every prediction a Poisson(1) count, so a distinct score with k positives gets Poisson(k) of them. Scores
     are cut into parts by value. A part reports, for every replicate, its weights and the pairs it orders correctly;
@@ -249,17 +249,18 @@ def bootstrap_samples(scores: DataFrame, n: int = 2000, seed: int = 42, parts_pe
 
     def area(pdf: pd.DataFrame) -> pd.DataFrame:
         key = int(pdf["part"].iloc[0])
-        wp, wn, ordered = np.zeros(n), np.zeros(n), np.zeros(n)
+        wp, wn, ordered, loss, at = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), 0
+        score = np.sort(pdf["p"].to_numpy(float))[::-1, None]
         for p, q in _draw(pdf, n, seed, key):
+            here, at = score[at : at + len(p)], at + len(p)
+            loss += (p * (1 - here) ** 2 + q * here**2).sum(axis=0)
             above = wp + np.cumsum(p, axis=0)
             ordered += (q * (above - p / 2)).sum(axis=0)
             wp, wn = wp + p.sum(axis=0), wn + q.sum(axis=0)
-        return pd.DataFrame({"part": [key], "wp": [wp], "wn": [wn], "area": [ordered]})
+        return pd.DataFrame({"part": [key], "wp": [wp], "wn": [wn], "area": [ordered], "loss": [loss]})
 
     areas = stage(parted.groupBy("part").applyInPandas(area, _AREA), "bootstrap-areas")
-    long = areas.select("part", F.posexplode(F.arrays_zip("wp", "wn", "area")).alias("replicate", "w")).select(
-        "part", "replicate", F.col("w.wp").alias("wp"), F.col("w.wn").alias("wn"), F.col("w.area").alias("area")
-    )
+    long = areas.select("part", F.posexplode(F.arrays_zip("wp", "wn", "area", "loss")).alias("replicate", "w")).select("part", "replicate", "w.*")
     # per replicate there is one row per part, and parts are bounded by the range of doubles
     down = [-F.col("part")]
     long = ordered_scan(long, ["replicate"], [], down, sums={"tp": F.col("wp"), "fp": F.col("wn")})
@@ -291,12 +292,14 @@ def bootstrap_samples(scores: DataFrame, n: int = 2000, seed: int = 42, parts_pe
         F.sum("wp").alias("wp"),
         F.sum("wn").alias("wn"),
         F.sum(F.col("area") + F.col("wn") * F.col("tp")).alias("area"),
+        F.sum("loss").alias("loss"),
     )
     both = totals.filter("wp > 0 AND wn > 0").join(gains, "replicate")  # single-class resamples are left out
     return both.select(
         "replicate",
         (F.col("area") / (F.col("wp") * F.col("wn"))).alias("auroc"),
         (F.col("gain") / F.col("wp")).alias("auprc"),
+        (F.col("loss") / (F.col("wp") + F.col("wn"))).alias("brier"),
     )
 
 
@@ -304,7 +307,7 @@ def bootstrap(scores: DataFrame, n: int = 2000, seed: int = 42, alpha: float = 0
     """``metric, value, lo, hi``: percentile intervals; the table of replicates has ``n`` rows."""
     samples = stage(bootstrap_samples(scores, n, seed), "bootstrap-samples")
     out = None
-    for metric, point in (("auroc", roc_auc(scores)), ("auprc", average_precision(scores))):
+    for metric, point in (("auroc", roc_auc(scores)), ("auprc", average_precision(scores)), ("brier", brier(scores))):
         value = float(point.first()[0])
         ends = F.percentile(metric, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
         row = samples.agg(ends.alias("q")).select(
@@ -317,6 +320,23 @@ def bootstrap(scores: DataFrame, n: int = 2000, seed: int = 42, alpha: float = 0
     return out
 
 
+def rate_intervals(counts: dict[str, int], n: int = 2000, seed: int = 42, alpha: float = 0.05) -> dict[str, tuple[float, float]]:
+    """Percentile intervals of sensitivity, specificity and PPV from the confusion counts ``tp, fp, tn, fn``.
+
+    In a Poisson resample the four counts are Poisson draws with the counts as means, so nothing else is needed. Resamples in
+    which a rate is undefined are left out; a rate that is never defined has no interval.
+    """
+    rng = np.random.default_rng(seed)
+    tp, fp, tn, fn = (rng.poisson(counts[c], n).astype(float) for c in ("tp", "fp", "tn", "fn"))
+    out = {}
+    for name, part, rest in (("sensitivity", tp, fn), ("specificity", tn, fp), ("ppv", tp, fp)):
+        known = part + rest > 0
+        if known.any():
+            lo, hi = np.quantile(part[known] / (part + rest)[known], [alpha / 2, 1 - alpha / 2])
+            out[name] = (float(lo), float(hi))
+    return out
+
+
 # ---- reports ---------------------------------------------------------------------------------------------------
 
 
@@ -339,19 +359,23 @@ def evaluate(test: DataFrame, val: DataFrame | None = None, n_resamples: int = 2
     def add(section, metric, value, lo=None, hi=None):
         rows.append((section, metric, None if value is None else float(value), lo, hi))
 
-    for r in bootstrap(scores, n_resamples, seed).collect():  # two rows
-        add("discrimination", r["metric"], r["value"], r["lo"], r["hi"])
+    for r in bootstrap(scores, n_resamples, seed).collect():  # three rows
+        add("calibration" if r["metric"] == "brier" else "discrimination", r["metric"], r["value"], r["lo"], r["hi"])
     add("discrimination", "pr_auc", pr_auc(scores).first()[0])
     for metric, value in prevalence(scores).first().asDict().items():
         add("discrimination", metric, value)
     add("thresholds", "thresholds_from_test", 1.0 if val is None else 0.0)
     points = {m: select_threshold(chosen_on, m).first()[0] for m in ("youden", "high_sensitivity")}
     for name, threshold in {**points, "fixed": 0.5}.items():
-        for metric, value in threshold_metrics(scores, threshold).first().asDict().items():
-            add(name, metric, value)
-    add("calibration", "brier", brier(scores).first()[0])
+        found = threshold_metrics(scores, threshold).first().asDict()
+        ends = rate_intervals(found, n_resamples, seed)
+        for metric, value in found.items():
+            add(name, metric, value, *ends.get(metric, (None, None)))
     curve = reliability(scores)
     add("calibration", "ece", calibration_error(curve).first()[0])
+    for i, r in enumerate(curve.orderBy("bin").collect()):  # a row for each bin
+        add("reliability", f"bin_{i}_predicted", r["mean_p"])
+        add("reliability", f"bin_{i}_observed", r["observed"])
     slope, intercept = calibration_fit(scores)
     add("calibration", "slope", slope)
     add("calibration", "intercept", intercept)

@@ -599,6 +599,10 @@ def test_bootstrap(spark):
     assert rows["auroc"]["value"] == pytest.approx(auc_by_pairs(y, p))
     assert abs(rows["auroc"]["lo"] - lo) < 0.03 and abs(rows["auroc"]["hi"] - hi) < 0.03
     assert rows["auprc"]["lo"] < rows["auprc"]["value"] < rows["auprc"]["hi"]
+    losses = [((p[i] - y[i]) ** 2).mean() for i in (rng.integers(0, 300, 300) for _ in range(400))]
+    lo, hi = np.percentile(losses, [2.5, 97.5])
+    assert rows["brier"]["value"] == pytest.approx(((p - y) ** 2).mean())
+    assert abs(rows["brier"]["lo"] - lo) < 0.01 and abs(rows["brier"]["hi"] - hi) < 0.01
     again = {r["metric"]: r for r in M.bootstrap(s.repartition(3), n=400, seed=1).collect()}
     assert again["auroc"]["lo"] == pytest.approx(rows["auroc"]["lo"]) and again["auprc"]["hi"] == pytest.approx(rows["auprc"]["hi"])
 
@@ -626,6 +630,14 @@ def test_report(spark):
     rows = {(r["section"], r["metric"]): r["value"] for r in M.evaluate(df, n_resamples=50).collect()}
     assert rows["thresholds", "thresholds_from_test"] == 1 and rows["fixed", "threshold"] == 0.5
     assert 0.5 < rows["discrimination", "auroc"] < 1
+    assert sum(rows["reliability", f"bin_{i}_observed"] for i in range(10)) > 0
+
+
+def test_rate_intervals():
+    got = M.rate_intervals({"tp": 80, "fn": 20, "fp": 10, "tn": 90}, 4000)
+    draws = np.random.default_rng(1).binomial(100, 0.8, 4000) / 100
+    assert got["sensitivity"] == pytest.approx(tuple(np.quantile(draws, [0.025, 0.975])), abs=0.02)
+    assert got["specificity"][0] < 0.9 < got["specificity"][1] and set(M.rate_intervals({"tp": 0, "fn": 5, "fp": 0, "tn": 5})) == {"sensitivity", "specificity"}
 
 
 # ---- cleaning, sources and checks ----------------------------------------------------------------------------------
