@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,10 @@ from pyspark.sql import functions as F
 
 
 def mean_pool(vectors: DataFrame, by: Sequence[str], vector: str = "vector") -> DataFrame:
-    """Mean vector per group, as rows ``(by, dim, mean)``; partial sums are combined on the map side."""
-    return (
-        vectors.select(*by, F.posexplode(vector).alias("dim", "__x"))
-        .groupBy(*by, "dim")
-        .agg(F.avg(F.col("__x").cast("double")).alias("mean"))
-    )
+    """Mean vector per group, as rows ``(by, dim, mean)``; whole vectors are summed, on the map side first. Nulls are left out."""
+    vectors = vectors.filter(F.col(vector).isNotNull())
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return vectors.groupBy(*by).agg(mean.alias("__m")).select(*by, F.posexplode(vector_to_array("__m")).alias("dim", "mean"))
 
 
 def to_vectors(pooled: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -88,8 +87,6 @@ def fit_gbt(df: DataFrame, rounds: int = 20, seed: int = 42):
 
 def predict(model, df: DataFrame, key: str) -> DataFrame:
     """``key, y, p`` from a fitted classifier."""
-    from pyspark.ml.functions import vector_to_array
-
     return model.transform(df).select(
         key, F.col("label").cast("double").alias("y"), vector_to_array("probability")[1].alias("p")
     )

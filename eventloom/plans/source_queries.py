@@ -102,6 +102,20 @@ def stream_moments(spark, d):
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+@add(
+    "t5_merged_moments",
+    """SELECT event_type AS code, 'k' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS unit, count(*) AS n, round(avg(value), 6) AS mean,
+  round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2""",
+)
+def merged_moments(spark, d):
+    """Moments of the users' sevenths, merged into those of all events."""
+    e = A.log_events(spark, d).select("code", "unit", (F.col("subject_id") % 7).alias("salt"), F.col("numeric_value").alias("value"))
+    parts = e.groupBy("code", "unit", "salt").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2")
+    )
+    return X.merge_salted(parts).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
 @add("x2_stream_value_statistics")
 def stream_value_statistics(spark, d):
     states = X.lab_stats_stream(event_stream(spark, d), k=3.0, capacity=100)

@@ -72,7 +72,8 @@ def gated_update(state: tuple | None, values: np.ndarray, k: float, capacity: in
     """Next state ``(n, mean, m2, buffer)``.
 
     The first ``capacity`` values are buffered; once full, those between the quantiles that ``k`` deviations would mark
-    seed the moments. After that a value counts when it lies within ``k`` deviations of the mean so far.
+    seed the moments. After that a value counts when it lies within ``k`` deviations of the mean so far, the values before it in
+    ``values`` included: how values are cut into batches makes no difference.
     """
     from ..operators.tokens import normal_share
 
@@ -87,9 +88,14 @@ def gated_update(state: tuple | None, values: np.ndarray, k: float, capacity: in
         lo, hi = np.quantile(full, [normal_share(-k), normal_share(k)])
         n, mean, m2 = combine(0, 0.0, 0.0, full[(full >= lo) & (full <= hi)])
         buffer = []
-    std = np.sqrt(m2 / n) if n else 0.0
-    inside = values[np.abs(values - mean) <= k * std] if std > 0 else values
-    return (*combine(n, mean, m2, inside), buffer)
+    for x in values.tolist():
+        apart = x - mean
+        if m2 > 0 and apart * apart > k * k * m2 / n:
+            continue
+        n += 1
+        mean += apart / n
+        m2 += apart * (x - mean)
+    return n, mean, m2, buffer
 
 
 def lab_stats_stream(stream: DataFrame, k: float = 3.0, capacity: int = 100, salts: int = 16) -> DataFrame:

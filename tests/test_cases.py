@@ -450,6 +450,18 @@ def test_gated_state(spark):
     assert math.sqrt(m2 / n) == pytest.approx(np.std(kept))
 
 
+def test_gated_state_does_not_depend_on_batches():
+    values = np.random.default_rng(3).normal(10, 2, 400)
+    values[::37] = 900.0
+    ends = []
+    for size in (1, 7, 400):
+        state = None
+        for i in range(0, 400, size):
+            state = X.gated_update(state, values[i : i + size], k=3.0, capacity=50)
+        ends.append(state[:3])
+    assert ends[0] == pytest.approx(ends[1]) and ends[0] == pytest.approx(ends[2]) and ends[0][1] < 11
+
+
 def test_moments_combine():
     a = X.combine(0, 0, 0, np.arange(1.0, 6))
     n, mean, m2 = X.combine(*a, np.arange(6.0, 11))
