@@ -317,9 +317,15 @@ def min_length_of_long_histories(spark, d):
     return P.keep_min_length(out, 40).select("subject_id", "part", _joined("token").alias("concept_ids"))
 
 
-@add("q12_unequal_lengths", "SELECT CAST(NULL AS BIGINT) AS subject_id, 0 AS part WHERE FALSE")
+@add(
+    "q12_unequal_lengths",
+    f"WITH {EVENT_LOG_CTES} SELECT DISTINCT subject_id, ((pos - 1) // 64)::INT AS part FROM logseq WHERE subject_id % 5 = 0",
+)
 def unequal_lengths(spark, d):
+    """The arrays of a fifth of the subjects have lost an element."""
     out = S.to_arrays(event_log_sequence(spark, d), ["token", "visit_id"], 64, ["subject_id"])
+    short = F.slice("visit_id", 1, F.size("visit_id") - 1)
+    out = out.withColumn("visit_id", F.when(F.col("subject_id") % 5 == 0, short).otherwise(F.col("visit_id")))
     return S.equal_lengths(out, ["token", "visit_id"]).select("subject_id", "part")
 
 

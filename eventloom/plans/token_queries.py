@@ -200,11 +200,13 @@ def labels(spark, d):
     return T.with_labels(T.encode(seq, T.build_vocab(seq, SIZE))).select("person_id", "pos", "token_id", "label_id")
 
 
-@add("t9_length_violations", "SELECT CAST(NULL AS BIGINT) AS subject_id WHERE FALSE")
+@add("t9_length_violations", "SELECT DISTINCT user_id AS subject_id FROM events WHERE user_id % 5 = 0")
 def length_violations(spark, d):
     seq = event_log_sequence(spark, d)
     ids = T.with_labels(T.encode(seq, T.build_vocab(seq)))
     arrays = S.to_arrays(ids, ["token_id", "label_id"], 4096, ["subject_id"])
+    short = F.slice("label_id", 1, F.size("label_id") - 1)  # a fifth of the subjects have lost a label
+    arrays = arrays.withColumn("label_id", F.when(F.col("subject_id") % 5 == 0, short).otherwise(F.col("label_id")))
     return T.check_lengths(arrays, "token_id", "label_id").select("subject_id")
 
 
