@@ -22,6 +22,7 @@ from .common import map_columns, read
 
 FAN_BITS = 4
 GROUPS = 256
+BATCH_SETTING, FILES_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "4"
 ID_BITS = 9
 DATE = "2024-01-01T00:00:00Z"
 
@@ -121,22 +122,34 @@ def hash_ranges(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
     """The leaves of a replica: archive, slot, start, stop, hash and how many bytes of the range the replica holds.
 
     The offset ranges come from the manifest, so damage in place and lost tails stay where they are. The ranges of an archive
-    (a bounded number) travel to its file. An archive without a file has leaves of no bytes.
+    (a bounded number) travel to its file. An archive without a file has leaves of no bytes. The leaves are written to the shared
+    folder and read back: whole files go to Python a few at a time, which is a setting of the running job.
     """
     ranges = manifest.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("slot", "start", "stop"))).alias("ranges"))
-    files = ranges.join(_archives(spark, path), "archive", "left")
+    archives = _archives(spark, path)
+    files = archives.join(ranges.hint("shuffle_hash"), "archive")
+    lost = ranges.join(archives.select("archive"), "archive", "left_anti")
     leaf = "array<struct<slot:int,start:long,stop:long,hash:string,held:long>>"
 
     def leaves(rows):
         made = []
         for content, ranges in zip(rows["content"], rows["ranges"]):
-            data = memoryview(_unzip(content) if content is not None else b"")
+            data = memoryview(_unzip(content))
             part = [(r, data[r["start"] : r["stop"]]) for r in ranges]
             made.append([{**r, "hash": hashlib.sha256(b).hexdigest(), "held": len(b)} for r, b in part])
         return {"leaves": made}
 
     out = map_columns(files, leaves, T.StructType.fromDDL(f"archive string, leaves {leaf}"))
-    return out.select("archive", F.explode("leaves").alias("l")).select("archive", "l.*")
+    out = out.select("archive", F.explode("leaves").alias("l")).select("archive", "l.*")
+    empty = lost.select("archive", F.explode("ranges").alias("r")).select(
+        "archive", "r.*", F.lit(hashlib.sha256().hexdigest()).alias("hash"), F.lit(0).cast("long").alias("held")
+    )
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, FILES_PER_BATCH)
+    try:
+        return stage(out.unionByName(empty), "warc-leaves")
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
 
 
 def build_tree(leaves: DataFrame, fan_bits: int = FAN_BITS) -> list[DataFrame]:
@@ -208,7 +221,7 @@ def op8_warc_fixity(spark, sf_dir):
     write_archives(records, folders[0])
     write_archives(damaged(records), folders[1])
     manifest = records.drop("record")
-    leaves = [stage(hash_ranges(spark, f, manifest), "warc-leaves") for f in folders]
+    leaves = [hash_ranges(spark, f, manifest) for f in folders]
     found = audit(*[build_tree(x) for x in leaves])
     held = leaves[1].select("archive", "slot", "held", F.col("hash").alias("found_sha256"))
     good = leaves[0].select("archive", "slot", F.col("hash").alias("sha256"))
