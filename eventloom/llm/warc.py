@@ -45,33 +45,37 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def lay_out(pages: DataFrame, *, id_bits: int = ID_BITS, rows: int = 4096) -> DataFrame:
-    """``pages`` as records: page_id, url, archive, slot (from 0), start, stop and the record's text.
+    """``pages`` as records: page_id, url, archive, slot (from 0), slots (of the archive), start, stop and the record's text.
 
     An archive holds a run of 2^id_bits ids; a run of more than ``rows`` rows (repeated or null ids) is dealt by content to several.
-    Within an archive records are ordered by id, url and text; equal rows are records of their own.
+    Within an archive records are ordered by id, url and digest; equal rows are records of their own. An archive is laid out in one
+    task, and without the text only sizes and digests move.
     """
     run = F.coalesce(F.shiftright("page_id", id_bits), F.lit(-1))
     records = pages.select("page_id", "url", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), run.alias("run"))
+    records = records.withColumns({"size": F.octet_length("record").cast("long"), "digest": F.sha2(F.col("record").cast("binary"), 256)})
     big = records.groupBy("run").agg((F.floor(F.count(F.lit(1)) / rows) + 1).alias("parts"))
     records = records.join(big, "run")
-    part = F.pmod(F.xxhash64("record"), F.col("parts"))
-    records = records.withColumn("archive", F.concat(F.col("run").cast("string"), F.lit("-"), part.cast("string")))
-    w = Window.partitionBy("archive").orderBy(F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), "record")
-    size = F.octet_length("record").cast("long")
-    stop = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    records = records.withColumns({"slot": F.row_number().over(w) - 1, "stop": stop}).withColumn("start", F.col("stop") - size)
-    return records.select("archive", "slot", "page_id", "url", "start", "stop", "record")
+    records = records.withColumn("part", F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.col("parts")))
+    whole = Window.partitionBy("run", "part")
+    w = whole.orderBy(F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), "digest")
+    stop = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    records = records.withColumns({"slot": F.row_number().over(w) - 1, "stop": stop, "slots": F.count(F.lit(1)).over(whole)})
+    archive = F.concat(F.col("run").cast("string"), F.lit("-"), F.col("part").cast("string"))
+    return records.select(archive.alias("archive"), "slot", "slots", "page_id", "url", (F.col("stop") - F.col("size")).alias("start"), "stop", "record")
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """One gzip file per archive under ``path/archive=…``, its records in slot order.
+def write_archives(records: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """One gzip file per archive under ``path/archive=…``, its records in slot order; folders of ``by`` come first.
+
+    ``records`` have each archive in one task, as :func:`lay_out` leaves them.
 
     A text row ends with a line feed, so a record is written without its own last one: the file is exactly the records end to
     end.
     """
-    lines = records.select("archive", "slot", F.expr("substring(record, 1, length(record) - 1)").alias("value"))
-    lines = lines.repartition("archive").sortWithinPartitions("archive", "slot").drop("slot")
-    lines.write.partitionBy("archive").option("compression", "gzip").text(path)
+    lines = records.select(*by, "archive", "slot", F.expr("substring(record, 1, length(record) - 1)").alias("value"))
+    lines = lines.sortWithinPartitions(*by, "archive", "slot").drop("slot")
+    lines.write.partitionBy(*by, "archive").option("compression", "gzip").text(path)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
@@ -209,19 +213,18 @@ def damaged(records: DataFrame) -> DataFrame:
     """A replica with faults that follow from the rows: changed bytes in one record of 50, lost tails in one archive of 8."""
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("long")
     lost = F.conv(F.substring(F.md5(F.col("archive").cast("binary")), 1, 6), 16, 10).cast("long") % 8 == 0
-    last = F.max("slot").over(Window.partitionBy("archive"))
     changed = F.when(draw % 50 == 0, F.overlay("record", F.lit("#"), 12 + draw % 20)).otherwise(F.col("record"))
-    return records.withColumn("__last", last).filter(~(lost & (F.col("slot") == F.col("__last")))).withColumn("record", changed)
+    return records.filter(~(lost & (F.col("slot") == F.col("slots") - 1))).withColumn("record", changed)
 
 
 def op8_warc_fixity(spark, sf_dir):
     """Archives of all pages in two replicas, the second with faults; the audit of their files locates every damaged record."""
-    records = stage(lay_out(read(spark, sf_dir, "pages")), "warc-records")
-    folders = [new_folder(spark, "warc-replica") for _ in range(2)]
-    write_archives(records, folders[0])
-    write_archives(damaged(records), folders[1])
-    manifest = records.drop("record")
-    leaves = [hash_ranges(spark, f, manifest) for f in folders]
+    records = lay_out(read(spark, sf_dir, "pages"))
+    manifest = stage(records.drop("record", "slots"), "warc-manifest")
+    folder = new_folder(spark, "warc-replicas")
+    both = records.withColumn("replica", F.lit("a")).unionByName(damaged(records).withColumn("replica", F.lit("b")))
+    write_archives(both, folder, by=("replica",))
+    leaves = [hash_ranges(spark, f"{folder}/replica={r}", manifest) for r in "ab"]
     found = audit(*[build_tree(x) for x in leaves])
     held = leaves[1].select("archive", "slot", "held", F.col("hash").alias("found_sha256"))
     good = leaves[0].select("archive", "slot", F.col("hash").alias("sha256"))
@@ -242,7 +245,7 @@ WITH record AS (
 ), laid AS (
   SELECT *, row_number() OVER w - 1 AS slot, sum(strlen(record)) OVER w AS stop, count(*) OVER (PARTITION BY archive) AS n,
     ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 6))::BIGINT AS draw, ('0x' || substr(md5(archive), 1, 6))::BIGINT % 8 = 0 AS lost
-  FROM record WINDOW w AS (PARTITION BY archive ORDER BY page_id, url, record ROWS UNBOUNDED PRECEDING)
+  FROM record WINDOW w AS (PARTITION BY archive ORDER BY page_id, url, sha256(record) ROWS UNBOUNDED PRECEDING)
 ), replica AS (
   SELECT *, CASE WHEN lost AND slot = n - 1 THEN '' WHEN draw % 50 = 0
     THEN substr(record, 1, (11 + draw % 20)::INT) || '#' || substr(record, (13 + draw % 20)::INT) ELSE record END AS found
