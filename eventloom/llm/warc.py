@@ -209,12 +209,12 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(other, on, "left").filter(~F.col("hash").eqNullSafe(F.col("__hash"))).drop("__hash", *[f"__{k}" for k in keys])
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with faults that follow from the rows: changed bytes in one record of 50, lost tails in one archive of 8."""
+def damaged(records: DataFrame, where: Column) -> DataFrame:
+    """``records`` with faults in the rows ``where``, that follow from the rows: changed bytes in one record of 50, lost tails in one archive of 8."""
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("long")
     lost = F.conv(F.substring(F.md5(F.col("archive").cast("binary")), 1, 6), 16, 10).cast("long") % 8 == 0
-    changed = F.when(draw % 50 == 0, F.overlay("record", F.lit("#"), 12 + draw % 20)).otherwise(F.col("record"))
-    return records.filter(~(lost & (F.col("slot") == F.col("slots") - 1))).withColumn("record", changed)
+    changed = F.when(where & (draw % 50 == 0), F.overlay("record", F.lit("#"), 12 + draw % 20)).otherwise(F.col("record"))
+    return records.filter(~(where & lost & (F.col("slot") == F.col("slots") - 1))).withColumn("record", changed)
 
 
 def op8_warc_fixity(spark, sf_dir):
@@ -222,8 +222,8 @@ def op8_warc_fixity(spark, sf_dir):
     records = lay_out(read(spark, sf_dir, "pages"))
     manifest = stage(records.drop("record", "slots"), "warc-manifest")
     folder = new_folder(spark, "warc-replicas")
-    both = records.withColumn("replica", F.lit("a")).unionByName(damaged(records).withColumn("replica", F.lit("b")))
-    write_archives(both, folder, by=("replica",))
+    both = records.withColumn("replica", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    write_archives(damaged(both, F.col("replica") == "b"), folder, by=("replica",))
     leaves = [hash_ranges(spark, f"{folder}/replica={r}", manifest) for r in "ab"]
     found = audit(*[build_tree(x) for x in leaves])
     held = leaves[1].select("archive", "slot", "held", F.col("hash").alias("found_sha256"))
