@@ -12,8 +12,9 @@ Smoothing interpolates all orders: p(w | c) = n(c, w) / (n(c) + m) + m / (n(c) +
 Texts are read once, into blocks of documents with a vocabulary of their own. For each order a block sends to each shard
 the distinct n-grams it holds, with its training counts; the shard adds up the blocks' counts, builds its trie, and answers with two
 codes for each n-gram asked for. So what moves are distinct n-grams per block, however often they occur, and nothing
-grows with the corpus on the driver or in a task. Contexts with a large share of all tokens are split by word, their totals
-being known from the order below.
+grows with the corpus on the driver or in a task. Contexts with a large share of all tokens, of any number of words, are split by
+word. They are known from the order below, where each was an n-gram: its key follows from that n-gram's context and word, and its total is the
+n-gram's count.
 """
 
 from __future__ import annotations
@@ -123,11 +124,7 @@ class Block:
         words = self.vocabulary[self.tokens]
         first = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         at = np.arange(len(words))
-        context = np.full(len(words), n, _U64)
-        for k in range(n - 1, 0, -1):
-            before = np.where(at - k >= first, words[np.maximum(at - k, 0)], START)
-            context = context_key(context, before)
-        context = context & _U64((1 << CONTEXT_BITS) - 1)
+        context = context_of([np.where(at - k >= first, words[np.maximum(at - k, 0)], START) for k in range(n - 1, 0, -1)])
         short = word_key(words)
         if heavy:
             keys = np.fromiter(heavy, _U64, len(heavy))
@@ -147,6 +144,19 @@ def context_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(context * _U64(0xC2B2AE3D27D4EB4F) + word)
 
 
+def context_of(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of contexts, given by their words from the first to the last."""
+    context = context_key(np.full(len(words[0]), 2, _U64), words[0]) & _U64((1 << CONTEXT_BITS) - 1)
+    for w in words[1:]:
+        context = longer(context, word_key(w))
+    return context
+
+
+def longer(context: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Keys of the contexts that are a context and its successor."""
+    return context_key(context, short.astype(_U64)) & _U64((1 << CONTEXT_BITS) - 1)
+
+
 def word_key(words: np.ndarray) -> np.ndarray:
     return mix64(words + _U64(0x9E3779B9)) >> _U64(32)
 
@@ -164,7 +174,7 @@ _REQUEST = T.StructType(
 _ANSWER = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("level", "shard", "block")]
     + [T.StructField(n, T.BinaryType()) for n in ("codes", "rest")]
-    + [T.StructField(n, T.LongType()) for n in ("key", "n")]  # of a heavy n-gram, or the number of known words
+    + [T.StructField(n, T.LongType()) for n in ("key", "n")]  # of a heavy n-gram as a context, or the number of known words
 )
 
 
@@ -288,7 +298,7 @@ def mapped(data: bytes):
         return mmap.mmap(file.fileno(), os.fstat(file.fileno()).st_size, access=mmap.ACCESS_READ)
 
 
-def _build_and_answer(table: pa.Table, level: int, shard_bits: int, totals: dict[int, int], mass: float) -> pa.Table:
+def _build_and_answer(table: pa.Table, level: int, shard_bits: int, heavy: Heavy, mass: float, heavy_from: int | None) -> pa.Table:
     rows = table.to_pylist()
     shard = rows[0]["shard"]
     base = _U64(shard << (CONTEXT_BITS - shard_bits)) if shard_bits else _U64(0)
@@ -304,17 +314,22 @@ def _build_and_answer(table: pa.Table, level: int, shard_bits: int, totals: dict
     first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])))) if len(context) else np.zeros(0, np.int64)
     count = np.add.reduceat(counts[trained][order].astype(float), first) if len(first) else np.zeros(0)
     context, word = context[first], word[first]
-    file = mapped(Trie.build(context, word, count, totals, mass).to_bytes())
+    whole = {int(p): k for k, (_, m) in heavy.items() for p in part_key(np.full(m, k, _U64), np.arange(m, dtype=_U64))}
+    file = mapped(Trie.build(context, word, count, {p: heavy[k][0] for p, k in whole.items()}, mass).to_bytes())
     trie = Trie.from_buffer(file)
     out = []
     for r, c, s, w in zip(rows, contexts, successors, words):
         codes, rest = trie.look_up(c, s, w)
         out.append((level, shard, r["block"], pack(codes), pack(rest), None, None))
+    often = np.flatnonzero(count >= heavy_from) if heavy_from is not None else np.zeros(0, np.int64)
+    if len(often):
+        unsplit = np.array([whole.get(int(c), int(c)) for c in context[often]], _U64)
+        out += [(level, shard, None, None, None, int(key), int(m)) for key, m in zip(longer(unsplit, word[often]), count[often])]
     return _answers(out)
 
 
-def _answering(level: int, shard_bits: int, totals: dict[int, int], mass: float):
-    return lambda table: _build_and_answer(table, level, shard_bits, totals, mass)
+def _answering(level: int, shard_bits: int, heavy: Heavy, mass: float, heavy_from: int | None):
+    return lambda table: _build_and_answer(table, level, shard_bits, heavy, mass, heavy_from)
 
 
 # ---- the model as a whole
@@ -334,8 +349,8 @@ def score_documents(
     doc_id, held_out, n_tokens (words and the end), n_known (tokens seen in training), train_tokens, base_score (the unigram
     score) and score, both decimal logarithms of the probability of the text. Null, empty and blank texts are the end alone.
     Repeated rows count each time; null ids pass through. Without training rows nothing is known and every token gets the same
-    score. Words are told apart by 64-bit hashes and successors of one context by 32 bits of them. Contexts of one word with
-    more than ``shard_grams`` tokens are split; longer contexts are not.
+    score. Words are told apart by 64-bit hashes and successors of one context by 32 bits of them. Contexts with more than
+    ``shard_grams`` tokens are split.
     """
     docs = docs.select("doc_id", F.col(held).alias("held"), "text")
     blocks = stage(_blocks(docs, block_tokens), "lm-blocks")
@@ -347,25 +362,26 @@ def score_documents(
     counted = stage(_requests(blocks, 1, shard_bits, {}).groupBy("shard").applyInArrow(lambda t: _count_words(t, heavy_from), _ANSWER), "lm-level-1")
     notes = counted.filter("block IS NULL").select("key", "n").collect()  # a row for each shard, and HEAVY_CONTEXTS at most
     known = sum(r["n"] for r in notes if r["key"] is None)
-    frequent = [([_U64(r["key"] & (2**64 - 1))], r["n"]) for r in notes if r["key"] is not None]
-    frequent += [([START], starts)] if starts >= heavy_from else []
-    heavies: list[Heavy] = [{}, {_context_of(w): (total, parts(total)) for w, total in frequent}] + [{}] * order
+    frequent = {_context_of([_U64(r["key"] & (2**64 - 1))]): r["n"] for r in notes if r["key"] is not None}
+    heavies: list[Heavy] = [{}]  # of each level
     every = counted.filter("block IS NOT NULL")
     for level in range(2, order + 1):
-        heavy = heavies[level - 1]
-        totals = {int(key): total for k, (total, m) in heavy.items() for key in part_key(np.full(m, k, _U64), np.arange(m, dtype=_U64))}
-        asked = _requests(blocks, level, shard_bits, heavy).groupBy("shard")
-        every = every.union(stage(asked.applyInArrow(_answering(level, shard_bits, totals, mass), _ANSWER), f"lm-level-{level}"))
+        if starts >= heavy_from:
+            frequent[_context_of([START] * (level - 1))] = starts
+        heavies.append({key: (total, parts(total)) for key, total in frequent.items()})
+        asked = _requests(blocks, level, shard_bits, heavies[-1]).groupBy("shard")
+        answering = _answering(level, shard_bits, heavies[-1], mass, heavy_from if level < order else None)
+        answers = stage(asked.applyInArrow(answering, _ANSWER), f"lm-level-{level}")
+        every = every.union(answers.filter("block IS NOT NULL"))
+        if level < order:
+            frequent = {r["key"]: r["n"] for r in answers.filter("block IS NULL").select("key", "n").collect()}  # HEAVY_CONTEXTS at most
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     joined = blocks.groupBy("block").cogroup(every.groupBy("block"))
     return joined.applyInArrow(lambda left, right: _score_block(left, right, order, heavies, n, known), schema)
 
 
 def _context_of(words: list) -> int:
-    context = np.array([len(words) + 1], _U64)
-    for w in words:
-        context = context_key(context, np.array([w], _U64))
-    return int(context[0] & _U64((1 << CONTEXT_BITS) - 1))
+    return int(context_of([np.array([w], _U64) for w in words])[0])
 
 
 def _block_sums(batches):
@@ -408,7 +424,7 @@ def _score_block(left: pa.Table, right: pa.Table, order: int, heavies: list[Heav
 def op5_lm_score(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
-    return score_documents(docs.withColumn("held", held))
+    return score_documents(docs.withColumn("held", held), order=3)
 
 
 QUERIES = {"op5_lm_score": (op5_lm_score, None)}

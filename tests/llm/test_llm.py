@@ -304,6 +304,51 @@ def test_language_model_orders_and_awkward_rows(spark):
     assert {(r.n_known, r.train_tokens) for r in untrained} == {(0, 0)}
 
 
+def brute_trigram_scores(rows, mass=language_model.MASS):
+    grams = [Counter() for _ in range(3)]
+    for _, text, held in rows:
+        if not held:
+            t = ["<s>", "<s>", *words_of(text), None]
+            for k in range(3):
+                grams[k].update(tuple(t[i - k : i + 1]) for i in range(2, len(t)))
+    after = [Counter() for _ in range(3)]
+    for k in range(3):
+        for g, n in grams[k].items():
+            after[k][g[:-1]] += n
+    total, kinds = sum(grams[0].values()), len(grams[0])
+    out = {}
+    for i, text, _ in rows:
+        t, score = ["<s>", "<s>", *words_of(text), None], 0.0
+        for j in range(2, len(t)):
+            p = (grams[0][(t[j],)] + 0.5) / (total + 0.5 * (kinds + 1))
+            for k in (1, 2):
+                g = tuple(t[j - k : j + 1])
+                p = (grams[k][g] + mass * p) / (after[k][g[:-1]] + mass)
+            score += math.log10(p)
+        out[i] = score
+    return out
+
+
+def test_language_model_query_uses_two_words_before(spark, documents):
+    rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in documents.itertuples()]
+    want = brute_trigram_scores(rows)
+    for r in registered()["op5_lm_score"][0](spark, DATA).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=0.02, abs=0.05)
+
+
+def test_frequent_contexts_of_two_words_are_split(spark, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(language_model, "stage", lambda df, label, f=language_model.stage: staged.setdefault(label, f(df, label)))
+    rows = [(i, f"start {' '.join(f'a b x{i * 40 + j}' for j in range(40))}", i % 5 == 1) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = language_model.score_documents(frame, order=3, block_tokens=3000, shard_grams=500).collect()
+    want = brute_trigram_scores(rows)
+    assert len(got) == 150 and all(r.score == pytest.approx(want[r.doc_id], rel=0.02, abs=0.05) for r in got)
+    # "a b" has 6000 successors
+    sizes = staged["lm-level-3"].groupBy("shard").agg(F.sum(F.octet_length("codes")).alias("n")).agg(F.max("n")).first()[0]
+    assert sizes < 3000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=80), st.lists(st.integers(0, 2**64 - 1), max_size=20))
 def test_elias_fano(values, asked):
