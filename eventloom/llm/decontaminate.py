@@ -121,9 +121,14 @@ def _result_schema(docs, doc_id, items):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that contain an item; all columns stay as they are."""
-    leaks = contained_items(docs, items, threshold=threshold, doc_id=doc_id).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` without the rows that contain an item; all columns stay as they are.
+
+    Each row is judged by its own text: rows with the same id, or without one, stay when only another of them contains an item.
+    """
+    row = F.struct(F.col(doc_id).alias("id"), F.xxhash64("text").alias("text"))
+    rows = docs.select(row.alias("row"), "text")
+    leaks = contained_items(rows, items, threshold=threshold, doc_id="row").select(F.col("doc_id").alias("__row")).distinct()
+    return docs.join(leaks, row.eqNullSafe(F.col("__row")), "left_anti")
 
 
 def op7_benchmark_leaks(spark, sf_dir):

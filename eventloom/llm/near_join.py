@@ -84,8 +84,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
             "paths": [[pack(p) for p in paths(s)] if len(s) else None for s in sets],
         }
 
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node long, n_shingles int, paths array<binary>")])
-    return map_columns(docs, sign, schema)
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("text_hash long, node long, n_shingles int, paths array<binary>")])
+    return map_columns(docs.withColumn("text_hash", F.xxhash64("text")), sign, schema)
 
 
 def _groups(signed: DataFrame, depth: int) -> DataFrame:
@@ -233,6 +233,14 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, recall: fl
     shingle. Null, empty and blank texts have no shingles: each is a class of its own, without links. Repeated rows are copies.
     Null ids are documents too; a class of null ids alone has a null id.
     """
+    return _classes(docs, threshold, recall).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
+    """The columns of ``near_duplicates``, the hash of each row's text, and id and hash of the first row of its class.
+
+    ``first`` is null for texts without shingles.
+    """
     docs = docs.select("doc_id", "text")
     signed = stage(_signatures(docs), "near-signatures")
     shingled = signed.filter("node IS NOT NULL")
@@ -251,34 +259,43 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, recall: fl
     if split.limit(1).count():  # only these can be linked across units
         roots = roots.union(components(split).select("node", "label"))
     sums = units.groupBy("node").agg(F.sum("links").alias("links"), F.sum("text_links").alias("n_text_links"))
-    nodes = shingled.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # null ids come last
+    nodes = shingled.groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     nodes = nodes.join(sums, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = stage(nodes, "near-nodes")
-    classes = nodes.groupBy("root").agg(F.min("first").alias("class_id"))
+    classes = nodes.groupBy("root").agg(F.min("first").alias("first"))
     zero = F.lit(0).cast("long")
-    nodes = nodes.join(classes, "root").select(
+    nodes = nodes.drop("first").join(classes, "root").select(
         "node",
-        "class_id",
+        "first",
         (F.coalesce("links", zero) + F.col("n_copies") - 1).alias("n_links"),
         F.coalesce("n_text_links", zero).alias("n_text_links"),
         "n_copies",
     )
-    joined = signed.select("doc_id", "node").join(nodes, "node", "left")
+    joined = signed.select("doc_id", "text_hash", "node").join(nodes, "node", "left")
     alone = F.col("node").isNull()
     return joined.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("n_links", zero).alias("n_links"),
         F.coalesce("n_text_links", zero).alias("n_text_links"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
+        "text_hash",
+        "first",
     )
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class of near duplicates, the one with the smallest id; columns stay as they are."""
-    classes = stage(near_duplicates(docs, threshold=threshold).select("doc_id", "class_id"), "near-classes")
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """``docs`` with one document of each class of near duplicates, the one with the smallest id; columns stay as they are.
+
+    Each row is judged by its own text, whatever other rows have its id or none; among several with the smallest id, or without
+    ids, a hash of the text decides. Texts without shingles stay; equal rows are one.
+    """
+    classes = stage(_classes(docs, threshold).select("doc_id", "text_hash", "first"), "near-classes")
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    kept = classes.filter(F.col("first").isNull() | chosen).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op4_near_join(spark, sf_dir):

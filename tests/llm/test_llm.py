@@ -241,6 +241,15 @@ def test_near_awkward_rows(spark):
     assert sorted(x for x in ids if x is not None) == [1, 2, 3, 4, 7, 8, 10, 11] and near_join.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    near = [t for _, t in near_copies(3)]
+    rows = [(None, None), (None, near[0]), (None, near[1]), (None, near[1].upper()), (None, "alone without id"), (None, LONG), (5, LONG), (5, PASSAGE), (4, PASSAGE)]
+    kept = [tuple(r) for r in near_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    copies = [r for r in kept if r[1] and r[1].lower() in near]
+    assert len(copies) == 1 and copies[0][0] is None
+    assert sorted((r for r in kept if r not in copies), key=str) == sorted([(None, None), (None, "alone without id"), (5, LONG), (4, PASSAGE)], key=str)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
@@ -444,6 +453,14 @@ def test_leaks_awkward_rows(spark):
     assert decontaminate.contained_items(rows.limit(0), items).count() == 0 and decontaminate.contained_items(rows, items.limit(0)).count() == 0
 
 
+def test_leaks_go_by_row(spark):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    clean = [(None, None), (None, "a clean text without id"), (None, "another one"), (1, "clean under a repeated id"), (2, "")]
+    rows = spark.createDataFrame([*clean, (None, "leak " + PASSAGE), (1, PASSAGE), (1, PASSAGE)], "doc_id long, text string")
+    kept = decontaminate.decontaminate(rows, items)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(clean, key=str)
+
+
 def test_sketches_shuffle_when_large(spark, monkeypatch):
     rows, items = table(spark, "documents"), table(spark, "benchmark")
     first = sorted(map(tuple, decontaminate.contained_items(rows, items).collect()))
