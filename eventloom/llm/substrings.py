@@ -42,7 +42,8 @@ _steps = _rng.integers(0, 2**63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
 _LONG, _INT, _BOOL = T.LongType(), T.IntegerType(), T.BooleanType()
 SEGMENTS = T.StructType(
-    [T.StructField("whole", _BOOL), T.StructField("anchor", _LONG), T.StructField("segment", _LONG), T.StructField("doc_id", _LONG)]
+    [T.StructField("whole", _BOOL), T.StructField("anchor", _LONG), T.StructField("segment", _LONG)]
+    + [T.StructField("doc_id", _LONG), T.StructField("version", _LONG)]
     + [T.StructField(n, _INT) for n in ("low", "high", "at")]
 )
 
@@ -88,23 +89,24 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
     target = [f.name for f in SEGMENTS]
 
     def fold(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        anchor, segment, doc, low, high, at = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((low, doc, segment, anchor))
-        twin = np.concatenate(([False], np.all([x[order][1:] == x[order][:-1] for x in (anchor, segment, doc, low)], axis=0)))
+        anchor, segment, doc, version, low, high, at = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((low, version, doc, segment, anchor))
+        twin = np.concatenate(([False], np.all([x[order][1:] == x[order][:-1] for x in (anchor, segment, doc, version, low)], axis=0)))
         order = order[~twin]  # a repeated row is the same document
         a, s = anchor[order], segment[order]
         whole = np.concatenate(([False], (a[1:] == a[:-1]) & (s[1:] == s[:-1])))
         # a repeat needs no partner any more: it is dealt by its place, away from its anchor
-        a = np.where(whole, mix64(doc[order].view(np.uint64) * np.uint64(3) + low[order].astype(np.uint64)).view(np.int64), a)
-        columns = [whole, a, s, doc[order], low[order].astype(np.int32), high[order].astype(np.int32), at[order].astype(np.int32)]
+        place = doc[order].view(np.uint64) * np.uint64(3) + low[order].astype(np.uint64)
+        a = np.where(whole, mix64(place ^ version[order].view(np.uint64)).view(np.int64), a)
+        columns = [whole, a, s, doc[order], version[order], low[order].astype(np.int32), high[order].astype(np.int32), at[order].astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text"))):
                 for anchor, segment, low, high, at in segments_of(text, length):
-                    held.append((anchor, segment, np.full(len(low), doc, np.int64), low, high, at))
+                    held.append((anchor, segment, np.full(len(low), doc, np.int64), np.full(len(low), version, np.int64), low, high, at))
                     n += len(low)
                 if n >= FLUSH:
                     yield fold(held)
@@ -116,7 +118,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
 
 NEEDS = T.StructType(
-    [T.StructField("doc_id", _LONG), T.StructField("whole", _BOOL), T.StructField("low", _INT), T.StructField("high", _INT)]
+    [T.StructField("doc_id", _LONG), T.StructField("version", _LONG), T.StructField("whole", _BOOL), T.StructField("low", _INT), T.StructField("high", _INT)]
     + [T.StructField("anchor", _LONG), T.StructField("at", _INT)]
 )
 
@@ -127,7 +129,7 @@ def _meet(segments: DataFrame) -> DataFrame:
     Rows come sorted by anchor and segment and are streamed: all that is kept of an anchor is the first row of the segment at
     hand and whether a second segment has been seen.
     """
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "segment", "whole", "doc_id", "low")
+    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "segment", "whole", "doc_id", "version", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, shared, pending = None, False, None  # the row before, whether its anchor's rows are out, a row that waits
@@ -141,9 +143,9 @@ def _meet(segments: DataFrame) -> DataFrame:
                 a, s = c["anchor"][mine], c["segment"][mine]
                 same_anchor = np.concatenate(([last is not None and a[0] == last[0]], a[1:] == a[:-1]))
                 same = same_anchor & np.concatenate(([last is not None and s[0] == last[1]], s[1:] == s[:-1]))
-                place = [rows[n][mine] for n in ("doc_id", "low")]
+                place = [rows[n][mine] for n in ("doc_id", "version", "low")]
                 twin = same & np.all(
-                    [np.concatenate(([last is not None and x[0] == y], x[1:] == x[:-1])) for x, y in zip(place, last[2:] if last else (0, 0))], axis=0
+                    [np.concatenate(([last is not None and x[0] == y], x[1:] == x[:-1])) for x, y in zip(place, last[2:] if last else (0, 0, 0))], axis=0
                 )
                 out.append((mine[same & ~twin], True, None))
                 first = mine[~same]
@@ -159,7 +161,7 @@ def _meet(segments: DataFrame) -> DataFrame:
                         shared = bool(several[group[-1]])
                         pending = None if shared else {n: rows[n][first[-1]] for n in rows} | {"whole": False}
                     # a last anchor that is alone here may meet another in the next batch; others alone are done with
-                last = (a[-1], s[-1], place[0][-1], place[1][-1])
+                last = (a[-1], s[-1], *(x[-1] for x in place))
             for at, kind, _ in out:
                 if len(at):
                     arrays = [np.full(len(at), kind) if n == "whole" else rows[n][at] for n in names]
@@ -215,15 +217,17 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
     A byte is removed when it is inside a string of ``length`` bytes (at least 100) that also starts earlier: in a document with a
     smaller id or earlier in its own. Null ids come last. Null texts are empty; texts shorter than ``length`` lose nothing.
-    Rows that repeat an id are the same document: equal rows get equal results and are no repeats of each other.
+    Rows of equal id (or none) and text are the same document: they get equal results and are no repeats of each other. Different texts
+    with one id, or without ids, are documents in the order of their 64-bit hashes (xxhash64).
     """
     if length < LENGTH:
         raise ValueError(f"strings of at least {LENGTH} bytes")
     last = (1 << 63) - 1
     docs = docs.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("version", F.xxhash64("text"))
     needs = stage(_meet(_cut(docs, length)), "substring-needs")
-    per_doc = needs.groupBy("doc_id").agg(F.collect_list(F.struct("whole", "low", "high", "at")).alias("needs"))
-    met = docs.join(per_doc.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    per_doc = needs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("whole", "low", "high", "at")).alias("needs"))
+    met = docs.join(per_doc.hint("shuffle_hash"), ["doc_id", "version"], "left")
 
     def settle(rows):
         made = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "marks", "parts")}
@@ -243,14 +247,14 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             )
         return made
 
-    schema = T.StructType.fromDDL(f"doc_id long, {RESULT}, text string, marks binary, parts array<struct<key:long,low:int,bytes:binary>>")
+    schema = T.StructType.fromDDL(f"doc_id long, version long, {RESULT}, text string, marks binary, parts array<struct<key:long,low:int,bytes:binary>>")
     settled = stage(map_columns(met, settle, schema), "substring-settled")
     done = settled.filter("text IS NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
-    found = _index_parts(settled.filter("parts IS NOT NULL").select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*"), length)
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-    rest = settled.filter("text IS NOT NULL").select("doc_id", "n_bytes", "text", "marks")
-    rest = rest.join(found.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    found = _index_parts(settled.filter("parts IS NOT NULL").select("doc_id", "version", F.explode("parts").alias("p")).select("doc_id", "version", "p.*"), length)
+    found = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+    rest = settled.filter("text IS NOT NULL").select("doc_id", "version", "n_bytes", "text", "marks")
+    rest = rest.join(found.hint("shuffle_hash"), ["doc_id", "version"], "left")
 
     def finish(rows):
         made = {n: [] for n in ("n_removed", "n_spans", "kept_sha256")}
@@ -268,18 +272,19 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
 
 def _index_parts(parts: DataFrame, length: int) -> DataFrame:
-    """Runs of windows (doc_id, low, high) of the parts that also start earlier in another part of their key, or in their own."""
+    """Runs of windows (doc_id, version, low, high) of the parts that also start earlier in another part of their key, or in their own."""
     keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bytes")).alias("size")).filter("n > 1")
     keys = stage(keys, "substring-keys")
     large, small = keys.filter(F.col("size") > BIN_BYTES), keys.filter(F.col("size") <= BIN_BYTES)
     bins = 1 + int(small.agg(F.sum("size")).first()[0] or 0) // BIN_BYTES
     dealt = parts.join(small.select("key"), "key").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
-    schema = T.StructType.fromDDL("doc_id long, low int, high int")
+    schema = T.StructType.fromDDL("doc_id long, version long, low int, high int")
 
     def index(table: pa.Table) -> pa.Table:
-        doc, low = table.column("doc_id").to_numpy(), table.column("low").to_numpy()
-        order = np.lexsort((low, doc))
-        twin = np.concatenate(([False], (doc[order][1:] == doc[order][:-1]) & (low[order][1:] == low[order][:-1])))
+        place = [table.column(n).to_numpy() for n in ("doc_id", "version", "low")]
+        doc, version, low = place
+        order = np.lexsort(place[::-1])
+        twin = np.concatenate(([False], np.all([x[order][1:] == x[order][:-1] for x in place], axis=0)))
         order = order[~twin]
         texts = table.column("bytes")
         again = repeated_windows([texts[int(i)].as_py() for i in order], length)
@@ -287,20 +292,20 @@ def _index_parts(parts: DataFrame, length: int) -> DataFrame:
         for i, marks in zip(order, again):
             edge = np.diff(np.concatenate(([False], marks, [False])).astype(np.int8))
             a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-            out.append((np.full(len(a), doc[i]), a + low[i], b + low[i]))
+            out.append((np.full(len(a), doc[i]), np.full(len(a), version[i]), a + low[i], b + low[i]))
         columns = [np.concatenate(c) for c in zip(*out)]
-        return pa.table([pa.array(columns[0], pa.int64()), *[pa.array(c.astype(np.int32)) for c in columns[1:]]], names=["doc_id", "low", "high"])
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], schema=to_arrow_schema(schema))
 
     found = dealt.groupBy("bin").applyInArrow(index, schema)
     if large.limit(1).count():
         windows = parts.join(large.select("key"), "key").select(
-            "doc_id", "low", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("w")
+            "doc_id", "version", "low", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("w")
         )
         text = F.substring(F.col("bytes"), F.col("w") + 1, F.lit(length))
-        windows = windows.select("doc_id", (F.col("low") + F.col("w")).alias("low"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
-        earliest = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "low")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        again = windows.join(earliest, ["h", "g"]).filter(F.struct("doc_id", "low") > F.col("first"))
-        found = found.union(again.select("doc_id", "low", F.col("low").alias("high")))
+        windows = windows.select("doc_id", "version", (F.col("low") + F.col("w")).alias("low"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+        earliest = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "version", "low")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        again = windows.join(earliest, ["h", "g"]).filter(F.struct("doc_id", "version", "low") > F.col("first"))
+        found = found.union(again.select("doc_id", "version", "low", F.col("low").alias("high")))
     return found
 
 

@@ -533,6 +533,23 @@ def test_repeated_substrings_awkward_rows(spark):
     assert substrings.repeated_substrings(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_500_000, 500])
+def test_repeats_between_texts_of_one_id_or_none(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "BIN_BYTES", most)
+    other = "unrepeated " + " ".join(f"u{i}" for i in range(60))
+    rows = [(None, None), (None, "same start " + PASSAGE), (None, PASSAGE), (None, PASSAGE + " and more"), (None, other), (None, PASSAGE), (None, "short")]
+    rows += [(3, PASSAGE + " three"), (3, PASSAGE + " other three"), (3, other[::-1]), (3, other[::-1]), (2, PASSAGE[20:])]
+    rows += [(3, f"<{i}> {PASSAGE[i:]} {i}") for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    order = {(r.doc_id, r.text): r.h for r in frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    last = (1 << 63) - 1
+    ranked = sorted(set(rows), key=lambda r: (last if r[0] is None else r[0], order[r]))
+    want = {row: v[1:] for row, v in zip(ranked, (brute_removed([(k, t) for k, (_, t) in enumerate(ranked)])[k, t] for k, (_, t) in enumerate(ranked)))}
+    got = substrings.repeated_substrings(frame).collect()
+    assert Counter(tuple(r) for r in got) == Counter((i, len((t or "").encode()), *want[i, t]) for i, t in rows)
+    assert all(r.n_removed <= r.n_bytes for r in got)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)), max_size=5), st.integers(2, 9))
 def test_run_index(texts, length):
