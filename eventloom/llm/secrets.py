@@ -3,7 +3,7 @@
 Base patterns (assignments, access keys, hex strings) are always reported. Besides them, base64 and hex candidates are
 decoded and reported only when their contents parse: nested type-length-value encodings whose lengths add up exactly (DER),
 length-prefixed key blobs, armoured key blocks whose body is one of these, signed tokens whose header and payload are
-JSON, and encoded text that itself holds a base assignment or access key.
+JSON, and encoded text that itself holds a base assignment or access key. Encodings wrapped over lines are decoded whole too.
 """
 
 from __future__ import annotations
@@ -33,8 +33,12 @@ ARMOUR = re.compile(
     r"-----BEGIN ([A-Z0-9 ]{1,64})-----((?:\s*[A-Za-z-]{1,32}:[^\n]*\n)*[A-Za-z0-9+/=\s]+)-----END \1-----"
 )
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+# the shortest base match but hex is token= with six characters, 12 bytes
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_NO_BLANKS = dict.fromkeys([0x20, *range(0x09, 0x0E)])
 MAX_DEPTH = 32
 
 Span = tuple[int, int, str]
@@ -134,11 +138,36 @@ def confirm(data: bytes | None) -> str | None:
         inner = data.decode("ascii")
     except UnicodeDecodeError:
         return None
-    if inner.isprintable() and any(kind != "hex" for _, _, kind in base_spans(inner)):
+    if inner.translate(_NO_BLANKS).isprintable() and any(kind != "hex" for _, _, kind in base_spans(inner)):
         return "nested"
     return None
 
 
+def unhex(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 and LONG_HEX.fullmatch(text) else None
+
+
+def wrapped_spans(text: str) -> list[Span]:
+    """Encodings over several lines: lines of one length, with or without the rest of the line before and a shorter last one."""
+    spans = []
+    for m in WRAPPED.finditer(text):
+        pieces = [p.span() for p in PIECE.finditer(text, m.start(), m.end())]
+        sizes = [b - a for a, b in pieces]
+        edges = [0, *(i for i in range(1, len(sizes)) if sizes[i] != sizes[i - 1]), len(sizes)]
+        tried = set()
+        for a, b in zip(edges, edges[1:]):
+            ends = [b, b + 1] if b < len(sizes) and sizes[b] < sizes[a] else [b]
+            for i in [a - 1, a] if a else [a]:
+                for j in ends:
+                    if j - i < 2 or (i, j) in tried or sum(sizes[i:j]) < 16:
+                        continue
+                    tried.add((i, j))
+                    joined = "".join(text[u:v] for u, v in pieces[i:j])
+                    if kind := confirm(unbase64(joined)) or confirm(unhex(joined)):
+                        spans.append((pieces[i][0], m.end() if j == len(pieces) else pieces[j - 1][1], kind))
+    return spans
+
+
 def added_spans(text: str) -> list[Span]:
     spans: list[Span] = []
     if "-----BEGIN " in text:
@@ -156,9 +185,9 @@ def added_spans(text: str) -> list[Span]:
             spans.append((m.start(), m.end(), kind))
             seen.add((m.start(), m.end()))
     for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and m.span() not in seen and (kind := confirm(bytes.fromhex(m[0]))):
+        if m.span() not in seen and (kind := confirm(unhex(m[0]))):
             spans.append((m.start(), m.end(), kind))
-    return spans
+    return spans + wrapped_spans(text) if "\n" in text else spans
 
 
 def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
