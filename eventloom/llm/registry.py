@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, language_model, mixing, near_join, quality, secrets, substrings, toxicity, warc
+from . import (
+    decontaminate,
+    fingerprints,
+    hard_negatives,
+    html_text,
+    language_model,
+    manifest,
+    mixing,
+    near_join,
+    quality,
+    secrets,
+    substrings,
+    toxicity,
+    warc,
+)
 
-MODULES = [quality, secrets, toxicity, near_join, language_model, mixing, decontaminate, warc, substrings, fingerprints]
+MODULES = [
+    quality,
+    secrets,
+    toxicity,
+    near_join,
+    language_model,
+    mixing,
+    decontaminate,
+    warc,
+    substrings,
+    fingerprints,
+    hard_negatives,
+    manifest,
+    html_text,
+]
 
 
 def registered():
