@@ -130,7 +130,7 @@ def stay_moves(times: DataFrame, largest: int | None = None) -> DataFrame:
     ``times`` has ``person_id, visit_id, visit_start, time``. The chain is greedy, so it is followed in order, but it
     restarts at any event a day or more after the event before it. Runs of closer events are independent of
     each other and are folded separately, over distinct times only (in a stream where a visit is very large).
-    Returns ``person_id, visit_id, time, move_days``.
+    Returns ``person_id, visit_id, time, move_days, move_no``, moves of a visit numbered from 1.
     """
     starts = times.select(*VISIT_KEY, F.col("visit_start").alias("time"))
     points = times.filter(F.col("time") > F.col("visit_start")).select(*VISIT_KEY, "time").union(starts).distinct()
@@ -148,11 +148,13 @@ def stay_moves(times: DataFrame, largest: int | None = None) -> DataFrame:
         moves = ordered.mapInPandas(_fold_in_stream, "person_id long, visit_id long, t long")
     # at most one move per day of a stay
     w = Window.partitionBy(*VISIT_KEY).orderBy("t")
-    moves = moves.withColumn("__before", F.lag("t").over(w)).filter(F.col("__before").isNotNull())
+    moves = moves.withColumns({"__before": F.lag("t").over(w), "move_no": F.row_number().over(w).cast("long") - 1})
+    moves = moves.filter(F.col("__before").isNotNull())  # the first is the start of the visit
     return moves.select(
         *VISIT_KEY,
         F.timestamp_micros("t").alias("time"),
         floor_div(F.col("t") - F.col("__before"), DAY_US).alias("move_days"),
+        "move_no",
     )
 
 
@@ -280,9 +282,12 @@ def _visit_events(visits: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def _rank_events(ev: DataFrame, per_visit: int) -> DataFrame:
-    """Events with their rank in the visit, the cursor at that event, and the moves up to it."""
+    """Events with their rank in the visit, the cursor at that event, and the moves up to it.
+
+    Event ids may repeat: the order ends with everything else that tells two events apart, so only equal rows are interchangeable.
+    """
     moves = stay_moves(ev.filter("is_stay").select(*VISIT_KEY, "visit_start", "time"), per_visit)
-    order = [F.col("time"), F.col("code"), F.col("event_id")]
+    order = [F.col(c) for c in ("time", "code", "event_id", "token", "value", "unit")]
     ev = ev.join(moves.withColumn("__at", F.col("time")), [*VISIT_KEY, "time"], "left")
     ev = ordered_scan(
         ev,
@@ -290,14 +295,14 @@ def _rank_events(ev: DataFrame, per_visit: int) -> DataFrame:
         time_levels(F.col("time")),
         order,
         count="rank",
-        fill={"cursor": F.col("__at")},
+        fill={"__move": F.when(F.col("__at").isNotNull(), F.struct("__at", "move_no"))},
         before_last={"__time_before": F.col("time")},
         largest=per_visit,
     )
     first_at_time = F.col("__time_before").isNull() | (F.col("__time_before") < F.col("time"))
-    ev = ev.withColumn("moved", F.col("move_days").isNotNull() & first_at_time)
-    moved = F.col("moved").cast("long")  # same groups and order as above: no further shuffle
-    ev = ordered_scan(ev, VISIT_KEY, time_levels(F.col("time")), order, sums={"shift": moved}, largest=per_visit)
+    moved = F.col("move_days").isNotNull() & first_at_time
+    shift = F.coalesce("__move.move_no", F.lit(0).cast("long"))
+    ev = ev.withColumns({"moved": moved, "cursor": F.col("__move.__at"), "shift": shift})
     return ev.select(
         *VISIT_KEY, "time", "code", "event_id", "token", "value", "value_mask", "mlm_skip", "unit",
         "rank", "cursor", "moved", "move_days", "shift",
@@ -546,24 +551,6 @@ def rebuild_times(seq: DataFrame) -> DataFrame:
 # ---- relational records as events ------------------------------------------------------------------------------
 
 
-def domain_events(tables: Sequence[tuple[DataFrame, str, str, str]], start_date=None) -> DataFrame:
-    """Union of relational domain tables as events.
-
-    Each entry is ``(table, concept column, date column, domain name)``; a ``visit_id`` column is carried when present.
-    """
-    out = None
-    for df, concept, when, domain in tables:
-        part = df.select(
-            "person_id",
-            (F.col("visit_id") if "visit_id" in df.columns else F.lit(None).cast("long")).alias("visit_id"),
-            F.col(when).cast("timestamp").alias("time"),
-            F.col(concept).cast("string").alias("code"),
-            F.lit(domain).alias("table"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out if start_date is None else out.filter(F.col("time") >= F.lit(start_date).cast("timestamp"))
-
-
 def qualified_concepts(events: DataFrame, min_patients: int = 100) -> DataFrame:
     """Concepts seen in at least ``min_patients`` people."""
     return (

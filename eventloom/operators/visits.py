@@ -447,11 +447,14 @@ def text_to_numeric(events: DataFrame, rules: Sequence[TextRule]) -> DataFrame:
 
 
 def strip_structural(events: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Drop the events that only state a block's visit type or discharge."""
-    marks = blocks.select(*BLOCK_KEY, "visit_type", "discharged_to")
-    out = events.join(marks, BLOCK_KEY)
-    same = (F.col("code") == F.col("visit_type")) | F.coalesce(F.col("code") == F.col("discharged_to"), F.lit(False))
-    return out.filter(~same).drop("visit_type", "discharged_to")
+    """Drop the events that only state their block's visit type or discharge.
+
+    Every other event stays: those without a code, without a visit, or of a visit that ``blocks`` does not list.
+    """
+    marks = blocks.select(*BLOCK_KEY, F.col("visit_type").alias("__type"), F.col("discharged_to").alias("__to"))
+    out = events.join(marks, BLOCK_KEY, "left")
+    same = (F.col("code") == F.col("__type")) | (F.col("code") == F.col("__to"))
+    return out.filter(~F.coalesce(same, F.lit(False))).drop("__type", "__to")
 
 
 def stitch_admissions(

@@ -57,10 +57,10 @@ def case_control(spark, d):
 
 @add(
     "c2_restrict",
-    f"WITH {COHORT_CTE} SELECT * FROM cohort WHERE person_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'P')",
+    f"WITH {COHORT_CTE} SELECT * FROM cohort WHERE person_id IN (SELECT CASE WHEN o_custkey % 5 < 3 THEN o_custkey END FROM orders)",
 )
 def restrict(spark, d):
-    ids = A.visits(spark, d).filter("visit_type = 'Visit/IP' AND discharge_facility = 'P'")
+    ids = A.visits(spark, d).withColumn("person_id", F.expr("if(person_id % 5 < 3, person_id, null)"))
     return C.restrict(cohort(spark, d), ids)
 
 

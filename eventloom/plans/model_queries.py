@@ -124,11 +124,14 @@ def modes(spark, d):
 @add(
     "l9_enrich",
     """SELECT o_orderkey, coalesce(g, 0) AS gender_id, coalesce(r, 0) AS race_id FROM orders LEFT JOIN
-(SELECT c_custkey, (c_custkey % 2 + 1)::INT AS g, c_nationkey AS r FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey""",
+(SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS k, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 2 + 1)::INT END AS g, c_nationkey AS r
+FROM customer) ON o_custkey = k""",
 )
 def enrich(spark, d):
-    demo = A.table(spark, d, "customer").filter("c_custkey % 3 = 0").select(
-        F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 2 + 1).cast("int").alias("gender_id"),
+    key = F.col("c_custkey")
+    demo = A.table(spark, d, "customer").select(  # some have no key, some no gender
+        F.when(key % 3 != 0, key).alias("o_custkey"),
+        F.when(key % 5 != 0, (key % 2 + 1).cast("int")).alias("gender_id"),
         F.col("c_nationkey").alias("race_id"),
     )
     orders = A.table(spark, d, "orders").select("o_orderkey", "o_custkey")

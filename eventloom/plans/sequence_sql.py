@@ -22,8 +22,11 @@ def token_sql(days: str, kind: str) -> str:
     }[kind]
 
 
-def sequence_ctes(options: SequenceOptions) -> str:
-    """CTEs ``subj, vis0, evt, vis, …, seq``; start the statement with WITH RECURSIVE."""
+def sequence_ctes(
+    options: SequenceOptions, visits: str | None = None, events: str = A.VISIT_EVENTS_SQL, stays: tuple[str, ...] = ("Visit/ER", "Visit/IP")
+) -> str:
+    """CTEs ``subj, vis0, evt, vis, …, seq`` over the given visits and events; start the statement with WITH RECURSIVE."""
+    stay_types = "', '".join(stays)
     gap_tok, stay_tok = token_sql("gap_days", options.gap), token_sql("move_days", options.stay)
     blank = "0 AS week, -1 AS age, -1.0 AS value, 0 AS value_mask, 'N/A' AS unit"
     parts = [
@@ -70,8 +73,8 @@ def sequence_ctes(options: SequenceOptions) -> str:
     union = "\nUNION ALL ".join(parts)
     code, text = CLEAN.format("code"), CLEAN.format("text_value")
     return f"""
-subj AS ({A.PEOPLE_SQL}), vis0 AS ({A.visits_sql()}), evt AS ({A.VISIT_EVENTS_SQL}),
-vis AS (SELECT v.*, birth, gender, race, visit_type IN ('Visit/ER', 'Visit/IP') AS is_stay,
+subj AS ({A.PEOPLE_SQL}), vis0 AS ({visits or A.visits_sql()}), evt AS ({events}),
+vis AS (SELECT v.*, birth, gender, race, visit_type IN ('{stay_types}') AS is_stay,
   row_number() OVER (PARTITION BY v.person_id ORDER BY visit_start, visit_id) AS visit_order
   FROM vis0 v JOIN subj USING (person_id)),
 ev1 AS (SELECT e.person_id, e.visit_id, event_id, e.time, code, is_stay, visit_start,
@@ -79,7 +82,7 @@ ev1 AS (SELECT e.person_id, e.visit_id, event_id, e.time, code, is_stay, visit_s
   coalesce(numeric_value, -1.0) AS value, (numeric_value IS NOT NULL)::INT AS value_mask, coalesce(unit, 'N/A') AS unit
   FROM evt e JOIN vis USING (person_id, visit_id) WHERE e.time IS NOT NULL),
 ev2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id, visit_id, token, value
-  ORDER BY time, code, event_id) AS dup FROM ev1) WHERE is_stay OR dup = 1),
+  ORDER BY time, code, event_id, unit) AS dup FROM ev1) WHERE is_stay OR dup = 1),
 times AS (SELECT DISTINCT person_id, visit_id, visit_start, time FROM ev2 WHERE is_stay),
 mv AS (SELECT DISTINCT person_id, visit_id, visit_start AS cur, CAST(NULL AS TIMESTAMP) AS prev FROM times
   UNION ALL SELECT m.person_id, m.visit_id, min(t.time), m.cur FROM mv m JOIN times t
@@ -88,9 +91,9 @@ mv AS (SELECT DISTINCT person_id, visit_id, visit_start AS cur, CAST(NULL AS TIM
 moves AS (SELECT person_id, visit_id, cur AS time, (epoch_us(cur) - epoch_us(prev)) // 86400000000 AS move_days
   FROM mv WHERE prev IS NOT NULL),
 ev3 AS (SELECT e.*, move_days,
-  row_number() OVER (PARTITION BY e.person_id, e.visit_id ORDER BY e.time, code, event_id) AS rank,
-  max(m.time) OVER (PARTITION BY e.person_id, e.visit_id ORDER BY e.time, code, event_id) AS cursor,
-  m.time IS NOT NULL AND row_number() OVER (PARTITION BY e.person_id, e.visit_id, e.time ORDER BY code, event_id) = 1 AS moved
+  row_number() OVER (PARTITION BY e.person_id, e.visit_id ORDER BY e.time, code, event_id, token, value, unit) AS rank,
+  max(m.time) OVER (PARTITION BY e.person_id, e.visit_id ORDER BY e.time, code, event_id, token, value, unit) AS cursor,
+  m.time IS NOT NULL AND row_number() OVER (PARTITION BY e.person_id, e.visit_id, e.time ORDER BY code, event_id, token, value, unit) = 1 AS moved
   FROM ev2 e LEFT JOIN moves m ON e.person_id = m.person_id AND e.visit_id = m.visit_id AND e.time = m.time),
 v1 AS (SELECT vis.*, last_time,
   CASE WHEN is_stay THEN coalesce(visit_end, last_cursor, visit_start) ELSE visit_start END AS end_cursor,

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import timing
 from ..operators import clean as P
+from ..operators import domains as D
 from ..operators import sequence as S
 from ..operators import visits as V
 from ..sources import adapters as A
-from .sequence_sql import CLEAN, sequence_sql, token_sql
+from .sequence_sql import CLEAN, sequence_ctes, sequence_sql, token_sql
 
 FULL = S.SequenceOptions(gap="day", stay="day", auxiliary=True, prompt=True)
 PLAIN = S.SequenceOptions()
@@ -398,37 +399,83 @@ def index_epoch(spark, d):
     )
 
 
-def _domains(spark, d, start=None):
-    conditions = A.conditions(spark, d)
-    drugs = A.visit_events(spark, d).select("person_id", "visit_id", F.col("time").alias("drug_date"), "code")
-    return S.domain_events(
-        [
-            (conditions, "condition_concept_id", "condition_start_date", "condition"),
-            (drugs, "code", "drug_date", "drug"),
-        ],
-        start,
-    )
+def _domains(spark, d):
+    return [
+        D.Domain("condition", A.condition_records(spark, d), "condition_concept_id", "condition_start_date", event_id="condition_occurrence_id"),
+        D.Domain("drug", A.drug_records(spark, d), "drug", "drug_time", visit_id="visit_id", event_id="drug_exposure_id"),
+        D.Domain("procedure", A.procedure_records(spark, d), "procedure_concept", "procedure_time", event_id="procedure_occurrence_id"),
+        D.Domain(
+            "measurement", A.measurement_records(spark, d), "measurement_concept", "measurement_time",
+            visit_id="visit_id", event_id="measurement_id", number="value_as_number", unit="unit_source",
+        ),
+    ]
 
 
-_DOMAINS = f"""SELECT person_id, CAST(NULL AS BIGINT) AS visit_id, CAST(condition_start_date AS TIMESTAMP) AS time,
-  CAST(condition_concept_id AS VARCHAR) AS code, 'condition' AS "table" FROM ({A.CONDITIONS_SQL})
-  UNION ALL SELECT person_id, visit_id, time, code, 'drug' FROM ({A.VISIT_EVENTS_SQL})"""
+_DOMAINS = " UNION ALL ".join([A.CONDITION_RECORDS_SQL, A.DRUG_RECORDS_SQL, A.PROCEDURE_RECORDS_SQL, A.MEASUREMENT_RECORDS_SQL])
 
 
 @add(
     "q17_domain_events",
-    f"""SELECT person_id, "table", code, coalesce(visit_id, -1) AS visit_id, time, count(*) AS n FROM ({_DOMAINS})
-WHERE time >= TIMESTAMP '1996-01-01' GROUP BY ALL""",
+    f"""SELECT person_id, "table", code, coalesce(visit_id, 0) AS visit_id, time, coalesce(unit, '') AS unit, count(*) AS n,
+coalesce(sum(numeric_value), 0) AS total FROM ({_DOMAINS}) WHERE time >= TIMESTAMP '1996-01-01' GROUP BY ALL""",
 )
 def domain_events(spark, d):
-    e = _domains(spark, d, "1996-01-01")
-    e = e.withColumn("visit_id", F.coalesce("visit_id", F.lit(-1)))
-    return e.groupBy("person_id", "table", "code", "visit_id", "time").agg(F.count(F.lit(1)).alias("n"))
+    e = D.domain_events(_domains(spark, d), "1996-01-01")
+    e = e.withColumns({"visit_id": F.coalesce("visit_id", F.lit(0)), "unit": F.coalesce("unit", F.lit(""))})
+    total = F.coalesce(F.sum("numeric_value"), F.lit(0.0)).alias("total")
+    return e.groupBy("person_id", "table", "code", "visit_id", "time", "unit").agg(F.count(F.lit(1)).alias("n"), total)
 
 
 @add(
     "q18_qualified_concepts",
-    f"SELECT code, count(DISTINCT person_id) AS n_people FROM ({_DOMAINS}) GROUP BY 1 HAVING count(DISTINCT person_id) >= 100",
+    f"SELECT code, count(DISTINCT person_id) AS n_people FROM ({_DOMAINS}) GROUP BY 1 HAVING count(DISTINCT person_id) >= 50",
 )
 def qualified_concepts(spark, d):
-    return S.qualified_concepts(_domains(spark, d), 100)
+    return S.qualified_concepts(D.domain_events(_domains(spark, d)), 50)
+
+
+# The first covering visit by a join of days and visits; loose days are numbered after the person's highest visit.
+_PLACED = f"""rec AS ({_DOMAINS}), good AS (SELECT code FROM rec GROUP BY 1 HAVING count(DISTINCT person_id) >= 50),
+gv AS ({A.visits_sql()}),
+rec1 AS (SELECT r.*, g.visit_id IS NOT NULL AS listed, CAST(r.time AS DATE) AS day FROM rec r JOIN good USING (code)
+  LEFT JOIN gv g ON g.person_id = r.person_id AND g.visit_id = r.visit_id WHERE r.time >= TIMESTAMP '1996-01-01'),
+loose AS (SELECT DISTINCT person_id, day FROM rec1 WHERE NOT listed),
+cover AS (SELECT l.person_id, l.day, arg_min(visit_id, (visit_start, visit_id)) AS visit_id FROM loose l JOIN gv ON gv.person_id = l.person_id
+  AND CAST(visit_start AS DATE) <= l.day AND l.day <= CAST(coalesce(visit_end, visit_start) AS DATE) GROUP BY ALL),
+own AS (SELECT person_id, day, coalesce(top, 0) + row_number() OVER (PARTITION BY person_id ORDER BY day) AS visit_id
+  FROM (FROM loose ANTI JOIN cover USING (person_id, day)) LEFT JOIN (SELECT person_id, max(visit_id) AS top FROM gv GROUP BY 1) USING (person_id)),
+placed AS (SELECT r.person_id, coalesce(c.visit_id, o.visit_id, r.visit_id) AS visit_id, event_id, time, code, numeric_value, text_value, unit,
+  CASE WHEN listed THEN 'linked' WHEN c.visit_id IS NOT NULL THEN 'attached' ELSE 'orphan' END AS how, "table"
+  FROM rec1 r LEFT JOIN cover c ON NOT listed AND c.person_id = r.person_id AND c.day = r.day
+  LEFT JOIN own o ON NOT listed AND o.person_id = r.person_id AND o.day = r.day),
+allv AS (SELECT person_id, visit_id, visit_type, visit_start, visit_end, discharge_facility FROM gv
+  UNION ALL SELECT person_id, visit_id, 'Visit/OP', min(time), NULL, NULL FROM placed WHERE how = 'orphan' GROUP BY ALL),
+died AS (SELECT d.person_id, max(v.visit_id) + 1 AS visit_id, greatest(d.time, max(greatest(visit_start, visit_end)),
+  (SELECT max(p.time) FROM placed p WHERE p.person_id = d.person_id)) AS time FROM ({A.DEATHS_SQL}) d JOIN allv v USING (person_id) GROUP BY d.person_id, d.time)"""
+
+_SEQ_VISITS = """SELECT * FROM allv UNION ALL SELECT person_id, visit_id, '[DEATH]', time, NULL, NULL FROM died"""
+_SEQ_EVENTS = """SELECT person_id, visit_id, event_id, time, code, numeric_value, text_value, unit FROM placed
+  UNION ALL SELECT person_id, visit_id, 0, time, '[DEATH]', NULL, NULL, NULL FROM died"""
+DAYS = S.SequenceOptions(gap="day", stay="day")
+
+
+@add(
+    "q17_join_visits",
+    f"""WITH {_PLACED} SELECT person_id, visit_id, event_id, "table", code, time, how FROM placed""",
+)
+def join_visits(spark, d):
+    events = D.domain_events(_domains(spark, d), "1996-01-01")
+    concepts = S.qualified_concepts(D.domain_events(_domains(spark, d)), 50).select("code")
+    _, placed = D.join_visits(events.join(concepts, "code", "left_semi"), A.visits(spark, d))
+    return placed.select("person_id", "visit_id", "event_id", "table", "code", "time", "how")
+
+
+@add(
+    "q17_domain_sequences",
+    f"WITH RECURSIVE {_PLACED}, {sequence_ctes(DAYS, _SEQ_VISITS, _SEQ_EVENTS)} SELECT {COLS} FROM seq",
+)
+def domain_sequences(spark, d):
+    """Four domains and deaths, day tokens, concepts of at least fifty people."""
+    return D.domain_sequences(
+        _domains(spark, d), A.visits(spark, d), A.people(spark, d), start_date="1996-01-01", min_patients=50, deaths=A.deaths(spark, d), options=DAYS
+    )

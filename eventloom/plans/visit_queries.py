@@ -72,12 +72,13 @@ def drop_tables(spark, d):
 @add(
     "p5_drop_unusable",
     f"""SELECT person_id, birth FROM (SELECT person_id, CASE WHEN person_id % 11 <> 0 THEN birth END AS birth FROM ({A.PEOPLE_SQL}))
-WHERE birth IS NOT NULL AND person_id IN (SELECT person_id FROM ({A.visits_sql()}) WHERE visit_type = 'Visit/IP')""",
+WHERE birth IS NOT NULL AND person_id IN (SELECT CASE WHEN visit_id % 3 <> 0 AND person_id % 7 <> 0 THEN person_id END FROM ({A.visits_sql()}))""",
 )
 def drop_unusable(spark, d):
     people = A.people(spark, d).withColumn("birth", F.when(F.col("person_id") % 11 != 0, F.col("birth")))
-    stays = A.visits(spark, d).filter(F.col("visit_type") == "Visit/IP")
-    return P.drop_unusable(people, stays).select("person_id", "birth")
+    known = (F.col("visit_id") % 3 != 0) & (F.col("person_id") % 7 != 0)  # other visits have lost their person
+    visits = A.visits(spark, d).withColumn("person_id", F.when(known, F.col("person_id")))
+    return P.drop_unusable(people, visits).select("person_id", "birth")
 
 
 @add("p6_drop_untimed", f"SELECT event_id FROM ({A.LOG_EVENTS_SQL}) WHERE event_id % 13 <> 0")
@@ -289,13 +290,13 @@ def assign_every_event(spark, d):
 
 @add(
     "e7_orphan_visits",
-    f"""WITH v AS ({_visits_cte()}), top AS (SELECT subject_id, max(visit_id) AS t FROM v WHERE visit_type = 'Visit/ER' GROUP BY 1)
+    f"""WITH v AS ({_visits_cte()}), top AS (SELECT subject_id, max(visit_id) AS t FROM v GROUP BY 1)
 SELECT subject_id, day, coalesce(t, 0) + row_number() OVER (PARTITION BY subject_id ORDER BY day) AS visit_id
 FROM (SELECT DISTINCT subject_id, CAST(time AS DATE) AS day FROM ({_SHIPPED})) LEFT JOIN top USING (subject_id)""",
 )
 def orphan_visits(spark, d):
     days = _shipped(spark, d).select("subject_id", F.to_date("time").alias("day"))
-    return V.orphan_visits(days, _visits(spark, d).filter("visit_type = 'Visit/ER'"))
+    return V.orphan_visits(days, _visits(spark, d))
 
 
 @add(
@@ -402,11 +403,19 @@ def text_to_numeric(spark, d):
 
 @add(
     "e14_strip_structural",
-    f"""WITH b AS ({_CLASSIFY}) SELECT event_id, code FROM ({LOG_TABLES_SQL}) e JOIN b USING (subject_id, visit_id)
-WHERE code <> visit_type AND code IS DISTINCT FROM discharged_to""",
+    f"""WITH b AS ({_CLASSIFY}), e AS (SELECT subject_id, event_id, CASE WHEN event_id % 17 <> 0 THEN code END AS code,
+  CASE WHEN event_id % 19 <> 0 THEN visit_id END AS visit_id FROM ({LOG_TABLES_SQL}))
+SELECT event_id, coalesce(code, '-') AS code FROM e WHERE event_id NOT IN (SELECT event_id FROM e JOIN b
+  ON e.subject_id = b.subject_id AND e.visit_id = b.visit_id AND b.visit_id % 5 <> 0 WHERE code = visit_type OR code = discharged_to)""",
 )
 def strip_structural(spark, d):
-    return V.strip_structural(log_with_tables(spark, d), classified(spark, d)).select("event_id", "code")
+    """Some events have no code or no visit, and some visits are not listed."""
+    i = F.col("event_id")
+    e = log_with_tables(spark, d).withColumns(
+        {"code": F.when(i % 17 != 0, F.col("code")), "visit_id": F.when(i % 19 != 0, F.col("visit_id"))}
+    )
+    out = V.strip_structural(e, classified(spark, d).filter("visit_id % 5 <> 0"))
+    return out.select("event_id", F.coalesce("code", F.lit("-")).alias("code"))
 
 
 def _stitched(spark, d, open_end=False):

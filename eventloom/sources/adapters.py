@@ -174,3 +174,90 @@ SELECT doc_id AS subject_id,
        round(1e0 / (1e0 + exp(-(n_chars - 2000e0) / 1000e0)), 9) AS predicted_boolean_probability,
        ({label} = 1) AS boolean_value
 FROM labels JOIN documents USING (doc_id)"""
+
+
+# ---- domain tables: the records of an order, with visit ids or without, and some with an id that is no visit -------------------
+
+
+def condition_records(spark: SparkSession, root: str) -> DataFrame:
+    """One per order line at its ship date, without a visit."""
+    orders = table(spark, root, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("person_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("condition_occurrence_id"),
+        (F.col("l_partkey") % 1000).alias("condition_concept_id"),
+        F.col("l_shipdate").cast("date").alias("condition_start_date"),
+    )
+
+
+CONDITION_RECORDS_SQL = """
+SELECT o_custkey AS person_id, CAST(NULL AS BIGINT) AS visit_id, l_orderkey * 10 + l_linenumber AS event_id,
+       CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS time, CAST(l_partkey % 1000 AS VARCHAR) AS code, CAST(NULL AS DOUBLE) AS numeric_value,
+       CAST(NULL AS VARCHAR) AS text_value, CAST(NULL AS VARCHAR) AS unit, 'condition' AS "table"
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def drug_records(spark: SparkSession, root: str) -> DataFrame:
+    """One per order line in its visit."""
+    e = visit_events(spark, root)
+    return e.select("person_id", "visit_id", F.col("event_id").alias("drug_exposure_id"), F.col("time").alias("drug_time"), F.col("code").alias("drug"))
+
+
+DRUG_RECORDS_SQL = f"""
+SELECT person_id, visit_id, event_id, time, code, CAST(NULL AS DOUBLE) AS numeric_value, CAST(NULL AS VARCHAR) AS text_value,
+       CAST(NULL AS VARCHAR) AS unit, 'drug' AS "table" FROM ({VISIT_EVENTS_SQL})"""
+
+
+def procedure_records(spark: SparkSession, root: str) -> DataFrame:
+    """One per order up to eight days after it, without a visit."""
+    key = F.col("o_orderkey")
+    return table(spark, root, "orders").select(
+        F.col("o_custkey").alias("person_id"),
+        key.alias("procedure_occurrence_id"),
+        F.concat(F.lit("Proc "), (key % 11).cast("string")).alias("procedure_concept"),
+        (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval((key % 9).cast("int"))).alias("procedure_time"),
+    )
+
+
+PROCEDURE_RECORDS_SQL = """
+SELECT o_custkey AS person_id, CAST(NULL AS BIGINT) AS visit_id, o_orderkey AS event_id,
+       CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 9 AS INTEGER)) AS time, 'Proc ' || (o_orderkey % 11) AS code,
+       CAST(NULL AS DOUBLE) AS numeric_value, CAST(NULL AS VARCHAR) AS text_value, CAST(NULL AS VARCHAR) AS unit, 'procedure' AS "table"
+FROM orders"""
+
+
+def measurement_records(spark: SparkSession, root: str) -> DataFrame:
+    """One per order line some hours after the order; a third names no visit, some name one that is not listed."""
+    orders = table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
+    line, key = F.col("l_linenumber"), F.col("l_orderkey")
+    return lines.join(orders, key == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("person_id"),
+        F.when(line % 5 == 0, -key - 1).when(line % 3 != 0, key).alias("visit_id"),
+        (key * 10 + line).alias("measurement_id"),
+        F.concat(F.lit("Lab "), (F.col("l_suppkey") % 7).cast("string")).alias("measurement_concept"),
+        (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), (line * 17).cast("int"))).alias("measurement_time"),
+        F.col("l_quantity").alias("value_as_number"),
+        F.col("l_returnflag").alias("unit_source"),
+    )
+
+
+MEASUREMENT_RECORDS_SQL = """
+SELECT o_custkey AS person_id, CASE WHEN l_linenumber % 5 = 0 THEN -l_orderkey - 1 WHEN l_linenumber % 3 <> 0 THEN l_orderkey END AS visit_id,
+       l_orderkey * 10 + l_linenumber AS event_id, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(l_linenumber * 17 AS INTEGER)) AS time,
+       'Lab ' || (l_suppkey % 7) AS code, l_quantity AS numeric_value, CAST(NULL AS VARCHAR) AS text_value, l_returnflag AS unit,
+       'measurement' AS "table"
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def deaths(spark: SparkSession, root: str) -> DataFrame:
+    """Customers in debt, some of them before their last order."""
+    key = F.col("c_custkey")
+    died = F.date_add(F.lit("2000-01-01").cast("date"), ((key * 13) % 900).cast("int")).cast("timestamp")
+    return table(spark, root, "customer").select(key.alias("person_id"), F.when(F.col("c_acctbal") < 0, died).alias("time"))
+
+
+DEATHS_SQL = """
+SELECT c_custkey AS person_id, CAST(DATE '2000-01-01' + CAST((c_custkey * 13) % 900 AS INTEGER) AS TIMESTAMP) AS time
+FROM customer WHERE c_acctbal < 0"""
