@@ -161,7 +161,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """Texts and labels of up to ``per_class`` labelled training documents of each class, and the number there are of each.
 
     Rows of fold 0, rows without a 0/1 label and ids with contradicting labels are left out. Which rows are taken depends on ids and
-    ``seed`` only.
+    ``seed`` only; of an id with several texts one is taken, by their hashes.
     """
     known = labels.filter((fold(F.col("doc_id")) != 0) & F.col(label).isin(0, 1)).groupBy("doc_id")
     known = known.agg(F.min(label).alias("low"), F.max(label).alias("label")).filter("low = label").drop("low")
@@ -169,7 +169,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     taken = [known.filter(F.col("label") == c).orderBy(draw, "doc_id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(taken[0].union(taken[1]))  # 2 * per_class ids
-    return docs.select("doc_id", "text").join(chosen, "doc_id"), sizes
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label")
+    return texts.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), sizes
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -22,7 +22,7 @@ from __future__ import annotations
 import mmap
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from ..session import stage
 from .common import code_points, fold, lower_ascii, mix64, pack, powers, read, word_bounds, word_hashes
 from .elias_fano import EliasFano
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 SHARD_GRAMS = 2_000_000
 MASS = 100.0  # m above
 HEAVY_CONTEXTS = 4096
@@ -112,7 +112,7 @@ class Block:
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
         planes = np.frombuffer(row["tokens"], np.uint8).reshape(4, -1)
-        self.tokens = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        self.tokens = np.ascontiguousarray(planes.T).view("<u4").ravel()
         self.vocabulary = np.frombuffer(row["vocabulary"], _U64)
         self.counts = np.frombuffer(row["counts"], np.uint32)
 
@@ -121,34 +121,56 @@ class Block:
 
         The last two results are each token's place among contexts and among n-grams.
         """
-        words = self.vocabulary[self.tokens]
-        first = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        at = np.arange(len(words))
-        context = context_of([np.where(at - k >= first, words[np.maximum(at - k, 0)], START) for k in range(n - 1, 0, -1)])
-        short = word_key(words)
+        context = context_of(self._before(k) for k in range(n - 1, 0, -1))
+        short = word_key(self.vocabulary)[self.tokens]
         if heavy:
             keys = np.fromiter(heavy, _U64, len(heavy))
             keys.sort()
             parts = np.array([heavy[int(k)][1] for k in keys], _U64)
             found = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-            split = keys[found] == context
-            context = np.where(split, part_key(context, short % parts[found]), context)
-        contexts, c = np.unique(context, return_inverse=True)
-        grams, g = np.unique(c.astype(_U64) << _U64(32) | short, return_inverse=True)
+            split = np.flatnonzero(keys[found] == context)
+            context[split] = part_key(context[split], short[split] % parts[found[split]])
+            del found
+        contexts, c = _distinct(context)
+        del context
+        short |= c.astype(_U64) << _U64(32)
+        grams, g = _distinct(short)
+        del short
         counts = np.bincount(g[~np.repeat(self.held, self.lengths)], minlength=len(grams)).astype(np.uint32)
-        successors = np.bincount((grams >> _U64(32)).astype(np.int64), minlength=len(contexts)).astype(np.uint32)
+        successors = np.bincount((grams >> _U64(32)).astype(np.uint32), minlength=len(contexts)).astype(np.uint32)
         return contexts, successors, (grams & _U64(0xFFFFFFFF)).astype(np.uint32), counts, c, g
 
+    def _before(self, k: int) -> np.ndarray:
+        """The hash of the word ``k`` places before each token, START before the start of its text."""
+        words = np.empty(len(self.tokens), _U64)
+        words[k:] = self.vocabulary[self.tokens[: len(words) - k]]
+        starts = np.cumsum(self.lengths) - self.lengths
+        for j in range(k):
+            words[starts[self.lengths > j] + j] = START
+        return words
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each value's place among them, in 32 bits."""
+    order = np.argsort(values).astype(np.uint32)
+    values = values[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    place = np.empty(len(values), np.uint32)
+    place[order] = np.cumsum(fresh, dtype=np.uint32) - np.uint32(1)
+    return values[fresh], place
+
 
 def context_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(context * _U64(0xC2B2AE3D27D4EB4F) + word)
 
 
-def context_of(words: list[np.ndarray]) -> np.ndarray:
+def context_of(words: Iterable[np.ndarray]) -> np.ndarray:
     """Keys of contexts, given by their words from the first to the last."""
-    context = context_key(np.full(len(words[0]), 2, _U64), words[0]) & _U64((1 << CONTEXT_BITS) - 1)
-    for w in words[1:]:
-        context = longer(context, word_key(w))
+    context = None
+    for w in words:
+        first = lambda w: context_key(np.full(len(w), 2, _U64), w) & _U64((1 << CONTEXT_BITS) - 1)
+        context = first(w) if context is None else longer(context, word_key(w))
     return context
 
 
@@ -191,7 +213,8 @@ def _requests(blocks: DataFrame, level: int, shard_bits: int, heavy: Heavy) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # a block at a time
+                row = batch.slice(at, 1).to_pylist()[0]
                 block = Block(row)
                 if level == 1:
                     order = np.argsort(block.vocabulary)
@@ -339,7 +362,7 @@ def score_documents(
     docs: DataFrame,
     held: str = "held",
     *,
-    order: int = 2,
+    order: int = 3,
     mass: float = MASS,
     block_tokens: int = BLOCK_TOKENS,
     shard_grams: int = SHARD_GRAMS,
@@ -424,7 +447,7 @@ def _score_block(left: pa.Table, right: pa.Table, order: int, heavies: list[Heav
 def op5_lm_score(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
-    return score_documents(docs.withColumn("held", held), order=3)
+    return score_documents(docs.withColumn("held", held))
 
 
 QUERIES = {"op5_lm_score": (op5_lm_score, None)}

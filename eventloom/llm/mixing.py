@@ -99,6 +99,7 @@ def mix_sources(
     source: str = "source",
     doc_id: str = "doc_id",
     size: str | None = None,
+    content: str | None = None,
     weights: tuple[float, ...] = WEIGHTS,
     repeats: int = 3,
     block: int = 32,
@@ -110,8 +111,10 @@ def mix_sources(
 
     Sources in code-point order, null last, weigh ``weights`` in turn. A null or empty text has size 0 and gives nothing; a
     source without words has target 0. Repeated rows are documents of their own. No document gives more than ``repeats``
-    times its size. ``size`` names a column that already holds sizes; else words of ``text`` are counted. Input columns named
-    like the results are replaced. Reruns agree: order and choice depend on ids, sizes and ``seed`` only.
+    times its size. ``size`` names a column that already holds sizes; else words of ``text`` are counted. ``content`` names a column that
+    tells rows of one id, or without, apart: a hash of the text, or ``text`` itself, which is taken if there is one. Input columns named
+    like the results are replaced. Reruns agree, whatever the order of the rows: order and choice depend on ids, contents, sizes and
+    ``seed`` only.
     """
     spark = docs.sparkSession
     sized = docs.withColumn("size", F.col(size) if size else word_count(F.col("text")))
@@ -129,7 +132,8 @@ def mix_sources(
             + [T.StructField("target", T.DoubleType()), T.StructField("__quota", T.LongType()), T.StructField("__shards", T.LongType())]
         ),
     )
-    draw = F.xxhash64(F.lit(seed), F.col(doc_id))
+    content = content or ("text" if "text" in docs.columns else None)
+    draw = F.xxhash64(F.lit(seed), F.col(doc_id), *([F.col(content)] if content else []))
     placed = sized.join(table, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
     placed = placed.withColumn("__draw", draw).withColumn("__shard", F.pmod(F.shiftright(draw, 8), F.col("__shards")))
 
@@ -166,9 +170,11 @@ def mix_sources(
 
 
 def op6_source_mix(spark, sf_dir):
-    sizes = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sizes = stage(sizes, "mix-sizes")  # ids and counts only: texts are read once
-    return mix_sources(sizes, size="size").select("doc_id", *RESULTS)
+    sizes = read(spark, sf_dir, "documents").select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")
+    )
+    sizes = stage(sizes, "mix-sizes")  # ids, counts and hashes only: texts are read once
+    return mix_sources(sizes, size="size", content="text_hash").select("doc_id", *RESULTS)
 
 
 QUERIES = {"op6_source_mix": (op6_source_mix, None)}

@@ -94,28 +94,33 @@ def _groups(signed: DataFrame, depth: int) -> DataFrame:
         "node", F.xxhash64("trie", F.expr(f"substring(path, 1, {2 * depth})")).alias("prefix")
     )
     shared = prefixes.groupBy("prefix").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    star = prefixes.join(shared.select("prefix", "low"), "prefix").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return components(star.distinct()).select("node", F.col("label").alias("grp"))
+    # a node has a partner in each trie, at most; it keeps the smallest, which is tied to the others once for all nodes that have both
+    star = prefixes.join(shared.select("prefix", "low"), "prefix").filter("node <> low")
+    partners = stage(star.groupBy("node").agg(F.array_sort(F.collect_set("low")).alias("lows")), "near-partners")
+    own = partners.select(F.col("node").alias("a"), F.col("lows")[0].alias("b"))
+    ties = partners.select(F.explode(F.slice("lows", 2, TREES)).alias("a"), F.col("lows")[0].alias("b")).distinct()
+    return components(own.union(ties)).select("node", F.col("label").alias("grp"))
 
 
 def _verify(docs: DataFrame, signed: DataFrame, groups: DataFrame, depth: int, threshold: float) -> DataFrame:
     """For each node and unit of work: its root among the links there, links in documents and in texts, and in how few tries."""
-    members = signed.join(groups, "node").groupBy("node", "grp").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")
-    )
-    members = stage(members, "near-members")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one")
+    members = signed.join(groups, "node").groupBy("node", "grp").agg(one, F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies"))
+    members = stage(members.select("*", "one.doc_id", "one.text_hash").drop("one"), "near-members")
     sizes = members.groupBy("grp").agg(F.sum("n_shingles").alias("s"), F.count(F.lit(1)).alias("n"))
     tiles = F.greatest(F.ceil(F.col("s") / TILE_SHINGLES), F.ceil(F.col("n") / TILE_NODES)).cast("int")
     sizes = stage(sizes.select("grp", "s", tiles.alias("tiles")), "near-groups")
     bundles = 1 + int(sizes.agg(F.sum(F.col("s") * F.col("tiles"))).first()[0] or 0) // BUNDLE_SHINGLES
     members = members.join(sizes.select("grp", "tiles"), "grp").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
 
-    wanted = members.select(F.col("doc_id").alias("__id"), "node", "grp", "copies", "tiles", "tile").hint("shuffle_hash")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
+    # the text of each node by id and hash together: rows without an id, or of one id, do not meet
+    wanted = members.select(F.col("doc_id").alias("__id"), "text_hash", "node", "grp", "copies", "tiles", "tile").hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("text_hash"))
+    texts = docs.join(wanted, same).drop("doc_id", "__id", "text_hash")
 
     def shingle(rows):
         sets = [shingle_set(t) for t in rows["text"]]
-        # a repeated id can bring another text along: it is told by its node
+        # texts of one id and one hash that differ are told by their nodes
         same = [node_of(s) == n for s, n in zip(sets, rows["node"])]
         return {
             "shingles": [pack(s) if ok else None for s, ok in zip(sets, same)],
@@ -289,13 +294,19 @@ def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class of near duplicates, the one with the smallest id; columns stay as they are.
 
     Each row is judged by its own text, whatever other rows have its id or none; among several with the smallest id, or without
-    ids, a hash of the text decides. Texts without shingles stay; equal rows are one.
+    ids, a hash of the text decides, and among rows of that id and text the order of their other columns, first to last, nulls first (they must
+    be of types that can be ordered). All rows without shingles stay, equal ones too.
     """
+    blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     classes = stage(_classes(docs, threshold).select("doc_id", "text_hash", "first"), "near-classes")
     chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    kept = classes.filter(F.col("first").isNull() | chosen).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    kept = classes.filter(F.col("first").isNotNull() & chosen).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = docs.filter(~blank).join(kept, same, "left_semi")
+    found = found.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in rest])).alias("r"))
+    found = found.select([F.col(c) if c in ("doc_id", "text") else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    return docs.filter(blank).unionByName(found)
 
 
 def op4_near_join(spark, sf_dir):

@@ -138,7 +138,7 @@ def score_quality(
 def op1_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read(spark, sf_dir, "labels"))
-    held = (fold(F.col("doc_id")) == 0).alias("held_out")
+    held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")  # rows without an id are not held out
     return score_quality(docs, model).select("doc_id", held, "score", "predicted")
 
 

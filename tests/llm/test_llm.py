@@ -280,9 +280,69 @@ def test_one_row_of_each_class_stays_whatever_the_ids(spark):
 
 
 def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 7), (200, 200)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90, 200: 200}
+    assert components(edges.limit(0)).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(5)
+    for n, m in ((60, 40), (300, 330), (500, 250)):
+        edges = [(int(a), int(b)) for a, b in rng.permutation(10 * n)[:n][rng.integers(0, n, (m, 2))]]
+        label = {x: x for e in edges for x in e}
+        for _ in range(n):
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(got) == len(label) and {r.node: r.label for r in got} == label
+
+
+def test_keep_one_loses_no_other_row(spark):
+    rows = [(None, None, "a"), (None, None, "c"), (None, None, "c"), (3, " ", None), (1, PASSAGE, "b"), (1, PASSAGE, None), (1, PASSAGE, "a"), (2, PASSAGE, "a")]
+    rows += [(9, "alone here", "x"), (9, "alone here", "x")]
+    want = sorted([*rows[:4], (1, PASSAGE, None), (9, "alone here", "x")], key=str)
+    for given in (rows, rows[::-1]):
+        kept = near_join.keep_one(spark.createDataFrame(given, "doc_id long, text string, `odd.name` string"))
+        assert kept.columns == ["doc_id", "text", "odd.name"] and sorted(map(tuple, kept.collect()), key=str) == want
+
+
+def test_texts_without_ids_do_not_meet(spark):
+    rows = spark.range(600).selectExpr("cast(null as long) doc_id", "concat('some words of text number ', id, ' and of no other ', id * 7) text")
+    got = near_join.near_duplicates(rows).collect()
+    assert len(got) == 600 and not any(r.n_links for r in got)
+
+
+def test_mixing_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(None if i % 3 else 5, f"w{i} " * 20, "s" if i % 2 else None) for i in range(61)]
+    taken = []
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(3)
+        taken.append(sorted(((r.text, r.taken) for r in mixing.mix_sources(df).collect())))
+    assert taken[0] == taken[1]
+
+
+def test_classifiers_mark_rows_without_an_id(spark, monkeypatch):
+    docs = table(spark, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"))
+    for module, name in ((quality, "op1_quality"), (toxicity, "op3_toxicity")):
+        monkeypatch.setattr(module, "read", lambda s, d, t: docs if t == "documents" else table(s, t))
+        got = registered()[name][0](spark, DATA).filter("doc_id IS NULL").collect()
+        assert [r.held_out for r in got] == [False]
+
+
+def test_one_text_of_an_id_is_learned_from(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1), (4, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (4, None)], "doc_id long, text string")
+    sample, _ = common.labelled_sample(docs, labels, "toxic", 10, 1)
+    assert sorted(r.doc_id for r in sample.collect()) == [i for i in (1, 2, 4) if zlib.crc32(str(i).encode()) % 5]
+
+
+def test_no_pages_have_no_faults(spark, monkeypatch):
+    pages = table(spark, "pages")
+    full = registered()["op8_warc_fixity"][0](spark, DATA)
+    monkeypatch.setattr(warc, "read", lambda *_: pages.limit(0))
+    empty = registered()["op8_warc_fixity"][0](spark, DATA)
+    assert empty.count() == 0 and [(f.name, f.dataType) for f in empty.schema] == [(f.name, f.dataType) for f in full.schema]
 
 
 # ---- 5: language model
@@ -316,8 +376,9 @@ def same_scores(got, want):
 
 
 def test_language_model(spark, documents):
-    got = registered()["op5_lm_score"][0](spark, DATA).collect()
     rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in documents.itertuples()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = language_model.score_documents(frame, order=2).collect()
     same_scores(got, brute_scores(rows))
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
@@ -326,15 +387,15 @@ def test_language_model(spark, documents):
 def test_language_model_in_small_blocks_with_split_contexts(spark, documents):
     rows = [(r.doc_id, r.text, r.doc_id % 3 == 0) for r in documents.itertuples()]
     frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
-    small = language_model.score_documents(frame, block_tokens=3000, shard_grams=500)
+    small = language_model.score_documents(frame, order=2, block_tokens=3000, shard_grams=500)
     same_scores(small.collect(), brute_scores(rows))
 
 
 def test_language_model_orders_and_awkward_rows(spark):
     rows = awkward(spark).withColumn("held", F.coalesce(F.col("doc_id") == 4, F.lit(False)))
     want = brute_scores([(r.doc_id, r.text, r.held) for r in rows.collect()])
-    same_scores(language_model.score_documents(rows).collect(), want)
-    three = language_model.score_documents(rows, order=3).collect()
+    same_scores(language_model.score_documents(rows, order=2).collect(), want)
+    three = language_model.score_documents(rows).collect()
     assert len(three) == 14 and all(r.score <= 0 for r in three)
     assert next(r for r in three if r.doc_id == 4).score >= next(r[6] for r in want if r[0] == 4) - 0.5
     assert language_model.score_documents(rows.limit(0)).count() == 0
@@ -478,7 +539,8 @@ def test_leaks_awkward_rows(spark):
                 want.add((r.doc_id, i.item_id))
     assert got == want and (8, 1) not in got and (7, 4) in got and (None, None) in got
     kept = decontaminate.decontaminate(rows, items)
-    assert kept.columns == rows.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "8", "9", "10", "11"])
+    # of the two rows without an id only the one with the passage goes
+    assert kept.columns == rows.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "8", "9", "10", "11", "None"])
     assert decontaminate.contained_items(rows.limit(0), items).count() == 0 and decontaminate.contained_items(rows, items.limit(0)).count() == 0
 
 
