@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -303,83 +304,193 @@ def merge_contained(blocks: DataFrame) -> DataFrame:
     )
 
 
-_PASSED = (
-    "subject_id long, visit_id long, opened_by long, dropped_type string, container_id long, merged_type string"
+# Blocks of a subject that one task takes at a time.
+STRETCH = 200_000
+_FOLDED = (
+    "subject_id long, stretch long, visit_id long, opened_by long, role int, "
+    "ends array<timestamp>, soft array<boolean>, openers array<long>"
 )
+_ABSORBED, _OPENED, _SWAPPED = 0, 1, 2
 
 
-def merge_contained_swapping(blocks: DataFrame) -> DataFrame:
+def merge_contained_swapping(blocks: DataFrame, stretch: int | None = None) -> DataFrame:
     """As :func:`merge_contained`, but an ED or admission block inside a block that is neither becomes the survivor.
 
-    One pass in (start, id) order per run of overlapping blocks. Kept are the survivors that a later block can still fall
-    into, so the state is the depth of the overlap, not the run: absorbed blocks leave at once under the id of the block that
-    opened their place, and who holds the place in the end is said when it closes. ``dropped_type`` is the type code to drop
-    from an absorbed block's events.
+    Blocks are taken in (start, id) order; each goes to the first open place whose holder ends no earlier, or opens one. An urgent
+    block (ED or admission) takes over a place whose holder is not urgent, and the place then ends where it ends. So a place is taken over
+    once at most, and the ends of places in the order of their opening always increase: the first place that holds a block is a
+    binary search, blocks between two take-overs are searched together, and all that one stretch of blocks must know of those before it is
+    the ends of the places still open, whether they can be taken over, and who opened them.
+
+    A subject with more than ``stretch`` blocks is cut into stretches that are folded in parallel. Each starts from the open places that the
+    stretch before it left in the last round, first from none; a stretch whose start has changed is folded again, until none has. Places
+    close as time passes, so what a wrong start leaves behind is soon forgotten and a few rounds suffice; the result is
+    that of one pass whatever their number. ``dropped_type`` is the type code to drop from an absorbed block's events.
     """
-    order = [F.col("visit_start"), F.col("visit_id")]
-    levels = time_levels(F.col("visit_start"))
+    stretch = stretch or STRETCH
+    levels, order = time_levels(F.col("visit_start")), [F.col("visit_start"), F.col("visit_id")]
     largest = largest_group(blocks, ["subject_id"])
-    reach = {"__reach": F.col("visit_end")}
-    seen = ordered_scan(blocks, ["subject_id"], levels, order, before_max=reach, largest=largest)
-    apart = F.col("__reach").isNull() | (F.col("__reach") < F.col("visit_start"))
-    started = {"run": F.when(apart, 1).otherwise(0).cast("long")}
-    runs = ordered_scan(seen, ["subject_id"], levels, order, sums=started, largest=largest)
-    cols = [*BLOCK_KEY, "run", "visit_type", "visit_start", "visit_end", "has_ed", "has_admission"]
-    runs = runs.select(*cols).repartition("subject_id", "run")
-    runs = runs.sortWithinPartitions("subject_id", "run", "visit_start", "visit_id")
-    passed = stage(runs.mapInPandas(_pass_blocks, _PASSED), "passed-blocks")
-    places = passed.filter("visit_id IS NULL").select("subject_id", "opened_by", "container_id", "merged_type")
-    members = passed.filter("visit_id IS NOT NULL").select(*BLOCK_KEY, "opened_by", "dropped_type")
-    return members.join(places, ["subject_id", "opened_by"]).select(*BLOCK_KEY, "container_id", "merged_type", "dropped_type")
-
-
-class _Place:
-    """A survivor that later blocks can still fall into, under the id of the block that opened it."""
-
-    __slots__ = ("opened_by", "holder", "kind")
-
-    def __init__(self, block):
-        self.opened_by, self.holder, self.kind = block.visit_id, block, block.visit_type
-
-    def admit(self, block):
-        """Take in a contained block; returns the one that is absorbed, the newcomer or the holder it replaces, and its type."""
-        urgent = lambda b: b.has_ed or b.has_admission
-        lost, lost_kind = block, block.visit_type
-        if urgent(block) and not urgent(self.holder):
-            lost, lost_kind = self.holder, self.kind
-            self.holder, self.kind = block, block.visit_type
-        if self.holder.has_admission and lost.has_ed:
-            self.kind = ED_TO_INPATIENT_TYPE
-        return lost, lost_kind
-
-
-def _pass_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Member rows (with ``visit_id``) and, as places close, rows that say who holds them."""
-    subject, open_places = None, []
-
-    def closing(places: list[_Place]) -> list[tuple]:
-        held = [(subject, p.holder.visit_id, p.opened_by, None, None, None) for p in places]
-        return held + [(subject, None, p.opened_by, None, p.holder.visit_id, p.kind) for p in places]
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["subject_id", "visit_id", "opened_by", "dropped_type", "container_id", "merged_type"])
-        return out.astype({"subject_id": "Int64", "visit_id": "Int64", "opened_by": "Int64", "container_id": "Int64"})
-
+    ranked = ordered_scan(blocks, ["subject_id"], levels, order, count="__n", largest=largest)
+    ranked = ranked.withColumn("stretch", F.floor((F.col("__n") - 1) / stretch)).drop("__n")
+    ranked = stage(ranked.select(*BLOCK_KEY, "stretch", "visit_type", "visit_start", "visit_end", "has_ed", "has_admission"), "ordered-blocks")
+    if largest > stretch:
+        long = stage(ranked.filter("stretch = 1").select("subject_id").distinct(), "long-subjects")
+        short = ranked.join(long, "subject_id", "left_anti")
+        folded = _fold_stretches(short, None, False).unionByName(_settle(ranked.join(long, "subject_id", "left_semi")))
+    else:
+        folded = _fold_stretches(ranked, None, False)
+    members = folded.select(*BLOCK_KEY, "opened_by", "role")
+    members = stage(members.join(ranked.drop("visit_start", "visit_end", "stretch"), BLOCK_KEY), "placed-blocks")
+    who = F.struct("visit_id", "visit_type", "has_admission")
+    places = members.groupBy("subject_id", "opened_by").agg(
+        F.max_by(who, F.col("role")).alias("holder"), F.bool_or(F.col("has_ed") & (F.col("role") == _ABSORBED)).alias("__ed")
+    )
+    both = F.col("holder.has_admission") & F.col("__ed")
+    kind = F.when(both, F.lit(ED_TO_INPATIENT_TYPE)).otherwise(F.col("holder.visit_type"))
+    places = places.select("subject_id", "opened_by", F.col("holder.visit_id").alias("container_id"), kind.alias("merged_type"))
+    out = members.join(places, ["subject_id", "opened_by"])
+    lost = F.when(F.col("visit_id") != F.col("container_id"), F.col("visit_type"))
+    return out.select(*BLOCK_KEY, "container_id", "merged_type", lost.alias("dropped_type"))
+
+
+def _settle(ranked: DataFrame) -> DataFrame:
+    """The blocks of subjects of several stretches, folded until every stretch started from what the one before it left."""
+    unit = ["subject_id", "stretch"]
+    left = ["ends", "soft", "openers"]
+    mark = F.xxhash64(*left).alias("mark")
+    empty = F.xxhash64(*[F.array().cast(t) for t in ("array<timestamp>", "array<boolean>", "array<long>")])
+    folded = stage(_fold_stretches(ranked, None, True), "folded-blocks")
+    states = stage(folded.filter("visit_id IS NULL").select(*unit, *left).withColumn("turn", F.lit(0)), "open-places")
+    started = stage(states.select(*unit, empty.alias("mark")), "starts")
+    rounds, turn = [folded.filter("visit_id IS NOT NULL").withColumn("turn", F.lit(0))], 0
+    while True:
+        # what each stretch ought to start from, where that is not what it did start from
+        due = states.select("subject_id", (F.col("stretch") + 1).alias("stretch"), *left, mark)
+        due = due.join(started.withColumnRenamed("mark", "__mark"), unit).filter("mark <> __mark").drop("__mark")
+        due = stage(due, "starts-due")
+        if due.isEmpty():
+            break
+        turn += 1
+        again = stage(_fold_stretches(ranked.join(due.select(*unit), unit, "left_semi"), due, True), "folded-blocks")
+        rounds.append(again.filter("visit_id IS NOT NULL").withColumn("turn", F.lit(turn)))
+        fresh = again.filter("visit_id IS NULL").select(*unit, *left).withColumn("turn", F.lit(turn))
+        states = stage(states.join(due.select(*unit), unit, "left_anti").unionByName(fresh), "open-places")
+        started = stage(started.join(due.select(*unit), unit, "left_anti").unionByName(due.select(*unit, "mark")), "starts")
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    return every.join(states.select(*unit, "turn"), [*unit, "turn"], "left_semi").drop("turn")
+
+
+def _fold_stretches(blocks: DataFrame, starts: DataFrame | None, leave: bool) -> DataFrame:
+    """Member rows (``visit_id, opened_by, role``) of all blocks, and with ``leave`` one row per stretch (no ``visit_id``) of its open places."""
+    unit = ["subject_id", "stretch"]
+    urgent = F.coalesce(F.col("has_ed") | F.col("has_admission"), F.lit(False)).alias("urgent")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ends", "array<timestamp>"), ("soft", "array<boolean>"), ("openers", "array<long>"))]
+    rows = blocks.select(*unit, F.lit(1).alias("kind"), "visit_start", "visit_id", "visit_end", urgent, *none)
+    if starts is not None:
+        no_block = [F.lit(None).cast(t).alias(c) for c, t in (("visit_start", "timestamp"), ("visit_id", "long"), ("visit_end", "timestamp"), ("urgent", "boolean"))]
+        rows = rows.unionByName(starts.select(*unit, F.lit(0).alias("kind"), *no_block, "ends", "soft", "openers"))
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit, "kind", "visit_start", "visit_id")
+    return rows.mapInArrow(lambda batches: _fold_batches(batches, leave), _FOLDED)
+
+
+def _fold_batches(batches: Iterator[pa.RecordBatch], leave: bool) -> Iterator[pa.RecordBatch]:
+    """Folds sorted batches. Only the open places of the stretch in progress are carried from one batch to the next."""
+    current, places = None, _NO_PLACES
     for batch in batches:
-        out: list[tuple] = []
-        for block in batch.itertuples(index=False):
-            over = [p for p in open_places if block.subject_id != subject or p.holder.visit_end < block.visit_start]
-            out += closing(over)
-            open_places = [p for p in open_places if p not in over]
-            subject = block.subject_id
-            place = next((p for p in open_places if block.visit_end <= p.holder.visit_end), None)
-            if place is None:
-                open_places.append(_Place(block))
+        number = lambda c, b=batch: b.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False)
+        subject, stretch, seeded = number("subject_id"), number("stretch"), number("kind") == 0
+        changed = (np.diff(subject) != 0) | (np.diff(stretch) != 0)
+        # many subjects are one fold: the ends of each lie above those of all before; a row with a start cuts it
+        cuts = np.flatnonzero(seeded)
+        cuts = np.unique(np.concatenate(([0], cuts, cuts + 1, [batch.num_rows]))).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if current is not None and current != (subject[a], stretch[a]):
+                if leave:
+                    yield _left_open(current, places)
+                places = _NO_PLACES
+            part = batch.slice(a, b - a)
+            if seeded[a]:
+                lists = [part.column(c).flatten() for c in ("ends", "soft", "openers")]
+                places = (lists[0].cast(pa.int64()).to_numpy(), lists[1].to_numpy(zero_copy_only=False), lists[2].to_numpy())
+                current = (subject[a], stretch[a])
                 continue
-            lost, kind = place.admit(block)
-            out.append((subject, lost.visit_id, place.opened_by, kind, None, None))
-        yield frame(out)
-    yield frame(closing(open_places))
+            key = np.concatenate(([0], np.cumsum(changed[a : b - 1])))
+            ends, starts, ids = (part.column(c).cast(pa.int64()).to_numpy() for c in ("visit_end", "visit_start", "visit_id"))
+            opened, role, after = _fold_blocks(key, ends, part.column("urgent").to_numpy(zero_copy_only=False), ids, places)
+            yield _rows(subject[a:b], stretch[a:b], ids, opened, role)
+            last = np.append(np.flatnonzero(np.diff(key)), len(key) - 1)
+            for end in last.tolist() if leave else last[-1:].tolist():
+                low, high = np.searchsorted(after[0], [key[end], key[end] + 1])
+                still = low + np.flatnonzero(after[1][low:high] >= starts[end])  # the others close before any later block
+                places, current = tuple(c[still] for c in after[1:]), (subject[a + end], stretch[a + end])
+                if leave and end < len(key) - 1:
+                    yield _left_open(current, places)
+    if leave and current is not None:
+        yield _left_open(current, places)
+
+
+_NO_PLACES = (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
+
+
+def _rows(subject, stretch, ids, opened, role) -> pa.RecordBatch:
+    n = len(ids)
+    columns = [pa.array(c, pa.int64()) for c in (subject, stretch, ids, opened)] + [pa.array(role, pa.int32())]
+    return _batch(columns + [pa.nulls(n, pa.list_(t)) for t in (_TIME, pa.bool_(), pa.int64())])
+
+
+def _left_open(unit, places) -> pa.RecordBatch:
+    ends, soft, openers = places
+    lists = [pa.array([c.tolist()], pa.list_(t)) for c, t in ((ends, _TIME), (soft, pa.bool_()), (openers, pa.int64()))]
+    key = [pa.array([int(k)], pa.int64()) for k in unit]
+    return _batch([*key, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *lists])
+
+
+_TIME = pa.timestamp("us", tz="UTC")
+
+
+def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=["subject_id", "stretch", "visit_id", "opened_by", "role", "ends", "soft", "openers"])
+
+
+def _fold_blocks(key: np.ndarray, ends: np.ndarray, urgent: np.ndarray, ids: np.ndarray, places: tuple):
+    """Opener of each block's place, its role, and (key, end, soft, opener) of all places, ``places`` of the first key included.
+
+    ``key`` numbers the stretches in the order of the blocks. There is a turn of the loop for each take-over, not for each block.
+    """
+    given, n = len(places[0]), len(ends)
+    value = np.unique(np.concatenate((places[0], ends)), return_inverse=True)[1]
+    x = key * (len(value) + 1) + value[given:]  # later keys lie above all earlier ones
+    top = np.concatenate((value[:given], np.zeros(n, np.int64)))
+    soft, opener = np.concatenate((places[1], np.zeros(n, bool))), np.concatenate((places[2], np.zeros(n, np.int64)))
+    raw, of = np.concatenate((places[0], np.zeros(n, np.int64))), np.concatenate((np.zeros(given, np.int64), np.zeros(n, np.int64)))
+    place, role = np.zeros(n, np.int64), np.zeros(n, np.int32)
+    open_now, at, width = given, 0, 256
+    while at < n:
+        stop = min(at + width, n)
+        here = x[at:stop]
+        highest = np.maximum.accumulate(np.concatenate(([top[open_now - 1] if open_now else -1], here)))[:-1]
+        opens = np.flatnonzero(here > highest)
+        till = open_now + len(opens)
+        top[open_now:till], soft[open_now:till] = here[opens], ~urgent[at + opens]
+        raw[open_now:till], opener[open_now:till], of[open_now:till] = ends[at + opens], ids[at + opens], key[at + opens]
+        found = np.searchsorted(top[:till], here)
+        takes = urgent[at:stop] & soft[found]
+        takes[opens] = False
+        first = int(takes.argmax()) if takes.any() else len(here)
+        place[at : at + first] = found[:first]
+        mine = opens[opens < first]
+        role[at + mine] = _OPENED
+        open_now += len(mine)
+        if first == len(here):
+            at, width = stop, min(2 * width, 65536)
+            continue
+        p = found[first]
+        top[p], raw[p], soft[p] = here[first], ends[at + first], False
+        place[at + first], role[at + first] = p, _SWAPPED
+        at, width = at + first + 1, max(64, 2 * first)
+    return opener[place], role, tuple(c[:open_now] for c in (of, raw, soft, opener))
 
 
 # ---- block attributes ------------------------------------------------------------------------------------------

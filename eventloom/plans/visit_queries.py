@@ -342,7 +342,26 @@ def merge_contained(spark, d):
     return V.merge_contained(_contained_blocks(spark, d))
 
 
-@add("e9_merge_contained_swapping")
+# One step for each block of a subject, in order; the state is the list of places with end, opener, holder and type.
+@add(
+    "e9_merge_contained_swapping",
+    f"""WITH RECURSIVE b AS (SELECT *, has_ed OR has_admission AS urgent, row_number() OVER (PARTITION BY subject_id ORDER BY visit_start, visit_id) AS n
+  FROM ({_BLOCKS})),
+walk AS (SELECT subject_id, 0::BIGINT AS n, [{{'e': visit_end, 'o': visit_id, 'h': visit_id, 'u': urgent, 'adm': has_admission, 'k': visit_type}}] AS places,
+  NULL::BIGINT AS visit_id, NULL::BIGINT AS place FROM b WHERE n = 1
+  UNION ALL SELECT subject_id, n + 1, CASE WHEN spot IS NULL THEN list_append(places, own)
+    WHEN urgent AND NOT p.u THEN places[:spot - 1] || [{{'e': visit_end, 'o': p.o, 'h': visit_id, 'u': true, 'adm': has_admission, 'k': visit_type}}] || places[spot + 1:]
+    WHEN p.adm AND has_ed THEN places[:spot - 1] || [{{'e': p.e, 'o': p.o, 'h': p.h, 'u': true, 'adm': true, 'k': 'Visit/ERIP'}}] || places[spot + 1:]
+    ELSE places END, visit_id, coalesce(p.o, visit_id)
+  FROM (SELECT *, places[spot] AS p FROM (SELECT w.subject_id, w.n, b.visit_id, urgent, has_ed, has_admission, visit_type, visit_end,
+    CASE WHEN w.n = 0 THEN places[:0] ELSE places END AS places,
+    {{'e': visit_end, 'o': b.visit_id, 'h': b.visit_id, 'u': urgent, 'adm': has_admission, 'k': visit_type}} AS own,
+    nullif(coalesce(list_position([x.e >= visit_end AND x.e >= visit_start FOR x IN CASE WHEN w.n = 0 THEN places[:0] ELSE places END], true), 0), 0) AS spot
+    FROM walk w JOIN b ON b.subject_id = w.subject_id AND b.n = w.n + 1))),
+ends AS (SELECT subject_id, unnest(arg_max(places, n), recursive := true) FROM walk GROUP BY subject_id)
+SELECT b.subject_id, b.visit_id, ends.h AS container_id, ends.k AS merged_type, CASE WHEN b.visit_id <> ends.h THEN b.visit_type END AS dropped_type
+FROM walk w JOIN b USING (subject_id, visit_id) JOIN ends ON ends.subject_id = w.subject_id AND ends.o = w.place""",
+)
 def merge_contained_swapping(spark, d):
     return V.merge_contained_swapping(_contained_blocks(spark, d))
 
