@@ -8,7 +8,9 @@ from ..operators import tokens as T
 from ..session import new_folder, stage
 from ..sources import adapters as A
 from ..sources import io
+from ..streaming import sketches as XS
 from ..streaming import streams as X
+from ..streaming import visits as XV
 from .token_queries import _SPECIALS
 
 QUERIES: dict = {}
@@ -123,17 +125,65 @@ def stream_value_statistics(spark, d):
     return X.merge_salted(latest).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+@add(
+    "x2_stream_sketches",
+    """SELECT event_type AS code, 'k' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS unit, count(*) AS n, true AS quartiles_hold,
+  true AS gate_holds FROM events WHERE value <> 0 GROUP BY 1, 2""",
+)
+def stream_sketches(spark, d):
+    """Sketches of windows, merged: quartiles and the share in the gate are those of all values, within the sketch's error."""
+    log = event_stream(spark, d)
+    windows, left = XV.run_closed(log, XS.sketch_stream, "sketches")
+    assert left == 0, "sketches stay in state"
+    stats = stage(XS.robust_stats(XS.merge_sketches(windows)).drop("sketch"), "robust")
+    return sketch_error(A.log_events(spark, d).withColumnRenamed("numeric_value", "value"), stats)
+
+
+@add(
+    "t5_merged_sketches",
+    """SELECT event_type AS code, 'k' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS unit, count(*) AS n, true AS quartiles_hold,
+  true AS gate_holds FROM events WHERE value <> 0 GROUP BY 1, 2""",
+)
+def merged_sketches(spark, d):
+    """Sketches of the users' sevenths, merged in two steps."""
+    e = A.log_events(spark, d).withColumnRenamed("numeric_value", "value").filter(XS.usable(F.col("value")))
+    salt = (F.col("subject_id") % 7).alias("salt")
+    parts = e.groupBy("code", "unit", salt).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("value", XS.SKETCH_K).alias("sketch"))
+    thirds = XS.merge_sketches(parts.withColumn("third", F.col("salt") % 3), ("code", "unit", "third"))
+    return sketch_error(e, stage(XS.robust_stats(XS.merge_sketches(thirds)).drop("sketch"), "robust"))
+
+
+def sketch_error(values, stats):
+    """Whether the exact ranks of the quartiles, and the exact share of values in the gate, are what the sketch says."""
+    v, error = F.col("value"), XS.rank_error()
+    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    near = [(share(v < F.col(q)) <= r + error) & (share(v <= F.col(q)) >= r - error) for q, r in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
+    kept = share((v >= F.col("low")) & (v <= F.col("high")))
+    gate = F.abs(kept - F.first("n_kept") / F.first("n")) <= 2 * error + 1 / XS.GRID
+    out = values.filter(XS.usable(v)).join(stats, ["code", "unit"]).groupBy("code", "unit")
+    return out.agg(F.first("n").alias("n"), (near[0] & near[1] & near[2]).alias("quartiles_hold"), gate.alias("gate_holds"))
+
+
 _SESSIONS = """WITH s AS (SELECT user_id AS subject_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 12 HOUR, TRUE)::INT AS opens FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(opens) OVER (PARTITION BY subject_id ORDER BY ts) AS s FROM s),
 z AS (SELECT subject_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n_events FROM n GROUP BY subject_id, s)
 SELECT * FROM z"""
 
 
-# append output holds what the watermark (one hour behind the newest event) has closed
 @add("x3_stream_sessions", _SESSIONS)
 def stream_sessions(spark, d):
-    """All sessions, those still open at the end of the input among them."""
-    return X.run_complete(X.sessions_stream(event_stream(spark, d)), "sessions")
+    """All sessions, told in append mode: the log is closed at the end of the input, so none stays open."""
+    sessions, left = XV.run_closed(event_stream(spark, d), X.sessions_stream, "sessions")
+    assert left == 0, "sessions stay in state"
+    return sessions
+
+
+@add("x3_stream_visits", _SESSIONS)
+def stream_visits(spark, d):
+    """As sessions, by keyed state with timers; late events are further rows of their visit."""
+    visits, left = XV.run_closed(event_stream(spark, d), XV.visits_stream, "visits")
+    assert left == 0, "visits stay in state"
+    return visits.groupBy("subject_id", "start").agg(F.max("end").alias("end"), F.sum("n_events").alias("n_events"))
 
 
 @add("x3_sessions_batch", _SESSIONS)

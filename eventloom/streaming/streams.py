@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import clean_code
 from ..operators.tokens import OOV_ID
 from ..session import new_folder
+from .visits import open_to_closing
 
 
 def encode_stream(stream: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def encode_stream(stream: DataFrame, vocab: DataFrame) -> DataFrame:
 def sessions_stream(stream: DataFrame, gap: str = "12 hours", delay: str = "1 hour") -> DataFrame:
     """Visits as sessions: events of a subject less than ``gap`` apart; events later than ``delay`` are dropped."""
     return (
-        stream.withWatermark("time", delay)
+        open_to_closing(stream, delay, F.lit(True))
         .groupBy("subject_id", F.session_window("time", gap).alias("session"))
         .agg(F.count(F.lit(1)).alias("n_events"))
         .select("subject_id", F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n_events")
@@ -155,29 +156,6 @@ def run_append(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_complete(stream: DataFrame, label: str) -> DataFrame:
-    """Drive a stream in complete mode over all available input; the last batch is the result, open windows included."""
-    spark = stream.sparkSession
-    out, marks = new_folder(spark, label), new_folder(spark, f"{label}-marks")
-    last: list[int] = []
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last[:] = [batch_id]
-
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", marks)
-        .outputMode("complete")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}")
-
-
 def run_latest(stream: DataFrame, label: str, mode: str, keys: list[str]) -> DataFrame:
     """Drive an update or complete stream into a table of batches; the latest row of each key is the result."""
     spark = stream.sparkSession

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -122,6 +122,15 @@ def _frame(key, visits: list[tuple[int, int, int]], late: bool) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(types)).astype(types)
 
 
+def open_to_closing(stream: DataFrame, delay: str, keep: Column) -> DataFrame:
+    """``stream`` with a watermark on ``time`` and the rows that pass ``keep``; the row that closes a log reaches the watermark and no further.
+
+    One condition that names the time stays above the watermark, where parts of a conjunction might not.
+    """
+    timed = stream.withWatermark("time", delay)
+    return timed.filter(F.when(F.col("time") < F.lit(CLOSING), keep).otherwise(F.lit(False)))
+
+
 def visits_stream(stream: DataFrame, gap_seconds: int = 43_200, delay_seconds: int = 3_600, grace_seconds: int = 86_400) -> DataFrame:
     """``subject_id, start, end, n_events, late`` in append mode; ``end`` is ``gap`` past the last event, as in session windows.
 
@@ -129,9 +138,7 @@ def visits_stream(stream: DataFrame, gap_seconds: int = 43_200, delay_seconds: i
     latest one are dropped. A visit is one row that is not late; rows that are ``late`` count further events of the visit with that
     start. Late events outside all visits told are visits of their own.
     """
-    timed = stream.withWatermark("time", f"{delay_seconds + grace_seconds} seconds")
-    # one condition that names the time stays above the watermark, which so sees the closing row; that goes no further
-    timed = timed.filter(F.when(F.col("time") < F.lit(CLOSING), F.col("subject_id").isNotNull()).otherwise(F.lit(False)))
+    timed = open_to_closing(stream, f"{delay_seconds + grace_seconds} seconds", F.col("subject_id").isNotNull())
     rows = timed.select(F.col("subject_id").cast("long").alias("subject_id"), "time", F.unix_micros("time").alias("t"))
     gap = gap_seconds * 1_000_000
     out = rows.groupBy("subject_id").transformWithStateInPandas(
