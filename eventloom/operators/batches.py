@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket, hash32, unit_draw
 from ..functions.scan import int_levels, ordered_scan
+from ..session import stage
 from .cohort import first_where
 from .sequence import VISIT_END, VISIT_START
 from .tokens import CLS_ID, MASK_ID, PAD_ID
@@ -132,22 +134,25 @@ def pack(
     a seeded hash of their key; the number of shards grows with the table, which keeps each one small. A replica reads every
     ``replicas``-th shard; ``drop_last`` drops the last pack of each replica, however many shards there are.
     """
-    shards = shards or default_shards(lengths.count(), per_shard)
+    if not shards:
+        lengths = stage(lengths.select(key, "length"), "pack-lengths")
+        shards = default_shards(lengths.count(), per_shard)
     shards = -(-shards // replicas) * replicas
     h = hash32(seed, F.col(key))
     dealt = lengths.select(key, "length", h.alias("h"), (h % shards).cast("int").alias("shard"))
 
     def lay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", key], ignore_index=True)
-        needs = pdf["length"].clip(upper=max_pos).to_numpy() + 2
-        packs, slots, used, current, slot = [], [], 0, 0, 0
-        for need in needs:
-            if slot and used + need > max_tokens:
-                current, used, slot = current + 1, 0, 0
-            packs.append(current)
-            slots.append(slot)
-            used, slot = used + int(need), slot + 1
-        pdf["pack"], pdf["slot"] = packs, slots
+        # next-fit by running totals: a pack begins where the one before it cannot take the next sample; a step for each pack
+        upto = np.concatenate(([0], np.cumsum(pdf["length"].clip(upper=max_pos).to_numpy() + 2)))
+        starts, at = [], 0
+        while at < len(pdf):
+            starts.append(at)
+            at = max(int(np.searchsorted(upto, upto[at] + max_tokens, side="right")) - 1, at + 1)
+        sizes = np.diff([*starts, len(pdf)])
+        pdf["pack"] = np.repeat(np.arange(len(starts)), sizes)
+        pdf["slot"] = np.arange(len(pdf)) - np.repeat(np.array(starts, np.int64), sizes)
+        current = len(starts) - 1
         if drop_last and len(pdf) and pdf["shard"].iloc[0] >= shards - replicas:  # a replica's last shard
             pdf = pdf[pdf["pack"] < current]
         return pdf[[key, "length", "shard", "pack", "slot"]]
@@ -159,11 +164,14 @@ def pack(
 
 
 def estimate_packs(lengths: DataFrame, max_tokens: int, max_pos: int, replicas: int = 1, drop_last: bool = False):
-    """One row: the expected number of packs from the average truncated length."""
+    """One row: the expected number of packs from the average truncated length.
+
+    Samples of length 0 all fit one pack; where the average is above the budget each sample is a pack of its own.
+    """
     need = F.least(F.col("length"), F.lit(max_pos))
     out = lengths.agg(F.count(F.lit(1)).alias("n"), F.floor(F.sum(need) / F.count(F.lit(1))).alias("avg_len"))
-    per_pack = F.floor(F.lit(max_tokens) / F.col("avg_len"))
-    packs = F.floor(F.col("n") / per_pack)
+    per_pack = F.greatest(F.floor(F.try_divide(F.lit(max_tokens), F.col("avg_len"))), F.lit(1))
+    packs = F.when(F.col("avg_len") > 0, F.floor(F.col("n") / per_pack)).otherwise(F.least(F.col("n"), F.lit(1)))
     packs = packs if drop_last else F.greatest(packs, F.lit(1))
     return out.withColumn("packs", F.coalesce(packs * replicas, F.lit(0)).cast("long"))
 
@@ -220,6 +228,12 @@ def segment_ids(packed: DataFrame) -> DataFrame:
     return out.withColumn("sample", F.when(F.col("attention") == 1, F.col("__seps") + 1).otherwise(0)).drop("__seps")
 
 
+def sample_ranges(packed: DataFrame, key: str = "person_id") -> DataFrame:
+    """``shard, pack, sample, key, from_pos, to_pos``: the attended positions of each member of a pack, first and last."""
+    marked = segment_ids(packed).filter("sample > 0")
+    return marked.groupBy("shard", "pack", "sample", key).agg(F.min("pack_pos").alias("from_pos"), F.max("pack_pos").alias("to_pos"))
+
+
 def is_packed(packed: DataFrame) -> DataFrame:
     """``packed`` per pack: an attended position follows a separator, so there is more than one member."""
     first_sep = F.min(F.when(F.col("attention") == 0, F.col("pack_pos")))

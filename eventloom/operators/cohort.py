@@ -190,17 +190,23 @@ def subsample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataF
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """``fold`` 0..k-1, dealt out in hash order within each label."""
+    """``fold`` 0..k-1, dealt out in hash order within each label; rows without a label are a label of their own."""
     order = [hash32(seed, F.col(key)), F.col(key)]
-    ranked = ordered_scan(df, [label], int_levels(order[0], (22, 12)), order, count="__rank")
-    return ranked.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")
+    df, by = _by_label(df, label)
+    ranked = ordered_scan(df, by, int_levels(order[0], (22, 12)), order, count="__rank")
+    return ranked.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank", *by)
+
+
+def _by_label(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that group it by label and are not null, as a scan needs, and their names."""
+    df = df.withColumns({"__label": F.coalesce(F.col(label).cast("string"), F.lit("")), "__unlabelled": F.col(label).isNull()})
+    return df, ["__label", "__unlabelled"]
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.15, seed: int = 42) -> DataFrame:
     """``split``: the first ``test`` share of each label in hash order; rows without a label are a label of their own."""
     order = [hash32(seed, F.col(key)), F.col(key)]
-    by = ["__label", "__unlabelled"]  # a scan needs keys that are not null
-    df = df.withColumns({"__label": F.coalesce(F.col(label).cast("string"), F.lit("")), "__unlabelled": F.col(label).isNull()})
+    df, by = _by_label(df, label)
     ranked = ordered_scan(df, by, int_levels(order[0], (22, 12)), order, count="__rank")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     cut = F.floor(F.col("__n") * test + F.lit(0.5))

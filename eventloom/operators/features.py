@@ -28,6 +28,28 @@ def to_vectors(pooled: DataFrame, by: Sequence[str]) -> DataFrame:
     return pooled.groupBy(*by).agg(F.transform(cells, lambda c: c["mean"]).alias("vector"))
 
 
+def pool_packed(packs: DataFrame, ranges: DataFrame, key: str = "person_id") -> DataFrame:
+    """``shard, pack, sample, key, vector``: the mean vector of each member of each pack.
+
+    ``packs`` has a row per pack with ``vectors``, those of its positions from 1 on; ``ranges`` are those of
+    :func:`batches.sample_ranges`. The ranges of a pack meet its array once and are reduced inside it, so no vector is copied; both are bounded by
+    the budget of a pack. Null vectors are left out, and a member without any has an empty vector; positions past the end of the array
+    are not there.
+    """
+    members = F.collect_list(F.struct("sample", key, "from_pos", "to_pos")).alias("__members")
+    both = packs.join(ranges.groupBy("shard", "pack").agg(members), ["shard", "pack"])
+
+    def mean(member: Column) -> Column:
+        first, last = member["from_pos"].cast("int"), F.least(member["to_pos"].cast("int"), F.size("vectors"))
+        own = F.filter(F.slice("vectors", first, F.greatest(last - first + 1, F.lit(0))), lambda v: v.isNotNull())
+        add = lambda total, v: F.when(F.size(total) == 0, v).otherwise(F.zip_with(total, v, lambda x, y: x + y))
+        total = F.aggregate(F.transform(own, lambda v: v.cast("array<double>")), F.array().cast("array<double>"), add)
+        return F.transform(total, lambda x: x / F.size(own))
+
+    pooled = F.transform("__members", lambda m: F.struct(m["sample"].alias("sample"), m[key].alias(key), mean(m).alias("vector")))
+    return both.select("shard", "pack", F.inline(pooled))
+
+
 def mean_over_sequence(vectors: DataFrame, by: Sequence[str], mask: Column, vector: str = "vector") -> DataFrame:
     """Mean vector over the valid positions only."""
     return mean_pool(vectors.filter(mask), by, vector)

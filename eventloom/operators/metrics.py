@@ -44,24 +44,24 @@ def _totals(scores: DataFrame) -> tuple[int, int]:
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:
-    """One row ``auroc``; a tie counts one half."""
+    """One row ``auroc``; a tie counts one half. Null with a single class and without scores."""
     above = F.col("tp") - F.col("pos") / 2
-    area = F.sum(F.col("neg") * above) / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+    area = F.try_divide(F.sum(F.col("neg") * above), F.sum("pos").cast("double") * F.sum("neg").cast("double"))
     return cumulated(scores).agg(area.alias("auroc"))
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
-    """One row ``auprc``: precision at each score weighted by the recall it adds."""
+    """One row ``auprc``: precision at each score weighted by the recall it adds. Null without positives."""
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return cumulated(scores).agg((F.sum(F.col("pos") * precision) / F.sum("pos")).alias("auprc"))
+    return cumulated(scores).agg(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("auprc"))
 
 
 def pr_auc(scores: DataFrame) -> DataFrame:
-    """One row ``pr_auc``: trapezoids under the precision-recall curve, which starts at recall 0, precision 1."""
+    """One row ``pr_auc``: trapezoids under the precision-recall curve, which starts at recall 0, precision 1. Null without positives."""
     before = F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")
     earlier = F.when(before > 0, (F.col("tp") - F.col("pos")) / before).otherwise(F.lit(1.0))
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    area = F.sum(F.col("pos") * (precision + earlier) / 2) / F.sum("pos")
+    area = F.try_divide(F.sum(F.col("pos") * (precision + earlier) / 2), F.sum("pos"))
     return cumulated(scores).agg(area.alias("pr_auc"))
 
 
@@ -158,7 +158,7 @@ def threshold_metrics(scores: DataFrame, threshold: float, strict: bool = False)
 
 def brier(scores: DataFrame) -> DataFrame:
     p = F.col("p")
-    loss = F.sum(F.col("pos") * (1 - p) * (1 - p) + F.col("neg") * p * p) / F.sum("n")
+    loss = F.try_divide(F.sum(F.col("pos") * (1 - p) * (1 - p) + F.col("neg") * p * p), F.sum("n"))
     return scores.agg(loss.alias("brier"))
 
 
@@ -166,7 +166,7 @@ def reliability(scores: DataFrame, bins: int = 10, strategy: str = "quantile") -
     """``bin, mean_p, observed, n`` for each non-empty bin; edges are score quantiles or equally spaced."""
     if strategy == "quantile":
         row = exact_quantiles(scores, [], "p", [i / bins for i in range(bins + 1)], weight="n").first()
-        edges = sorted({row[f"q{i}"] for i in range(bins + 1)})
+        edges = sorted({row[f"q{i}"] for i in range(bins + 1)} - {None}) if row else []
     else:
         edges = [i / bins for i in range(bins + 1)]
     inner = edges[1:-1]
@@ -183,7 +183,7 @@ def reliability(scores: DataFrame, bins: int = 10, strategy: str = "quantile") -
 
 def calibration_error(curve: DataFrame) -> DataFrame:
     """One row ``ece`` from a reliability table."""
-    gap = F.sum(F.col("n") * F.abs(F.col("observed") - F.col("mean_p"))) / F.sum("n")
+    gap = F.try_divide(F.sum(F.col("n") * F.abs(F.col("observed") - F.col("mean_p"))), F.sum("n"))
     return curve.agg(gap.alias("ece"))
 
 
@@ -304,15 +304,18 @@ def bootstrap_samples(scores: DataFrame, n: int = 2000, seed: int = 42, parts_pe
 
 
 def bootstrap(scores: DataFrame, n: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """``metric, value, lo, hi``: percentile intervals; the table of replicates has ``n`` rows."""
+    """``metric, value, lo, hi``: percentile intervals; the table of replicates has ``n`` rows.
+
+    Resamples with a single class are left out. Where there is one class only, or no scores at all, what is undefined is null.
+    """
     samples = stage(bootstrap_samples(scores, n, seed), "bootstrap-samples")
     out = None
     for metric, point in (("auroc", roc_auc(scores)), ("auprc", average_precision(scores)), ("brier", brier(scores))):
-        value = float(point.first()[0])
+        value = point.first()[0]
         ends = F.percentile(metric, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
         row = samples.agg(ends.alias("q")).select(
             F.lit(metric).alias("metric"),
-            F.lit(value).alias("value"),
+            F.lit(value).cast("double").alias("value"),
             F.col("q")[0].alias("lo"),
             F.col("q")[1].alias("hi"),
         )

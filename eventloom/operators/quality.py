@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.io import COHORT_NAMES, table_path
+from ..sources.io import table_path
 
 CHECK_SCHEMA = "`check` string, ok boolean, detail string, level string"
 
@@ -51,10 +52,33 @@ def check_tables(
 
 
 def check_schema(df: DataFrame) -> DataFrame:
-    """Cohort columns, under our names or the event-standard names."""
-    ours, theirs = {"person_id", "index_date", "label"}, set(COHORT_NAMES)
-    ok = ours <= set(df.columns) or theirs <= set(df.columns)
-    return _rows(df.sparkSession, [("cohort columns", ok, ", ".join(df.columns), "error")])
+    """Cohort columns, under our names or the event-standard names, their types, and in one pass over the rows keys, dates and labels.
+
+    A label is 0 or 1, or a boolean. Rows are checked only where columns and types are right.
+    """
+    ours, theirs = ["person_id", "index_date", "label"], ["subject_id", "prediction_time", "boolean_value"]
+    names = next((n for n in (ours, theirs) if set(n) <= set(df.columns)), None)
+    rows = [("cohort columns", names is not None, ", ".join(df.columns), "error")]
+    if names is None:
+        return _rows(df.sparkSession, rows)
+    person, when, label = names
+    kinds = {n: df.schema[n].dataType for n in names}
+    fits = {
+        person: isinstance(kinds[person], (T.IntegralType, T.StringType)),
+        when: isinstance(kinds[when], (T.DateType, T.TimestampType, T.TimestampNTZType)),
+        label: isinstance(kinds[label], (T.BooleanType, T.IntegralType)),
+    }
+    rows += [(f"{n} type", ok, kinds[n].simpleString(), "error") for n, ok in fits.items()]
+    if not all(fits.values()):
+        return _rows(df.sparkSession, rows)
+    count = lambda test: F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0))
+    outside = ~F.coalesce(F.col(label).cast("int").isin(0, 1), F.lit(False))
+    found = df.agg(
+        F.count(F.lit(1)), count(F.col(person).isNull()), count(F.col(when).isNull()), count(outside)
+    ).first()
+    tests = ("cohort not empty", f"{person} present", f"{when} present", f"{label} within 0 and 1")
+    rows += [(name, bool(n > 0 if i == 0 else n == 0), str(n), "error") for i, (name, n) in enumerate(zip(tests, found))]
+    return _rows(df.sparkSession, rows)
 
 
 def prediction_counts(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batches as B
 from ..operators import cohort as C
+from ..operators import features as L
 from ..operators import sequence as S
 from ..operators import tokens as T
 from ..session import stage
@@ -282,11 +283,15 @@ def subsample(spark, d):
 
 @add(
     "c15_stratified_folds",
-    f"""WITH {COHORT_CTE} SELECT person_id, label, ((row_number() OVER (PARTITION BY label ORDER BY {hash_sql(42, 'person_id')}, person_id) - 1) % 5)::INT
-  AS fold FROM cohort""",
+    f"""WITH {COHORT_CTE}, given AS (SELECT person_id, CASE WHEN person_id % 4 <> 0 THEN label END AS label FROM cohort)
+SELECT person_id, coalesce(label, -1) AS label, ((row_number() OVER (PARTITION BY label ORDER BY {hash_sql(42, 'person_id')}, person_id) - 1) % 5)::INT
+  AS fold FROM given""",
 )
 def stratified_folds(spark, d):
-    return C.stratified_folds(cohort(spark, d), "label", "person_id", 5).select("person_id", "label", "fold")
+    """Some rows have no label."""
+    some = cohort(spark, d).withColumn("label", F.when(F.col("person_id") % 4 != 0, F.col("label")))
+    folds = C.stratified_folds(some, "label", "person_id", 5)
+    return folds.select("person_id", F.coalesce("label", F.lit(-1)).alias("label"), "fold")
 
 
 @add(
@@ -450,11 +455,11 @@ def _lengths(spark, d):
 
 
 _LENGTHS = "SELECT l_orderkey AS person_id, sum(l_quantity)::BIGINT AS length FROM lineitem GROUP BY 1"
-_PACK = dict(max_tokens=1024, max_pos=200, per_shard=250)
+_PACK = dict(max_tokens=1024, max_pos=200, per_shard=2500)
 _SHARDS = "(SELECT greatest(1, ceil(count(*) / {}::DOUBLE))::BIGINT FROM len)"
 PACK_CTE = f"""len AS ({_LENGTHS}), dealt AS (SELECT *, {hash_sql(42, 'person_id')} AS h FROM len),
 ord AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, person_id) AS i, least(length, 200) + 2 AS need
-  FROM (SELECT *, h % {_SHARDS.format(250)} AS shard FROM dealt)),
+  FROM (SELECT *, h % {_SHARDS.format(2500)} AS shard FROM dealt)),
 pk AS (SELECT person_id, length, shard, i, 0::BIGINT AS pack, 0 AS slot, need AS used FROM ord WHERE i = 1
   UNION ALL SELECT o.person_id, o.length, o.shard, o.i, p.pack + (p.used + o.need > 1024)::INT, CASE WHEN p.used + o.need > 1024 THEN 0 ELSE p.slot + 1 END,
     CASE WHEN p.used + o.need > 1024 THEN o.need ELSE p.used + o.need END FROM pk p JOIN ord o ON o.shard = p.shard AND o.i = p.i + 1)"""
@@ -477,14 +482,14 @@ def estimate_packs(spark, d):
 def _packed(spark, d):
     cut = stage(B.truncate(_side_columns(spark, d), 200, packing=True), "cut")
     lengths = cut.groupBy("person_id").agg(F.count(F.lit(1)).alias("length"))
-    return B.packed_rows(cut, B.pack(lengths, 512, 200, per_shard=40))
+    return B.packed_rows(cut, B.pack(lengths, 512, 200, per_shard=400))
 
 
 _PACKED = f"""{_SIDES}, lim AS (SELECT person_id, coalesce(min(pos) FILTER (token = '[VS]' AND pos > n - 200), any_value(n) - 200 + 1) AS f FROM side
   WHERE n > 200 GROUP BY 1),
 cut AS (SELECT side.* REPLACE (pos - coalesce(f - 1, 0) AS pos) FROM side LEFT JOIN lim USING (person_id) WHERE f IS NULL OR pos >= f),
 len AS (SELECT person_id, count(*) AS length FROM cut GROUP BY 1), dealt AS (SELECT *, {hash_sql(42, 'person_id')} AS h FROM len),
-ord AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, person_id) AS i, length + 2 AS need FROM (SELECT *, h % {_SHARDS.format(40)} AS shard FROM dealt)),
+ord AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, person_id) AS i, length + 2 AS need FROM (SELECT *, h % {_SHARDS.format(400)} AS shard FROM dealt)),
 pk AS (SELECT person_id, length, shard, i, 0::BIGINT AS pack, need AS used FROM ord WHERE i = 1
   UNION ALL SELECT o.person_id, o.length, o.shard, o.i, p.pack + (p.used + o.need > 512)::INT,
     CASE WHEN p.used + o.need > 512 THEN o.need ELSE p.used + o.need END FROM pk p JOIN ord o ON o.shard = p.shard AND o.i = p.i + 1),
@@ -513,3 +518,23 @@ def segment_ids(spark, d):
 @add("b8_is_packed", f"WITH RECURSIVE {_PACKED} SELECT shard, pack, count(DISTINCT person_id) > 1 AS packed FROM packed GROUP BY 1, 2")
 def is_packed(spark, d):
     return B.is_packed(_packed(spark, d))
+
+
+@add(
+    "l1_packed_pool",
+    f"""WITH RECURSIVE {_PACKED}, seg AS (SELECT shard, pack, pack_pos, person_id, token_id, attention,
+  1 + sum(1 - attention) OVER (PARTITION BY shard, pack ORDER BY pack_pos) AS sample FROM packed),
+cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT shard, pack, sample::BIGINT AS sample, person_id, dim::INT AS dim, round(avg(x), 6) AS mean FROM seg JOIN cells ON vec_id = token_id % 500
+WHERE attention = 1 GROUP BY ALL""",
+)
+def packed_pool(spark, d):
+    """A vector for each position of each pack, by its token; the mean of each member's."""
+    packed = stage(_packed(spark, d), "packed")
+    vectors = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    rows = packed.select("shard", "pack", "pack_pos", (F.col("token_id") % 500).cast("long").alias("token")).join(vectors, "token")
+    cells = F.array_sort(F.collect_list(F.struct("pack_pos", "vector")))
+    packs = rows.groupBy("shard", "pack").agg(F.transform(cells, S.field_of("vector")).alias("vectors"))
+    pooled = L.pool_packed(packs, B.sample_ranges(packed))
+    cells = pooled.select("shard", "pack", "sample", "person_id", F.posexplode("vector").alias("dim", "mean"))
+    return cells.withColumn("mean", F.round("mean", 6))

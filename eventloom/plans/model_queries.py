@@ -12,7 +12,7 @@ from ..operators import quality as Q
 from ..session import new_folder, stage
 from ..sources import adapters as A
 from ..sources import io
-from .cohort_queries import FRACTIONS, SPLIT_CTE, cohort
+from .cohort_queries import COHORT_CTE, FRACTIONS, SPLIT_CTE, cohort
 from .cohort_queries import hash_split as split_query
 from .sequences import EVENT_LOG_CTES, event_log_sequence
 
@@ -369,11 +369,37 @@ def check_splits(spark, d):
     return Q.check_splits(split_query(spark, d), [*FRACTIONS, "held_out"])
 
 
-@add("v4_check_schema")
+def _schema_sql(cohort: str) -> str:
+    return f"""WITH {COHORT_CTE}, c AS ({cohort})
+SELECT 'cohort columns' AS "check", true AS ok, 'person_id, index_date, label' AS detail, 'error' AS level
+UNION ALL SELECT unnest(['person_id type', 'index_date type', 'label type']), true, unnest(['bigint', 'date', 'int']), 'error'
+UNION ALL SELECT 'cohort not empty', count(*) > 0, count(*)::VARCHAR, 'error' FROM c
+UNION ALL SELECT 'person_id present', count(person_id) = count(*), (count(*) - count(person_id))::VARCHAR, 'error' FROM c
+UNION ALL SELECT 'index_date present', count(index_date) = count(*), (count(*) - count(index_date))::VARCHAR, 'error' FROM c
+UNION ALL SELECT 'label within 0 and 1', count(*) FILTER (label IN (0, 1)) = count(*), (count(*) - count(*) FILTER (label IN (0, 1)))::VARCHAR, 'error' FROM c"""
+
+
+@add("v4_check_schema", _schema_sql("FROM cohort"))
 def check_schema(spark, d):
     return Q.check_schema(cohort(spark, d))
 
 
+@add(
+    "v4_check_schema_faults",
+    _schema_sql("""SELECT CASE WHEN person_id % 5 <> 0 THEN person_id END AS person_id, CASE WHEN person_id % 7 <> 0 THEN index_date END AS index_date,
+  CASE person_id % 9 WHEN 0 THEN 2 WHEN 1 THEN NULL ELSE label END AS label FROM cohort"""),
+)
+def check_schema_faults(spark, d):
+    """Some rows have lost their person, date or label."""
+    key = F.col("person_id")
+    faults = {
+        "index_date": F.when(key % 7 != 0, F.col("index_date")),
+        "label": F.when(key % 9 == 0, 2).when(key % 9 != 1, F.col("label")),
+        "person_id": F.when(key % 5 != 0, key),
+    }
+    return Q.check_schema(cohort(spark, d).withColumns(faults))
+
+
 @add("v5_check_nonempty", "SELECT 'sequences not empty' AS \"check\", count(*) > 0 AS ok, '' AS detail, 'error' AS level FROM events")
 def check_nonempty(spark, d):
     return Q.check_nonempty(event_log_sequence(spark, d), "sequences")
