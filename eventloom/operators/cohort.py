@@ -100,6 +100,42 @@ def cut_at_index(seq: DataFrame, cohort: DataFrame, window_days: int | None = No
     return seq.join(cohort, "person_id").filter(inside).drop("__until")
 
 
+def time_ranks(seq: DataFrame) -> DataFrame:
+    """``seq`` with ``at``, each token's place in its person's tokens by (epoch, pos); the tokens of any stretch of time are a range of places."""
+    return ordered_scan(seq, ["person_id"], _epoch_levels(F.col("epoch")), [F.col("epoch"), F.col("pos")], count="at")
+
+
+def _epoch_levels(epoch: Column) -> list[Column]:
+    return int_levels(F.floor(epoch).cast("long"), (22, 11))
+
+
+def index_ranges(seq: DataFrame, cohort: DataFrame, window_days: int | None = None) -> DataFrame:
+    """``person_id, index_date, label, from_at, to_at`` for each row of ``cohort``: the places of :func:`time_ranks` it cuts out.
+
+    Dates are laid among the token times of their person and one scan counts the tokens before each; only the two keys of a token
+    move, once, whatever the number of index dates. A range is empty (``to_at`` below ``from_at``) where there are no tokens in it.
+    """
+    asked = cohort.select("person_id", "index_date", "label", to_epoch(F.col("index_date")).alias("epoch"))
+    upper = asked.withColumn("side", F.lit(1))  # after the tokens of its second
+    points = seq.select("person_id", "epoch", F.lit(0).alias("side")).unionByName(upper, allowMissingColumns=True)
+    if window_days is not None:
+        lower = asked.withColumns({"epoch": F.col("epoch") - F.lit(window_days * 86400.0), "side": F.lit(-1)})
+        points = points.unionByName(lower, allowMissingColumns=True)
+    order = [F.col("epoch"), F.col("side"), F.col("index_date"), F.col("label")]
+    counted = ordered_scan(points, ["person_id"], _epoch_levels(F.col("epoch")), order, sums={"n": (F.col("side") == 0).cast("long")})
+    ends = counted.filter("side <> 0").groupBy("person_id", "index_date", "label")
+    before = F.max(F.when(F.col("side") == -1, F.col("n")))
+    return ends.agg(
+        (F.coalesce(before, F.lit(0)) + 1).alias("from_at"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("to_at")
+    )
+
+
+def copy_ranges(ranked: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The tokens of each range, with its index date and label: one lookup by (person, place) for each token written."""
+    wanted = ranges.filter("from_at <= to_at").withColumn("at", F.explode(F.sequence("from_at", "to_at")))
+    return wanted.drop("from_at", "to_at").join(ranked, ["person_id", "at"])
+
+
 def missing_subjects(cohort: DataFrame, seq: DataFrame) -> DataFrame:
     """Cohort members without a sequence."""
     return cohort.join(seq.select("person_id"), "person_id", "left_anti")

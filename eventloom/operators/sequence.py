@@ -531,6 +531,29 @@ def sort_sequence(arrays: DataFrame, columns: Sequence[str], sort_by: str, token
     ).drop("__z")
 
 
+def sort_sequences(
+    arrays: DataFrame,
+    columns: Sequence[str],
+    sort_by: str,
+    token: str = "concept_ids",
+    part_size: int = 8192,
+    by: Sequence[str] = ("person_id",),
+) -> DataFrame:
+    """As :func:`sort_sequence`, but a person who takes several rows (``by``, part) is sorted as one.
+
+    Positions are global ranks by (``sort_by``, token, the other columns in turn): each person's entries are ranked in ranges of
+    ``sort_by``, so no row or task holds a person, and rows of ``part_size`` are made again from the ranks. Nulls come first.
+    Returns the columns of :func:`to_arrays`.
+    """
+    named = list(dict.fromkeys([sort_by, token, *columns]))
+    long = arrays.select(*by, F.inline(F.arrays_zip(*named)))
+    number = F.floor(F.col(sort_by)).cast("long")  # the same order, for keys that are numbers
+    levels = [F.coalesce(level, F.lit(-(1 << 62))) for level in int_levels(number, (45, 28, 12))]
+    order = [F.col(c).asc_nulls_first() for c in named]
+    ranked = ordered_scan(long, list(by), levels, order, count="pos")
+    return to_arrays(ranked, list(columns), part_size, by)
+
+
 def rebuild_times(seq: DataFrame) -> DataFrame:
     """``rebuilt_epoch``: 1 January of the ``year:`` token (1985 without one) plus the running days of time tokens."""
     year = F.regexp_extract("token", r"^year:(\d+)$", 1)

@@ -241,17 +241,15 @@ def assign_events(events: DataFrame, visits: DataFrame) -> DataFrame:
     Adds ``visit_id`` (final) and ``how``: linked, attached, orphan or untimed. No event is lost: a visit id that ``visits`` does
     not list is a visit nevertheless, and an event without a time keeps the id it has, or none.
     """
-    untimed = events.filter(F.col("time").isNull()).withColumn("how", F.lit("untimed"))
-    events = events.filter(F.col("time").isNotNull())
-    linked = events.filter(F.col("visit_id").isNotNull())
-    marked = stage(detach_out_of_range(linked, visits), "marked-events")
-    stays = marked.filter(~F.col("detached")).drop("detached").withColumn("how", F.lit("linked"))
-    loose = marked.filter("detached").drop("detached", "visit_id")
-    loose = loose.unionByName(events.filter(F.col("visit_id").isNull()).drop("visit_id"))
+    marked = stage(detach_out_of_range(events, visits), "marked-events")  # events are read once
+    untimed = marked.filter("time IS NULL").drop("detached").withColumn("how", F.lit("untimed"))
+    named = marked.filter("time IS NOT NULL AND visit_id IS NOT NULL")
+    stays = named.filter(~F.col("detached")).drop("detached").withColumn("how", F.lit("linked"))
+    loose = marked.filter("time IS NOT NULL AND (visit_id IS NULL OR detached)").drop("detached", "visit_id")
     loose = loose.withColumn("day", F.to_date("time"))
-    days = loose.select("subject_id", "day").distinct()
+    days = stage(loose.select("subject_id", "day").distinct(), "loose-days")
     attached = stage(attach_days(days, visits), "attached-days")
-    taken = visits.select(*BLOCK_KEY).union(linked.select(*BLOCK_KEY))
+    taken = visits.select(*BLOCK_KEY).union(named.select(*BLOCK_KEY))
     orphans = orphan_visits(days.join(attached, ["subject_id", "day"], "left_anti"), taken)
     where = attached.withColumn("how", F.lit("attached")).unionByName(orphans.withColumn("how", F.lit("orphan")))
     return stays.unionByName(loose.join(where, ["subject_id", "day"]).drop("day")).unionByName(untimed)

@@ -137,6 +137,28 @@ def cut_at_index_window(spark, d):
     return out.select("person_id", "pos", "token", "index_date", "label")
 
 
+@add(
+    "c5_index_ranges",
+    f"""WITH c AS ({_INDEX}), e AS (SELECT subject_id AS person_id, time FROM ({A.LOG_EVENTS_SQL}))
+SELECT person_id, index_date, label, count(time) FILTER (time < index_date - INTERVAL 5 DAY) + 1 AS from_at, count(time) FILTER (time <= index_date) AS to_at
+FROM c LEFT JOIN e USING (person_id) GROUP BY ALL""",
+)
+def index_ranges(spark, d):
+    return C.index_ranges(_log_tokens(spark, d), log_index_dates(spark, d), 5)
+
+
+@add(
+    "c5_copy_ranges",
+    f"""WITH c AS ({_INDEX}) SELECT e.subject_id AS person_id, event_id AS pos, code AS token, index_date, label
+FROM ({A.LOG_EVENTS_SQL}) e JOIN c ON e.subject_id = c.person_id WHERE time BETWEEN index_date - INTERVAL 5 DAY AND index_date""",
+)
+def copy_ranges(spark, d):
+    """As the windowed cut, by ranges of places."""
+    seq = _log_tokens(spark, d)
+    ranges = stage(C.index_ranges(seq, log_index_dates(spark, d), 5), "index-ranges")
+    return C.copy_ranges(C.time_ranks(seq), ranges).select("person_id", "pos", "token", "index_date", "label")
+
+
 @add(
     "c6_missing_subjects",
     f"WITH {COHORT_CTE} SELECT * FROM cohort WHERE person_id NOT IN (SELECT user_id FROM events)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import timing
@@ -43,8 +44,6 @@ def event_log_sequence(spark, d):
     days = S.gap_days(
         days.withColumnRenamed("min_time", "visit_start"), F.col("visit_start")
     )  # all outpatient: the cursor is the start
-    from pyspark.sql import Window
-
     w = Window.partitionBy("subject_id").orderBy("visit_id")  # bounded: one row per day
     before = F.sum(F.col("n_events") + 3).over(w) - (F.col("n_events") + 3) - F.when(F.col("visit_id") > 1, 1).otherwise(0)
     days = days.withColumns({"offset": before, "has_gap": (F.col("visit_id") > 1).cast("long")})
@@ -350,6 +349,28 @@ def sort_sequence(spark, d):
     return out.select("l_orderkey", _joined("concept_ids").alias("concept_ids"), _joined("concept_values").alias("concept_values"))
 
 
+@add(
+    "q13_sort_sequences",
+    """WITH r AS (SELECT l_suppkey AS person_id, l_partkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_suppkey
+  ORDER BY epoch_us(l_shipdate), l_partkey, l_quantity, l_orderkey) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
+SELECT person_id, (i // 64)::INT AS part, string_agg(l_partkey, ' ' ORDER BY i) AS concept_ids, string_agg(q, ' ' ORDER BY i) AS concept_values,
+  any_value(n)::INT AS n FROM r GROUP BY ALL""",
+)
+def sort_sequences(spark, d):
+    """Each supplier's lines, first by order in rows of 64, then by date over all its rows."""
+    lines = A.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("person_id"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("dates"),
+        F.col("l_partkey").alias("concept_ids"), F.col("l_quantity").cast("long").alias("concept_values"), "l_orderkey", "l_linenumber",
+    )
+    w = Window.partitionBy("person_id").orderBy("l_orderkey", "l_linenumber")
+    arrays = S.to_arrays(lines.withColumn("pos", F.row_number().over(w)), ["dates", "concept_ids", "concept_values"], part_size=64)
+    out = S.sort_sequences(arrays, ["concept_ids", "concept_values"], "dates", part_size=64)
+    return out.select(
+        "person_id", "part", _joined("concept_ids").alias("concept_ids"), _joined("concept_values").alias("concept_values"),
+        F.col("num_of_concepts").alias("n"),
+    )
+
+
 @add(
     "q14_time_token_parser",
     f"""WITH {EVENT_LOG_CTES}, t AS (SELECT subject_id, pos, token FROM logseq UNION ALL SELECT subject_id, -pos, 'i-' || token FROM logseq

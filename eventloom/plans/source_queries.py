@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import tokens as T
@@ -78,6 +80,38 @@ def partitioned_sink(spark, d):
     return spark.read.parquet(path).select("o_orderkey", "split")
 
 
+@add(
+    "s7_replaced_shards",
+    "SELECT o_orderkey, o_orderpriority AS shard, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'second' ELSE 'first' END AS version FROM orders",
+)
+def replaced_shards(spark, d):
+    """All orders by priority; two of the shards are written again, the second time twice."""
+    path = new_folder(spark, "shards")
+    o = A.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("shard"))
+    io.replace_shards(o.withColumn("version", F.lit("first")), path, "shard")
+    for _ in range(2):
+        io.replace_shards(o.filter("shard IN ('1-URGENT', '5-LOW')").withColumn("version", F.lit("second")), path, "shard")
+    return spark.read.parquet(path).select("o_orderkey", "shard", "version")
+
+
+@add(
+    "s7_bucketed_join",
+    "SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2",
+)
+def bucketed_join(spark, d):
+    """Customers and orders bucketed by person: neither the join nor the aggregation shuffles."""
+    people, orders = bucketed(spark, d)
+    return people.join(orders, people["c_custkey"] == orders["o_custkey"], "left").groupBy("c_custkey", "c_mktsegment").agg(F.count("o_orderkey").alias("n"))
+
+
+def bucketed(spark, d, buckets=8):
+    name = lambda t: f"bucketed_{t}_{uuid.uuid4().hex}"
+    people = A.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    orders = A.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    save = lambda df, t, key: io.save_bucketed(df, name(t), key, buckets, new_folder(spark, f"bucketed-{t}"))
+    return save(people, "people", "c_custkey"), save(orders, "orders", "o_custkey")
+
+
 def _log_vocab(spark, d, size):
     seq = A.log_events(spark, d).select(F.col("code").alias("token"))
     return stage(T.build_vocab(seq, size), "log-vocabulary")

@@ -150,6 +150,25 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
     writer.parquet(path)
 
 
+def replace_shards(df: DataFrame, path: str, shard: str) -> None:
+    """Writes the shards that ``df`` holds in place of those of the same name; other shards stay. Doing it twice does it once.
+
+    Rows are dealt by shard and key order is left as it is; a null shard is a shard.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(shard).parquet(path)
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:
+    """A table at ``path`` in ``buckets`` files' worth of hash buckets of ``key``, each sorted by it.
+
+    Tables with equal numbers of buckets join on the key without a shuffle. An old table of the name is replaced.
+    """
+    dealt = df.repartition(buckets, key)  # one file a bucket
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def save_artifacts(vocab: DataFrame, stats: DataFrame, path: str) -> None:
     write_table(vocab, f"{path}/vocabulary")
     write_table(stats, f"{path}/value_statistics")
