@@ -49,9 +49,8 @@ def unpack_bits(words: np.ndarray, width: int, index: np.ndarray) -> np.ndarray:
 class EliasFano:
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
         self.n, self.width, self.low, self.high = n, width, low, high
-        ones = _ones[high].reshape(-1, 8).sum(1, dtype=np.int64)
-        self._before = np.concatenate(([0], np.cumsum(ones)))  # ones before each 64 bits: the search directory
-        self._zeros = np.arange(len(self._before), dtype=np.int64) * 64 - self._before
+        self._before = np.concatenate(([0], np.cumsum(_ones[high], dtype=np.int64)))  # ones before each byte: the search directory
+        self._zeros = np.arange(len(self._before), dtype=np.int64) * 8 - self._before
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -80,15 +79,9 @@ class EliasFano:
 
     def _place(self, rank: np.ndarray, directory: np.ndarray, flip: int) -> np.ndarray:
         """Place of the rank-th one (``flip`` 0) or zero (255) of the bit vector."""
-        block = np.searchsorted(directory, rank, side="right") - 1
-        block = np.minimum(block, len(directory) - 2)
-        left = rank - directory[block]
-        rows = self.high.reshape(-1, 8)[block] ^ np.uint8(flip)
-        upto = np.cumsum(_ones[rows], axis=1, dtype=np.int64)
-        byte = np.minimum((upto <= left[:, None]).sum(1), 7)
-        pick = np.arange(len(rank))
-        left = left - np.where(byte > 0, upto[pick, byte - 1], 0)
-        return block * 64 + byte * 8 + _select[rows[pick, byte], np.clip(left, 0, 7)]
+        byte = np.minimum(np.searchsorted(directory, rank, side="right") - 1, len(directory) - 2)
+        left = np.clip(rank - directory[byte], 0, 7)
+        return byte * 8 + _select[self.high[byte] ^ np.uint8(flip), left]
 
     def access(self, index: np.ndarray) -> np.ndarray:
         index = np.asarray(index, np.int64)
