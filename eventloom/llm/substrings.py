@@ -8,8 +8,9 @@ consecutive and form a segment of the text.
    is left is dealt by anchor. A segment that occurs whole before repeats in all its windows.
 2. The first occurrences of different segments with one anchor share some windows, or none. They are dealt by a
    longer key, and for each share of them a run-length index of the segments is built (``run_index``), lengths are streamed from
-   it, and windows that also start earlier are marked. Keys with more bytes than an index should hold are compared
-   window by window instead, in a plain aggregation, so that no task holds a large group.
+   it, and windows that also start earlier are marked. The parts of a key with more bytes than an index should hold are dealt on by
+   a longer key, up to whole windows; parts that are one window many times over are dealt by chance, indexed, and the first of
+   each share meet again. So every repeat is found by an index, and no index or task holds a large group.
 3. The marks of a document meet its text again, and what they cover is removed.
 """
 
@@ -177,16 +178,26 @@ def _need_rows(rows, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _need_schema.field(n).type) for n in names], schema=_need_schema)
 
 
-def parts_of(data: bytes, low: int, high: int, at: int, length: int) -> Iterator[tuple[int, int, bytes]]:
-    """A segment's windows by the side on which they reach at least ``REACH`` bytes beyond the anchor: key, first window, bytes.
+def parts_of(data: bytes, low: int, high: int, core: int, width: int, reach: int, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Windows ``low`` to ``high``, all of which hold the ``width`` bytes at ``core``, by the side on which they reach ``reach`` bytes beyond them.
 
-    Equal windows are on the same side and so have the same key, which is a hash of anchor and reach together.
+    Key, first window, place of the longer core, and bytes of each side. A window that reaches far enough on both sides is on the left, so
+    equal windows are on the same side and have the same key: a hash of the longer core.
     """
-    side = at - REACH  # windows up to here have the reach on the left
-    for tag, a, b, k in ((b"l", low, min(high, side), side), (b"r", max(low, side + 1), high, at)):
+    side = core - reach  # windows up to here have the reach on the left
+    for tag, a, b, k in ((b"l", low, min(high, side), side), (b"r", max(low, side + 1), high, core)):
         if a <= b:
-            key = hashlib.blake2b(tag + data[k : k + ANCHOR + REACH], digest_size=8).digest()
-            yield int.from_bytes(key, "big", signed=True), a, data[a : b + length]
+            key = hashlib.blake2b(tag + data[k : k + width + reach], digest_size=8).digest()
+            yield int.from_bytes(key, "big", signed=True), a, k, data[a : b + length]
+
+
+def _reaches(length: int) -> list[int]:
+    """By how much the core grows at each dealing: by half of what a window has beside it, as one side has at least that, up to the whole."""
+    out, room = [REACH], length - ANCHOR - REACH
+    while room:
+        out.append(-(-room // 2))
+        room -= out[-1]
+    return out
 
 
 def remove(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:
@@ -243,11 +254,17 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             made["text"].append(text if open_ else None)
             made["marks"].append(pack(marks.astype(np.int32)) if open_ else None)
             made["parts"].append(
-                [{"key": k, "low": a, "bytes": b} for lo, hi, at in open_ for k, a, b in parts_of(data, lo, hi, at, length)] if open_ else None
+                [
+                    {"key": k, "low": a, "core": c, "bytes": b}
+                    for lo, hi, at in open_
+                    for k, a, c, b in parts_of(data, lo, hi, at, ANCHOR, REACH, length)
+                ]
+                if open_
+                else None
             )
         return made
 
-    schema = T.StructType.fromDDL(f"doc_id long, version long, {RESULT}, text string, marks binary, parts array<struct<key:long,low:int,bytes:binary>>")
+    schema = T.StructType.fromDDL(f"doc_id long, version long, {RESULT}, text string, marks binary, parts array<struct<key:long,low:int,core:int,bytes:binary>>")
     settled = stage(map_columns(met, settle, schema), "substring-settled")
     done = settled.filter("text IS NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -271,14 +288,64 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     return every.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
 
 
+_FOUND = T.StructType([T.StructField(n, _LONG) for n in ("doc_id", "version")] + [T.StructField(n, _INT) for n in ("low", "high")])
+
+
 def _index_parts(parts: DataFrame, length: int) -> DataFrame:
     """Runs of windows (doc_id, version, low, high) of the parts that also start earlier in another part of their key, or in their own."""
+    reaches, found = _reaches(length), None
+    for depth, width in enumerate(np.cumsum([ANCHOR, *reaches])[1:].tolist()):
+        small, large = _by_size(parts)
+        found = _union(found, _indexed(small, length))
+        if large is None:
+            return found
+        if depth + 1 < len(reaches):
+            parts = stage(_dealt_on(large, width, reaches[depth + 1], length), "substring-parts")
+    while True:  # each key is one window: shares of its parts are indexed, and the first of each share meet
+        # never more shares than half of the parts, so that they get fewer
+        shares = F.greatest(F.lit(1).cast("long"), F.least(F.ceil(F.col("size") / BIN_BYTES), F.floor(F.col("n") / 2)))
+        shares = F.pmod(F.xxhash64("doc_id", "version", "low"), shares)
+        dealt = stage(large.select("doc_id", "version", F.xxhash64("key", shares).alias("share"), "key", "low", "core", "bytes"), "substring-shares")
+        found = _union(found, _indexed(dealt.drop("key").withColumnRenamed("share", "key"), length))
+        first = F.min(F.struct("doc_id", "version", "low", "core", "bytes")).alias("p")
+        small, large = _by_size(stage(dealt.groupBy("key", "share").agg(first).select("key", "p.*"), "substring-parts"))
+        found = _union(found, _indexed(small, length))
+        if large is None:
+            return found
+
+
+def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.union(b)
+
+
+def _by_size(parts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The parts of keys that fit an index, and those of larger keys, if any; ``n`` and ``size`` are parts and bytes of the key. Lone parts go."""
     keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bytes")).alias("size")).filter("n > 1")
     keys = stage(keys, "substring-keys")
-    large, small = keys.filter(F.col("size") > BIN_BYTES), keys.filter(F.col("size") <= BIN_BYTES)
-    bins = 1 + int(small.agg(F.sum("size")).first()[0] or 0) // BIN_BYTES
-    dealt = parts.join(small.select("key"), "key").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
-    schema = T.StructType.fromDDL("doc_id long, version long, low int, high int")
+    small, large = (parts.join(keys.filter(test), "key") for test in (F.col("size") <= BIN_BYTES, F.col("size") > BIN_BYTES))
+    return small, None if keys.filter(F.col("size") > BIN_BYTES).isEmpty() else large
+
+
+def _dealt_on(parts: DataFrame, width: int, reach: int, length: int) -> DataFrame:
+    """The parts under the keys of cores that are ``reach`` bytes longer than their ``width``."""
+
+    def run(rows):
+        made = []
+        for low, core, data in zip(rows["low"], rows["core"], rows["bytes"]):
+            last = len(data) - length
+            made.append([{"key": k, "low": low + a, "core": low + c, "bytes": b} for k, a, c, b in parts_of(data, 0, last, core - low, width, reach, length)])
+        return {"parts": made}
+
+    schema = T.StructType.fromDDL("doc_id long, version long, parts array<struct<key:long,low:int,core:int,bytes:binary>>")
+    longer = map_columns(parts.select("doc_id", "version", "low", "core", "bytes"), run, schema)
+    return longer.select("doc_id", "version", F.explode("parts").alias("p")).select("doc_id", "version", "p.*")
+
+
+def _indexed(parts: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of parts whose keys are small; keys are binned into indexes of about ``BIN_BYTES``."""
+    size = F.sum(F.octet_length("bytes"))
+    bins = 1 + int(parts.agg(size).first()[0] or 0) // BIN_BYTES
+    binned = parts.select("doc_id", "version", "low", "bytes", F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"))
 
     def index(table: pa.Table) -> pa.Table:
         place = [table.column(n).to_numpy() for n in ("doc_id", "version", "low")]
@@ -294,19 +361,9 @@ def _index_parts(parts: DataFrame, length: int) -> DataFrame:
             a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
             out.append((np.full(len(a), doc[i]), np.full(len(a), version[i]), a + low[i], b + low[i]))
         columns = [np.concatenate(c) for c in zip(*out)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], schema=to_arrow_schema(schema))
-
-    found = dealt.groupBy("bin").applyInArrow(index, schema)
-    if large.limit(1).count():
-        windows = parts.join(large.select("key"), "key").select(
-            "doc_id", "version", "low", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("w")
-        )
-        text = F.substring(F.col("bytes"), F.col("w") + 1, F.lit(length))
-        windows = windows.select("doc_id", "version", (F.col("low") + F.col("w")).alias("low"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
-        earliest = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "version", "low")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        again = windows.join(earliest, ["h", "g"]).filter(F.struct("doc_id", "version", "low") > F.col("first"))
-        found = found.union(again.select("doc_id", "version", "low", F.col("low").alias("high")))
-    return found
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(_FOUND))], schema=to_arrow_schema(_FOUND))
+
+    return binned.groupBy("bin").applyInArrow(index, _FOUND)
 
 
 def op9_repeated_substrings(spark, sf_dir):

@@ -605,7 +605,7 @@ def brute_removed(rows, length=100):
 
 @pytest.mark.parametrize("most", [1_500_000, 500])
 def test_repeated_substrings(spark, documents, monkeypatch, most):
-    monkeypatch.setattr(substrings, "BIN_BYTES", most)  # small: every shared key is compared window by window
+    monkeypatch.setattr(substrings, "BIN_BYTES", most)  # small: every shared key is dealt on, up to whole windows
     rows = list(documents[["doc_id", "text"]].itertuples(index=False, name=None))
     rows += [(1000 + i, f"<{i}> {PASSAGE} [{i}] {PASSAGE[i:]} {'é' * 70}") for i in range(12)]
     got = substrings.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -616,6 +616,34 @@ def test_repeated_substrings(spark, documents, monkeypatch, most):
         assert tuple(r)[1:] == want[r.doc_id, text[r.doc_id]]
 
 
+def test_a_passage_in_many_documents_is_indexed_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BIN_BYTES", 1000)
+    indexed = []
+    monkeypatch.setattr(substrings, "_indexed", lambda parts, length, f=substrings._indexed: indexed.append(parts) or f(parts, length))
+    rows = [(i, f"{hashlib.md5(str(i).encode()).hexdigest()} {PASSAGE} {hashlib.md5(str(-i).encode()).hexdigest()}") for i in range(150)]
+    rows += [(i, f"{'ab' * i}{PASSAGE[:110]}{i}") for i in range(150, 190)]
+    got = substrings.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = brute_removed(rows)
+    assert len(got) == len(rows) and all(tuple(r)[1:] == want[r.doc_id, dict(rows)[r.doc_id]] for r in got)
+    # whole windows that are still too many for one index: more indexes than dealings
+    assert len(indexed) > len(substrings._reaches(100)) + 1
+
+
+@pytest.mark.parametrize("length", [100, 101, 137, 300])
+def test_longer_keys_end_at_the_window(length):
+    assert substrings.ANCHOR + sum(substrings._reaches(length)) == length
+    data = np.random.default_rng(length).integers(0, 256, 1000).astype(np.uint8).tobytes()
+    low, high, core, width = 300, 300 + length - substrings.ANCHOR, 300 + length - substrings.ANCHOR, substrings.ANCHOR
+    windows = [(low, high, core)]
+    for reach in substrings._reaches(length):
+        deeper = [(a, a + len(b) - length, c) for lo, hi, k in windows for _, a, c, b in substrings.parts_of(data, lo, hi, k, width, reach, length)]
+        width += reach
+        assert sorted(w for a, b, _ in deeper for w in range(a, b + 1)) == list(range(low, high + 1))
+        assert all(a <= c and c + width <= a + length and b <= c and c + width <= b + length for a, b, c in deeper)
+        windows = deeper
+    assert all(a == b == c for a, b, c in windows)
+
+
 def test_repeated_substrings_awkward_rows(spark):
     rows = awkward(spark).filter("doc_id IS NOT NULL OR text IS NOT NULL")
     plain = [(r.doc_id, r.text) for r in rows.collect()]
