@@ -277,10 +277,19 @@ def calibration_error(spark, d):
     return rounded(M.calibration_error(M.reliability(scores(spark, d))))
 
 
-@add("a10_calibration_fit")
+@add(
+    "a10_calibration_fit",
+    f"""WITH RECURSIVE {PRED_CTE}, t AS (SELECT ln(q / (1 - q)) AS x, pos, n FROM (SELECT greatest(1e-7, least(1 - 1e-7, p)) AS q, pos, n FROM sc)),
+newton AS (SELECT 0 AS i, 0e0 AS a, 0e0 AS b
+  UNION ALL SELECT i + 1, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1)
+  FROM (SELECT i, a, b, sum(r) AS g0, sum(r * x) AS g1, sum(w) AS h0, sum(w * x) AS h1, sum(w * x * x) AS h2
+    FROM (SELECT i, a, b, x, n * m * (1 - m) AS w, pos - n * m AS r
+      FROM (SELECT i, a, b, x, pos, n, 1 / (1 + exp(-(a + b * x))) AS m FROM newton, t WHERE i < 30)) GROUP BY i, a, b))
+SELECT round(b, 6) AS slope, round(a, 6) AS intercept FROM newton WHERE i = 30""",
+)
 def calibration_fit(spark, d):
     slope, intercept = M.calibration_fit(scores(spark, d))
-    return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
+    return rounded(spark.createDataFrame([(slope, intercept)], "slope double, intercept double"))
 
 
 @add("a11_bootstrap")

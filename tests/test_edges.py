@@ -102,3 +102,40 @@ def test_schema_checks_read_rows(spark):
     assert ok(spark.createDataFrame([(1, "2020", 0)], "person_id long, index_date string, label int"))["index_date type"] == (False, "string")
     theirs = spark.createDataFrame([(1, date(2020, 1, 1), True)], "subject_id long, prediction_time date, boolean_value boolean")
     assert all(v[0] for v in ok(theirs).values())
+
+
+def plain_logistic(x, y, strength, rounds=50):
+    """Newton steps on the mean log loss with an L2 penalty on the coefficients of features of unit deviation."""
+    scaled = np.column_stack([np.ones(len(x)), x / x.std(axis=0, ddof=1)])
+    penalty = strength * np.diag([0.0] + [1.0] * x.shape[1])
+    beta = np.zeros(scaled.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-scaled @ beta))
+        gradient = scaled.T @ (p - y) / len(y) + penalty @ beta
+        beta -= np.linalg.solve((scaled * (p * (1 - p))[:, None]).T @ scaled / len(y) + penalty, gradient)
+    return 1 / (1 + np.exp(-scaled @ beta))
+
+
+@pytest.mark.parametrize("c", [0.01, 1.0, 100.0])
+def test_logistic_regression_is_the_plain_fit(spark, c):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, [1, 3, 0.2], (300, 3))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [1.0, -0.4, 2.0] + 0.3)))).astype(int)
+    df = spark.createDataFrame([(i, row.tolist(), int(t)) for i, (row, t) in enumerate(zip(x, y))], "k long, v array<double>, label int")
+    data = L.assemble(df, "v")
+    got = {r.k: r.p for r in L.predict(L.fit_logistic(data, [c], [0.0], folds=2), data, "k").collect()}
+    want = plain_logistic(x, y, 1 / (c * 300))
+    assert max(abs(got[i] - want[i]) for i in range(300)) < 2e-3
+
+
+def test_calibration_is_the_plain_fit(spark):
+    rng = np.random.default_rng(8)
+    p = np.round(rng.random(800), 3)
+    y = (rng.random(800) < p**2).astype(int)
+    slope, intercept = M.calibration_fit(M.score_table(spark.createDataFrame(list(zip(p.tolist(), y.tolist())), PREDICTIONS)))
+    q = np.clip(p, 1e-7, 1 - 1e-7)
+    x, b = np.column_stack([np.ones(800), np.log(q / (1 - q))]), np.zeros(2)
+    for _ in range(50):
+        m = 1 / (1 + np.exp(-x @ b))
+        b += np.linalg.solve((x * (m * (1 - m))[:, None]).T @ x, x.T @ (y - m))
+    assert (intercept, slope) == (pytest.approx(b[0], abs=1e-6), pytest.approx(b[1], abs=1e-6))
