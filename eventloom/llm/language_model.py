@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -43,6 +44,8 @@ CONTEXT_BITS = 48
 STEP = 1 / 31.0  # of a quantised decimal logarithm; code 0 is "not there", 1 is 0, 255 is about -8.2
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3ED2B5)
 _U64 = np.uint64
+PIECE = 1 << 18  # code points hashed at a time
+BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
 def quantise(logs: np.ndarray) -> np.ndarray:
@@ -65,8 +68,13 @@ _BLOCK = T.StructType(
 
 def tokens_of(text: str | None) -> np.ndarray:
     """Hashes of the words of a whole text, A-Z in lower case, and of the end."""
-    points = code_points(lower_ascii(text or ""))
-    return np.append(word_hashes(points, *word_bounds(points)), END)
+    text, parts, at = lower_ascii(text or ""), [], 0
+    while at < len(text):  # a long text in pieces, cut before blanks
+        cut = BLANK.search(text, at + PIECE)
+        points = code_points(text[at : cut.start() if cut else len(text)])
+        parts.append(word_hashes(points, *word_bounds(points)))
+        at += len(points)
+    return np.concatenate([*parts, np.array([END])])
 
 
 def _blocks(docs: DataFrame, size: int) -> DataFrame:

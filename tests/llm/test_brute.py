@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from eventloom.llm import common, fingerprints, quality, toxicity
+from eventloom.llm import common, fingerprints, language_model, quality, toxicity
 
 from ..conftest import DATA
 
@@ -112,3 +112,12 @@ def test_likeness_follows_the_shared_paragraphs(spark):
     apart = np.array([abs(r.true - r.said) for r in rows])
     assert apart.mean() < 0.1 and np.quantile(apart, 0.95) < 0.25
     assert np.corrcoef([r.true for r in rows], [r.said for r in rows])[0, 1] > 0.93
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 1000])
+def test_tokens_of_pieces(spark, monkeypatch, size):
+    whole = [language_model.tokens_of(t) for t in texts(spark)]
+    monkeypatch.setattr(language_model, "PIECE", size)
+    for text, want in zip(texts(spark), whole):
+        got = language_model.tokens_of(text)
+        assert got.dtype == np.uint64 and len(got) == len(re.findall(r"[^\x20\x09-\x0D]+", text or "")) + 1 and (got == want).all()
