@@ -16,12 +16,15 @@ SPLIT = [
     "q1_visit_order",
     "q3_gap_tokens",
     "q4_stay_gap_exact",
+    "q13_sort_sequences",
     "q15_rebuild_times",
+    "q17_join_visits",
     "e6_attach_days",
     "e7_assign_events",
     "e9_merge_contained",
     "e20_flatten_visits",
     "t4_value_statistics",
+    "c5_index_ranges",
     "c9_count_split",
     "c13_outcome_cohort",
     "c15_stratified_folds",
