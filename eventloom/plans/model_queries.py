@@ -28,8 +28,9 @@ def add(name, sql=None):
 
 
 def rounded(df, columns=None):
+    """Six digits as SQL's round gives them: a ratio like 41/640 = 0.0640625 is rounded as the double it is times a million."""
     columns = columns or [f.name for f in df.schema if f.dataType.simpleString() == "double"]
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(F.col(c) * 1e6, 0) / 1e6 for c in columns})
 
 
 # ---- features ----------------------------------------------------------------------------------------------------
