@@ -25,3 +25,17 @@ def test_records_are_joined_once_for_people_and_events(spark):
     events = D.qualified_events([D.Domain("x", table, "c", "t"), D.Domain("y", table.filter("false"), "c", "t")], "2005-01-01", 3)
     assert "Union" not in events._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.person_id, r.code, r.time.year) for r in events.collect()) == [(p, "a", 2009) for p in range(5)]
+
+
+def test_events_without_a_visit_do_not_meet_the_visits(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(D, "stage", lambda df, label: written.append((label, df.count())) or df)
+    events = spark.range(10).select(
+        F.lit(1).cast("long").alias("person_id"), F.when(F.col("id") < 3, F.col("id")).alias("visit_id"),
+        F.to_timestamp(F.lit("2020-01-01")).alias("time"), F.lit("c").alias("code"),
+    )
+    start = F.to_timestamp(F.lit("2020-01-01"))
+    visits = spark.range(2).select(F.lit(1).cast("long").alias("person_id"), F.col("id").alias("visit_id"), start.alias("visit_start"), start.alias("visit_end"))
+    placed = D.place_events(events, visits)
+    assert {r.how: r["count"] for r in placed.groupBy("how").count().collect()} == {"linked": 2, "attached": 8}
+    assert dict(written)["domain-events"] == 3
