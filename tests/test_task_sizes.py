@@ -1,6 +1,10 @@
 """Memory of a task over tables of ids does not grow with the tables."""
 
+import re
+
 import __spark_entry__ as entry
+from eventloom.functions import scan
+from eventloom.operators import sequence as S
 
 
 def test_tasks_over_ids_are_small_and_those_over_texts_as_set(spark):
@@ -13,3 +17,15 @@ def test_tasks_over_ids_are_small_and_those_over_texts_as_set(spark):
     entry.queries()["op12_merkle_manifest"](spark, entry.ENTRY_DIR)
     assert [spark.conf.get(k) for k in keys] == before
     entry.queries()["p1_nonempty"](spark, entry.ENTRY_DIR)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_people_of_concepts_are_dealt_out_before_they_are_folded(spark, monkeypatch):
+    monkeypatch.setattr(scan, "FOLD_AT_ONCE", 10)
+    rows = [(None if i % 10 == 9 else i % 5, c) for i in range(100) for c in (("a", None) if i < 90 else ("b",))]
+    out = S.qualified_concepts(spark.createDataFrame(rows, "person_id long, code string"), 4)
+    assert re.search(r"hashpartitioning\(code#\d+, person_id#\d+L, 19\)", _plan(out))
+    assert {(r.code, r.n_people) for r in out.collect()} == {("a", 5), (None, 5), ("b", 5)}
