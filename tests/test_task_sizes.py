@@ -2,9 +2,12 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from eventloom.functions import scan
 from eventloom.operators import sequence as S
+from eventloom.plans import sequences
 
 
 def test_tasks_over_ids_are_small_and_those_over_texts_as_set(spark):
@@ -29,3 +32,11 @@ def test_people_of_concepts_are_dealt_out_before_they_are_folded(spark, monkeypa
     out = S.qualified_concepts(spark.createDataFrame(rows, "person_id long, code string"), 4)
     assert re.search(r"hashpartitioning\(code#\d+, person_id#\d+L, 19\)", _plan(out))
     assert {(r.code, r.n_people) for r in out.collect()} == {("a", 5), (None, 5), ("b", 5)}
+
+
+def test_domain_records_are_dealt_out_before_they_are_folded(spark, monkeypatch):
+    monkeypatch.setattr(scan, "FOLD_AT_ONCE", 1000)
+    rows = 3 * spark.read.parquet(f"{entry.ENTRY_DIR}/lineitem.parquet").count() + spark.read.parquet(f"{entry.ENTRY_DIR}/orders.parquet").count()
+    out = sequences.domain_events(spark, entry.ENTRY_DIR)
+    assert re.search(rf"hashpartitioning\(person_id#.*, {-(-rows // 1000)}\)", _plan(out))
+    assert out.agg(F.sum("n")).first()[0] <= rows
