@@ -95,21 +95,28 @@ def surprise(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
     return np.where(p > share, ratio(bad, p, share) + ratio(good, 1 - p, 1 - share), 0.0)
 
 
-def counts(sets: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
-    """Documents that hold each term, weighted."""
-    out = np.zeros(1 << BITS)
-    for s, w in zip(sets, weight):
+def numbered(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The terms that occur in ``sets``, in order, and the sets as places among them: what is learned from takes no room for other terms."""
+    terms = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int32)
+    return terms, [np.searchsorted(terms, s).astype(np.int32) for s in sets]
+
+
+def counts(places: list[np.ndarray], weight: np.ndarray, n: int) -> np.ndarray:
+    """Documents that hold each of ``n`` numbered terms, weighted."""
+    out = np.zeros(n)
+    for s, w in zip(places, weight):
         out[s] += w
     return out
 
 
 def induce(sets: list[np.ndarray], toxic: np.ndarray, margin: float = 4.0, odds: float = 8.0) -> np.ndarray:
     """Terms ``odds`` times as frequent in toxic as in clean documents, with more evidence than chance gives so many terms."""
-    bad, good = counts(sets, toxic * 1.0), counts(sets, 1.0 - toxic)
+    terms, places = numbered(sets)
+    bad, good = counts(places, toxic * 1.0, len(terms)), counts(places, 1.0 - toxic, len(terms))
     n, m = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
     bits = surprise(bad, good, n / (n + m))
     often = (bad + 0.5) / (n + 1) >= odds * (good + 0.5) / (m + 1)
-    return np.flatnonzero(often & (bits >= np.log2(max(np.count_nonzero(bad), 1)) + margin)).astype(np.int32)
+    return terms[often & (bits >= np.log2(max(np.count_nonzero(bad), 1)) + margin)]
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray:
@@ -144,12 +151,14 @@ def train_linear(
     Terms with at least ``least`` bits of evidence for either side take part; small weights are driven to zero.
     """
     target = np.asarray(target)
-    bad, good, share = counts(sets, target), counts(sets, 1 - target), float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if len(target) else 0.5
+    share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if len(target) else 0.5
+    held, places = numbered(sets)
+    bad, good = counts(places, target, len(held)), counts(places, 1 - target, len(held))
     bits = np.maximum(surprise(bad, good, share), surprise(good, bad, 1 - share))
-    terms = np.flatnonzero(bits >= least).astype(np.int32)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[terms] = np.arange(len(terms))
-    rows = [r[r >= 0] for r in (place[s] for s in sets)]
+    terms = held[bits >= least]
+    place = np.full(len(held), -1, np.int32)
+    place[bits >= least] = np.arange(len(terms))
+    rows = [r[r >= 0] for r in (place[s] for s in places)]
     weight, bias, rng = np.zeros(len(terms)), 0.0, np.random.default_rng(seed)
     for epoch in range(epochs):
         pace = rate / (1 + epoch / 3)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -121,3 +122,20 @@ def test_tokens_of_pieces(spark, monkeypatch, size):
     for text, want in zip(texts(spark), whole):
         got = language_model.tokens_of(text)
         assert got.dtype == np.uint64 and len(got) == len(re.findall(r"[^\x20\x09-\x0D]+", text or "")) + 1 and (got == want).all()
+
+
+def test_learning_takes_room_for_the_terms_that_occur():
+    rng = np.random.default_rng(4)
+    toxic = np.arange(60) % 2
+    sets = [np.unique(np.append(rng.integers(0, 1 << toxicity.BITS, 30), 77 + 11 * y)).astype(np.int32) for y in toxic]
+    toxicity.train_linear(sets[:2], toxic[:2], epochs=1)
+    tracemalloc.start()
+    try:
+        induced = toxicity.induce(sets, toxic)
+        terms, weights, _ = toxicity.train_linear(sets, toxic)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert induced.tolist() == [88]
+    assert terms.tolist() == [77, 88] and weights[0] < 0 < weights[1]
+    assert most < 4 << 20  # an array of all terms alone is 32 MB
