@@ -3,6 +3,7 @@
 import __spark_entry__ as entry
 from eventloom.functions import scan
 from eventloom.operators import sequence as S
+from eventloom.operators import visits as V
 from eventloom.plans import sequences
 from eventloom.session import stage_by
 
@@ -40,3 +41,11 @@ def test_times_are_rebuilt_without_counting_tokens(spark, monkeypatch):
     assert S.longest(seq) == scan.largest_group(seq, ["person_id"]) > 0
     monkeypatch.setattr(scan, "largest_group", counted)
     assert entry.queries()["q15_rebuild_times"](spark, entry.ENTRY_DIR).count() == seq.count()
+
+
+def test_events_are_classified_where_they_are(spark, monkeypatch):
+    plans = []
+    classify = V.classify_blocks
+    monkeypatch.setattr(V, "classify_blocks", lambda events, rules: plans.append(_plan(classify(events, rules))) or classify(events, rules))
+    entry.queries()["e18_linked_patients"](spark, entry.ENTRY_DIR)
+    assert len(plans) == 2 and not [p for p in plans if "Exchange" in p]
