@@ -254,7 +254,8 @@ SELECT subject_id, event_id, code, visit_id, 'linked' AS how FROM m WHERE NOT de
 UNION ALL SELECT l.subject_id, l.event_id, l.code, x.visit_id, how FROM loose l JOIN x USING (subject_id, day)""",
 )
 def assign_events(spark, d):
-    out = V.assign_events(_shipped(spark, d), _visits(spark, d, _LONG_STAY))
+    e = _shipped(spark, d).drop("numeric_value")  # the columns of the SQL
+    out = V.assign_events(e, _visits(spark, d, _LONG_STAY))
     return out.select("subject_id", "event_id", "code", "visit_id", "how")
 
 
@@ -278,7 +279,7 @@ UNION ALL SELECT subject_id, event_id, code, coalesce(visit_id, -1), 'untimed' F
 )
 def assign_every_event(spark, d):
     """Events without a time, without a visit, and of visits that the visit table does not list."""
-    e = _shipped(spark, d).withColumns(
+    e = _shipped(spark, d).drop("numeric_value").withColumns(
         {
             "visit_id": F.when(F.col("event_id") % 5 != 0, F.col("visit_id")),
             "time": F.when(F.col("event_id") % 41 != 0, F.col("time")),
