@@ -130,23 +130,29 @@ class Block:
         The last two results are each token's place among contexts and among n-grams.
         """
         context = context_of(self._before(k) for k in range(n - 1, 0, -1))
-        short = word_key(self.vocabulary)[self.tokens]
+        keys_of_words = word_key(self.vocabulary)
         if heavy:
             keys = np.fromiter(heavy, _U64, len(heavy))
             keys.sort()
             parts = np.array([heavy[int(k)][1] for k in keys], _U64)
             found = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
             split = np.flatnonzero(keys[found] == context)
-            context[split] = part_key(context[split], short[split] % parts[found[split]])
+            context[split] = part_key(context[split], keys_of_words[self.tokens[split]] % parts[found[split]])
             del found
         contexts, c = _distinct(context)
         del context
-        short |= c.astype(_U64) << _U64(32)
+        words, rank = np.unique(keys_of_words, return_inverse=True)  # by rank, a gram and its place fit into one number
+        bits = _U64(len(words).bit_length())
+        short = c.astype(_U64)
+        short <<= bits
+        short |= rank.astype(np.uint32)[self.tokens]
         grams, g = _distinct(short)
         del short
-        counts = np.bincount(g[~np.repeat(self.held, self.lengths)], minlength=len(grams)).astype(np.uint32)
-        successors = np.bincount((grams >> _U64(32)).astype(np.uint32), minlength=len(contexts)).astype(np.uint32)
-        return contexts, successors, (grams & _U64(0xFFFFFFFF)).astype(np.uint32), counts, c, g
+        at, words = (grams >> bits).astype(np.uint32), words[grams & ((_U64(1) << bits) - _U64(1))].astype(np.uint32)
+        del grams
+        counts = np.bincount(g[~np.repeat(self.held, self.lengths)], minlength=len(words)).astype(np.uint32)
+        successors = np.bincount(at, minlength=len(contexts)).astype(np.uint32)
+        return contexts, successors, words, counts, c, g
 
     def _before(self, k: int) -> np.ndarray:
         """The hash of the word ``k`` places before each token, START before the start of its text."""
@@ -158,9 +164,29 @@ class Block:
         return words
 
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """Places of ``values`` in ascending order: numbers that hold a value's upper bits and its place are sorted, which is faster than places are.
+
+    Where lower bits had no room and matter, places are sorted after all.
+    """
+    bits = max(len(values) - 1, 0).bit_length()
+    over = max(0, (int(values.max()).bit_length() if len(values) else 0) + bits - 64)
+    packed = values >> _U64(over)
+    packed <<= _U64(bits)
+    packed |= np.arange(len(values), dtype=np.uint32)
+    packed.sort()
+    packed &= _U64((1 << bits) - 1)
+    order = packed.astype(np.uint32)
+    if over:
+        found = values[order]
+        if (found[1:] < found[:-1]).any():
+            return np.argsort(values).astype(np.uint32)
+    return order
+
+
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and each value's place among them, in 32 bits."""
-    order = np.argsort(values).astype(np.uint32)
+    order = _order(values)
     values = values[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = values[1:] != values[:-1]
@@ -169,6 +195,14 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[fresh], place
 
 
+def _sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; ``values`` are sorted in place."""
+    values.sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh]
+
+
 def context_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(context * _U64(0xC2B2AE3D27D4EB4F) + word)
 
@@ -330,21 +364,26 @@ def mapped(data: bytes):
 
 
 def _build_and_answer(table: pa.Table, level: int, shard_bits: int, heavy: Heavy, mass: float, heavy_from: int | None) -> pa.Table:
-    rows = table.to_pylist()
-    shard = rows[0]["shard"]
+    binary = ("keys", "successors", "words", "counts")  # read where they are: messages are the most that a task holds
+    rows = [{"block": b, **{c: table.column(c)[i].as_buffer() for c in binary}} for i, b in enumerate(table.column("block").to_pylist())]
+    shard = table.column("shard")[0].as_py()
     base = _U64(shard << (CONTEXT_BITS - shard_bits)) if shard_bits else _U64(0)
     contexts = [EliasFano.from_buffer(r["keys"])[0].all() + base for r in rows]
     successors = [np.frombuffer(r["successors"], np.uint32).astype(np.int64) for r in rows]
     words = [np.frombuffer(r["words"], np.uint32) for r in rows]
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
-    trained = counts > 0
-    context = np.concatenate([np.repeat(c, s) for c, s in zip(contexts, successors)])[trained]
-    word = np.concatenate(words)[trained]
-    order = np.lexsort((word, context))
-    context, word = context[order], word[order]
-    first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])))) if len(context) else np.zeros(0, np.int64)
-    count = np.add.reduceat(counts[trained][order].astype(float), first) if len(first) else np.zeros(0)
-    context, word = context[first], word[first]
+    counts = [np.frombuffer(r["counts"], np.uint32) for r in rows]
+    every = _sorted_distinct(np.concatenate(contexts))
+    ends = np.cumsum([0] + [np.count_nonzero(k) for k in counts])
+    pairs = np.empty(ends[-1], _U64)  # of all blocks, each block's distinct and in order: (place of the context, word)
+    for a, b, c, s, w, k in zip(ends[:-1], ends[1:], contexts, successors, words, counts):
+        pairs[a:b] = (np.repeat(np.searchsorted(every, c).astype(_U64) << _U64(32), s) | w)[k > 0]
+    distinct = _sorted_distinct(pairs.copy())
+    count = np.zeros(len(distinct))
+    for a, b, k in zip(ends[:-1], ends[1:], counts):
+        count[np.searchsorted(distinct, pairs[a:b])] += k[k > 0]
+    del pairs
+    context, word = every[distinct >> _U64(32)], (distinct & _U64(0xFFFFFFFF)).astype(np.uint32)
+    del distinct, every
     whole = {int(p): k for k, (_, m) in heavy.items() for p in part_key(np.full(m, k, _U64), np.arange(m, dtype=_U64))}
     file = mapped(Trie.build(context, word, count, {p: heavy[k][0] for p, k in whole.items()}, mass).to_bytes())
     trie = Trie.from_buffer(file)
