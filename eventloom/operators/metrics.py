@@ -17,22 +17,29 @@ from ..session import stage
 
 # Fixed value: probabilities are kept this far from 0 and 1 before taking the logit.
 LOGIT_MARGIN = 1e-7
+# Fixed value: beyond every octave of double_levels, for scores that are no numbers.
+OUTSIDE = 10_000
 
 
 def score_table(predictions: DataFrame) -> DataFrame:
-    """``p, pos, neg, n`` per distinct score from rows ``p, y``, written once: every metric reads it."""
+    """``p, pos, neg, n`` per distinct score from rows ``p, y``, written once: every metric reads it. A null label counts in ``n`` alone."""
     counts = predictions.groupBy("p").agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"),
+        F.sum(F.when(F.col("y") != 1, 1).otherwise(0)).alias("neg"),
         F.count(F.lit(1)).alias("n"),
     )
     return stage(counts, "scores")
 
 
 def cumulated(scores: DataFrame) -> DataFrame:
-    """Adds ``tp, fp``: positives and negatives at or above each score."""
-    down = -F.col("p")
-    return ordered_scan(scores, [], double_levels(down), [down], sums={"tp": F.col("pos"), "fp": F.col("neg")})
+    """Adds ``tp, fp``: positives and negatives at or above each score, null where no label is. NaN is above all scores, null below."""
+    side = F.when(F.col("p").isNull(), 1).when(F.isnan("p"), -1).otherwise(0)
+    down = F.when(side == 0, -F.col("p")).otherwise(F.lit(0.0))
+    octave, part = double_levels(down)
+    levels = [F.when(side == 0, octave).otherwise(side * OUTSIDE), part]
+    out = ordered_scan(scores, [], levels, [side, down], sums={"tp": F.col("pos"), "fp": F.col("neg")})
+    seen = F.col("tp") + F.col("fp") > 0
+    return out.withColumns({"tp": F.when(seen, F.col("tp")), "fp": F.when(seen, F.col("fp"))})
 
 
 def _totals(scores: DataFrame) -> tuple[int, int]:
