@@ -150,11 +150,11 @@ def scores(spark, d, label="quality"):
     return M.score_table(cleaned(spark, d, label))
 
 
-def order_scores(spark, d):
+def order_scores(spark, d, unlabelled=True):
     """Many distinct scores: the price of an order as a probability that it is urgent."""
     o = A.table(spark, d, "orders")
     p = F.col("o_totalprice") / F.lit(1_000_000.0)
-    return M.score_table(o.select(p.alias("p"), (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("y")))
+    return M.score_table(o.select(p.alias("p"), (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("y")), unlabelled)
 
 
 PRED_CTE = f"""pr AS (SELECT predicted_boolean_probability AS p, boolean_value::INT AS y FROM ({A.predictions_sql()})),
@@ -208,7 +208,7 @@ def prevalence(spark, d):
 
 @add("a5_roc_points", f"WITH {ORDER_CTE} SELECT p AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr, tp::BIGINT AS tp, fp::BIGINT AS fp FROM cu UNION ALL SELECT 'infinity'::DOUBLE, 0, 0, 0, 0")
 def roc_points(spark, d):
-    return rounded(M.roc_points(order_scores(spark, d)), ["fpr", "tpr"])
+    return rounded(M.roc_points(order_scores(spark, d, unlabelled=False)), ["fpr", "tpr"])
 
 
 @add("a5_pr_points", f"WITH {ORDER_CTE} SELECT p AS threshold, round(tp / np, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM cu UNION ALL SELECT NULL, 0, 1")
